@@ -328,3 +328,111 @@ view_sql(
         WHEN 10 THEN 'not a date'
         WHEN 11 THEN '' END AS posted FROM events""",
 )
+
+# --- stored jobs ----------------------------------------------------------------
+
+
+def v_jobs(spark, sf_dir):
+    """Orders as stored job documents."""
+    k = F.col("row_seq")
+    return v_status(spark, sf_dir).select(
+        "row_seq",
+        F.col("JobId").alias("job_id"),
+        F.concat(F.lit("x"), F.col("JobId")).alias("external_job_id"),
+        F.when(F.col("source_id") == "src0", " ").otherwise(F.col("source_id")).alias("source_id"),
+        F.col("JobRateDesc").alias("title"),
+        F.col("source_id").alias("company"),
+        F.when(k % 4 == 0, "Remote ").otherwise("Lima").alias("location"),
+        F.array(F.lit("Go"), F.col("source_id"), F.lit(" ")).alias("tags"),
+        F.concat_ws(" ", F.lit("role"), F.col("JobRateDesc")).alias("description"),
+        F.concat(F.lit("https://j.example.com/"), F.col("JobId")).alias("canonical_url"),
+        F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("https://a.example.com/"), F.col("JobId"))).alias("apply_url"),
+        F.floor(k / 100).cast("string").alias("scrape_run_id"),
+        (k % 3 == 0).alias("is_new"),
+        F.col("LoadDttm").alias("first_seen_at"),
+        (F.col("LoadDttm") + F.make_dt_interval((k % 5).cast("int"))).alias("last_seen_at"),
+        F.trim("Status").alias("status"),
+        (6 - F.col("JobRateNum").cast("int")).alias("rate_num"),
+        F.col("JobRateDesc").alias("rate_reason"),
+        F.col("RatedModelName").alias("rate_provider"),
+        F.when(k % 6 == 0, "2024-01-01").otherwise("").alias("notified_at"),
+        F.lit("rated").alias("pipeline_stage"),
+        (k % 3).cast("int").alias("normalize_version"),
+        (k % 4).cast("int").alias("rate_version"),
+    )
+
+
+view_sql(
+    "v_jobs",
+    """SELECT row_seq, JobId AS job_id, 'x' || JobId AS external_job_id,
+      CASE WHEN source_id = 'src0' THEN ' ' ELSE source_id END AS source_id, JobRateDesc AS title, source_id AS company,
+      CASE WHEN row_seq % 4 = 0 THEN 'Remote ' ELSE 'Lima' END AS location, ['Go', source_id, ' '] AS tags,
+      'role ' || JobRateDesc AS description, 'https://j.example.com/' || JobId AS canonical_url,
+      CASE WHEN row_seq % 3 = 0 THEN '' ELSE 'https://a.example.com/' || JobId END AS apply_url,
+      CAST(row_seq // 100 AS VARCHAR) AS scrape_run_id, row_seq % 3 = 0 AS is_new, LoadDttm AS first_seen_at,
+      LoadDttm + to_days(CAST(row_seq % 5 AS INTEGER)) AS last_seen_at, trim(Status) AS status,
+      6 - CAST(JobRateNum AS INTEGER) AS rate_num, JobRateDesc AS rate_reason, RatedModelName AS rate_provider,
+      CASE WHEN row_seq % 6 = 0 THEN '2024-01-01' ELSE '' END AS notified_at, 'rated' AS pipeline_stage,
+      CAST(row_seq % 3 AS INTEGER) AS normalize_version, CAST(row_seq % 4 AS INTEGER) AS rate_version
+    FROM v_status""",
+    ("v_status",),
+)
+
+
+def v_notifications(spark, sf_dir):
+    """Events as notifications about jobs."""
+    return v_events(spark, sf_dir).select(
+        F.col("job_id").cast("string").alias("job_id"),
+        F.when(F.col("event_type") == "view", "sent").when(F.col("event_type") == "click", "queued").otherwise("blocked").alias("status"),
+        F.when(F.col("event_id") % 2 == 0, "chat1").otherwise("chat2").alias("target_chat_id"),
+        F.col("created_at").alias("sent_at"),
+    )
+
+
+view_sql(
+    "v_notifications",
+    """SELECT CAST(job_id AS VARCHAR) AS job_id,
+      CASE event_type WHEN 'view' THEN 'sent' WHEN 'click' THEN 'queued' ELSE 'blocked' END AS status,
+      CASE WHEN event_id % 2 = 0 THEN 'chat1' ELSE 'chat2' END AS target_chat_id, created_at AS sent_at FROM v_events""",
+    ("v_events",),
+)
+
+
+def v_actions(spark, sf_dir):
+    """Reviews as user actions on jobs; some name jobs that do not exist."""
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("row_seq"),
+        F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("gone"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string")).alias("job_id"),
+        F.when(F.col("toxic") == 1, "delete").when(F.col("quality") == 1, "apply").otherwise("later").alias("action"),
+        (F.col("doc_id") % 7).cast("string").alias("telegram_user_id"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("doc_id") % 30).cast("int"))).alias("created_at"),
+    )
+
+
+view_sql(
+    "v_actions",
+    """SELECT doc_id AS row_seq, CASE WHEN doc_id % 10 = 0 THEN 'gone' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END AS job_id,
+      CASE WHEN toxic = 1 THEN 'delete' WHEN quality = 1 THEN 'apply' ELSE 'later' END AS action,
+      CAST(doc_id % 7 AS VARCHAR) AS telegram_user_id,
+      TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 30 AS INTEGER)) AS created_at FROM labels""",
+)
+
+
+def v_runs(spark, sf_dir):
+    """Line items as scrape runs of the suppliers."""
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_seq"),
+        F.concat(F.lit("src"), F.col("l_suppkey").cast("string")).alias("source_id"),
+        (F.col("l_returnflag") != "R").alias("success"),
+        F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("finished_at"),
+        F.col("l_shipdate").alias("started_at"),
+        F.col("l_quantity").alias("quantity"),
+    )
+
+
+view_sql(
+    "v_runs",
+    """SELECT l_orderkey * 10 + l_linenumber AS row_seq, 'src' || CAST(l_suppkey AS VARCHAR) AS source_id,
+      l_returnflag <> 'R' AS success, CASE WHEN l_linestatus = 'F' THEN l_shipdate END AS finished_at,
+      l_shipdate AS started_at, l_quantity AS quantity FROM lineitem""",
+)
