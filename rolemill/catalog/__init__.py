@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "relational"]
+MODULES = ["scalars", "relational", "pipelines"]
 
 
 def load() -> None:

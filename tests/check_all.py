@@ -33,6 +33,10 @@ def main():
                 verdict = f"rows only: {len(df.collect())}"
         except Exception as error:  # noqa: BLE001
             verdict = "ERROR " + str(error)[:700]
+        if verdict == "" and not con.execute(ORACLES[name]).fetchall():
+            verdict = "BAD no rows"
+        if verdict == "" and time.time() - begin > 4:
+            print(f"slow {name} {time.time() - begin:.1f}s", flush=True)
         ok = verdict == "" or verdict.startswith("rows only")
         bad += not ok
         if not ok or len(wanted) or verdict:
