@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "relational", "pipelines"]
+MODULES = ["scalars", "relational", "pipelines", "flows"]
 
 
 def load() -> None:

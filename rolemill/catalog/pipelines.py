@@ -158,7 +158,7 @@ def parse_lrate_response(spark, sf):
 )
 def numbered_sections(spark, sf):
     plain = text.collapse("text")
-    marked = F.concat(F.lit("intro\n **1) "), plain, F.lit("\n## 2. first\n- 12: x y\n2) last"))
+    marked = F.concat(F.lit("intro\n **1) "), plain, F.lit("\n# 2. first\n- 12: x y\n2) last"))
     shaped = F.when(F.col("k") == 0, F.concat(F.lit("  "), plain)).otherwise(marked)
     rows = v_answers(spark, sf).select("row_seq", F.explode(responses.numbered_sections(shaped)).alias("s"))
     return rows.select("row_seq", "s.num", "s.body").filter("body <> ''")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolemill.functions.text import SPACE, blank_to_null, text, trim
+from rolemill.functions.text import SPACE, blank_to_null, let, text, trim
 
 
 def _has(value: Column, *needles: str) -> Column:
@@ -17,7 +17,10 @@ def _has(value: Column, *needles: str) -> Column:
 
 def extract_job_id(url) -> Column:
     """The posting id in an address; the first pattern that fits wins."""
-    raw = text(url)
+    return let(text(url), _job_id_in)
+
+
+def _job_id_in(raw: Column) -> Column:
     board = F.when(
         _has(raw, "computrabajo.com"),
         F.coalesce(
@@ -62,7 +65,10 @@ SITE_MARKS = (
 
 def site_key(value) -> Column:
     """The canonical site of an address or label, else the label itself."""
-    raw = F.lower(trim(value))
+    return let(F.lower(trim(value)), _site_of)
+
+
+def _site_of(raw: Column) -> Column:
     out = raw
     for name, marks in reversed(SITE_MARKS):
         hit = _has(raw, *marks)
@@ -103,9 +109,10 @@ def without_query(url: Column) -> Column:
 
 def canonical_job_url(site, url) -> Column:
     """One spelling per posting and site; '' where the address is not a posting of that site."""
-    raw = trim(url)
-    name = text(site)
-    bare = without_query(raw)
+    return let(trim(url), lambda raw: _canonical(text(site), raw, without_query(raw)))
+
+
+def _canonical(name: Column, raw: Column, bare: Column) -> Column:
     slashless = F.regexp_replace(bare, "^(.+)/$", "$1")
     view = F.regexp_extract(raw, r"(?i)/jobs/view/(\d+)", 1)
     board = F.regexp_extract(bare, r"(?i)https?://(?:www\.)?jobspresso\.co/job/[^/?#]+/?", 0)
