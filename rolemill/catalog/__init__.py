@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "relational", "pipelines", "flows"]
+MODULES = ["scalars", "relational", "pipelines", "flows", "extraction"]
 
 
 def load() -> None:

@@ -693,3 +693,17 @@ def settings_params(spark, sf):
         "row_seq", F.col("JobTitle").alias("title"), F.col("JobLocation").alias("location"), F.array("JobTags").alias("tags"), F.col("JobDescription").alias("description"), F.lit("").alias("enrich_summary")
     )
     return rate.keyword_rate(jobs, given.deny_keywords, given.target_keywords).select("row_seq", "rate_num")
+
+
+@query(
+    "load_report",
+    with_views("v_history", "v_postings")
+    + f"""SELECT p.source_id, count(*) AS staged, count(f.row_seq) AS new_rows, count(*) - count(f.row_seq) AS duplicates FROM v_postings p LEFT JOIN {_fresh('f')} ON p.row_seq = f.row_seq GROUP BY 1""",
+)
+def load_report(spark, sf):
+    """The flagship: identity keys, history, first in batch; new against duplicate rows per source."""
+    stage = v_postings(spark, sf).select("row_seq", "JobId", "JobUrl", "source_id", F.lit("Approved").alias("Status"))
+    parts = load.stage_split(stage, joins.history_keys(v_history(spark, sf)))
+    return parts.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("staged"), F.count_if(F.col("part") == "new").alias("new_rows"), F.count_if(F.col("part") == "duplicate").alias("duplicates")
+    )

@@ -9,19 +9,19 @@ from rolemill.functions.text import (
     blank_to_null,
     collapse,
     join_filled,
+    let,
     normalize_key,
     text,
     trim,
 )
 
-# An absolute web address: scheme, optional user part, host, then path.
-ABSOLUTE_HOST = r"^(?i:https?|ftp|wss?)://(?:[^/?#@]*@)?([^/?#:@]+)"
-ABSOLUTE_PATH = r"^[A-Za-z]+://[^/?#]*([^?#]*)"
-
-
-def _one_slash_off(value: Column) -> Column:
-    """One trailing slash removed, unless the text is only that slash."""
-    return F.regexp_replace(value, "(?s)^(.+)/$", "$1")
+# One pass over an absolute web address: user part, www./m., port, query, fragment
+# and one trailing slash go; host and path stay, split by a mark.
+WEB = (
+    r"(?s)^(?i:https?|ftp|wss?)://(?:[^/?#@]*+@)?(?i:www\.)?(?i:m\.)?([^/?#:@]++)(?::\d*+)?([^?#]*?)/?(?:[?#].*)?$"
+)
+WEB_WHOLE_HOST = r"(?s)^(?i:https?|ftp|wss?)://(?:[^/?#@]*+@)?([^/?#:@]++)(?::\d*+)?([^?#]*?)/?(?:[?#].*)?$"
+CUT, MARK = "\x01", "\x02"
 
 
 def _without_scheme(raw: Column) -> Column:
@@ -29,83 +29,99 @@ def _without_scheme(raw: Column) -> Column:
 
 
 def _cleaned(raw: Column) -> Column:
-    """Relative or odd addresses: cut fragment and query, drop the scheme."""
+    """Relative or odd addresses: cut fragment and query, drop the scheme and one trailing slash."""
     cut = trim(F.substring_index(F.substring_index(raw, "#", 1), "?", 1))
-    return _one_slash_off(_without_scheme(cut))
+    return F.regexp_replace(_without_scheme(cut), "(?s)^(.+)/$", "$1")
 
 
 def _short_host(host: Column) -> Column:
     return F.regexp_replace(F.lower(trim(host)), r"^(?:www\.)?(?:m\.)?", "")
 
 
-def _raw_host(raw: Column) -> Column:
-    return F.lower(F.regexp_extract(raw, ABSOLUTE_HOST, 1))
+def _host_and_url(url) -> Column:
+    """Host, a mark, then the normalised address."""
+
+    def odd(raw):
+        clean = _cleaned(raw)
+        return F.concat(_short_host(F.substring_index(clean, "/", 1)), F.lit(MARK), clean)
+
+    def web(raw):
+        def put(parts):
+            host = F.lower(F.substring_index(parts, CUT, 1))
+            whole = F.concat(host, F.lit(MARK), host, F.substring_index(parts, CUT, -1))
+            return F.when(F.contains(parts, F.lit(CUT)), whole).otherwise(odd(raw))
+
+        return let(F.regexp_replace(raw, WEB, "$1" + CUT + "$2"), put)
+
+    return web(trim(url))
+
 
+def _host(pair: Column) -> Column:
+    return F.substring_index(pair, MARK, 1)
 
-def _raw_path(raw: Column) -> Column:
-    path = F.regexp_extract(raw, ABSOLUTE_PATH, 1)
-    return F.when(path == "", "/").otherwise(path)
+
+def _url(pair: Column) -> Column:
+    return F.substring_index(pair, MARK, -1)
 
 
 def url_host(url) -> Column:
-    raw = trim(url)
-    host = _raw_host(raw)
-    return F.when(host != "", _short_host(host)).otherwise(
-        _short_host(F.substring_index(_cleaned(raw), "/", 1))
-    )
+    return _host(_host_and_url(url))
 
 
 def normalize_url(url) -> Column:
     """Host and path, host lower-case without ``www.``/``m.``, one trailing slash off."""
-    raw = trim(url)
-    host = _raw_host(raw)
-    return F.when(host != "", _one_slash_off(F.concat(_short_host(host), _raw_path(raw)))).otherwise(
-        _cleaned(raw)
-    )
+    return _url(_host_and_url(url))
+
+
+def _by_id(ident: Column, host: Column) -> Column:
+    return F.when(host != "", F.concat_ws("|", F.lit("id"), host, ident)).otherwise(F.concat(F.lit("id|"), ident))
+
+
+def _by_url(address: Column) -> Column:
+    return F.when(address != "", F.concat(F.lit("url|"), address)).otherwise("")
+
+
+def _job_key(ident: Column, pair: Column) -> Column:
+    named = (ident != "") & ((_host(pair) != "") | (_url(pair) == ""))
+    return F.when(named, _by_id(ident, _host(pair))).otherwise(_by_url(_url(pair)))
 
 
 def job_key(job_id, url) -> Column:
     """``id|host|id``, else ``url|…``, else ``id|…``, else ''."""
-    ident, host, norm = trim(job_id), url_host(url), normalize_url(url)
-    return (
-        F.when((ident != "") & (host != ""), F.concat_ws("|", F.lit("id"), host, ident))
-        .when(norm != "", F.concat(F.lit("url|"), norm))
-        .when(ident != "", F.concat(F.lit("id|"), ident))
-        .otherwise("")
-    )
+    return let(_host_and_url(url), lambda pair: _job_key(trim(job_id), pair))
 
 
 def url_key(url) -> Column:
-    norm = normalize_url(url)
-    return F.when(norm != "", F.concat(F.lit("url|"), norm)).otherwise("")
+    return _by_url(normalize_url(url))
 
 
 def id_key(job_id, url) -> Column:
-    ident, host = trim(job_id), url_host(url)
-    return (
-        F.when(ident == "", "")
-        .when(host != "", F.concat_ws("|", F.lit("id"), host, ident))
-        .otherwise(F.concat(F.lit("id|"), ident))
-    )
+    ident = trim(job_id)
+    return F.when(ident != "", _by_id(ident, url_host(url))).otherwise("")
+
+
+def all_keys(job_id, url) -> Column:
+    """Array of job, address and id key, from one reading of the address."""
+    ident = trim(job_id)
+
+    def three(pair):
+        by_id = F.when(ident != "", _by_id(ident, _host(pair))).otherwise("")
+        return F.array(_job_key(ident, pair), _by_url(_url(pair)), by_id)
+
+    return let(_host_and_url(url), three)
 
 
 def session_key(job_id, url) -> Column:
     """Key of one scrape session: the id wins over the address, the host keeps its prefix."""
     ident, raw = trim(job_id), trim(url)
-    absolute = _raw_host(raw)
-    host = F.when(absolute != "", absolute).otherwise(
-        F.lower(F.substring_index(_without_scheme(raw), "/", 1))
-    )
-    path = _raw_path(raw)
-    address = F.when(absolute != "", F.concat(absolute, _one_slash_off(path))).otherwise(
-        F.lower(_cleaned(raw))
-    )
-    return (
-        F.when((ident != "") & (host != ""), F.concat_ws("|", F.lit("id"), host, ident))
-        .when(ident != "", F.concat(F.lit("id|"), ident))
-        .when(address != "", F.concat(F.lit("url|"), address))
-        .otherwise("")
-    )
+
+    def put(parts):
+        web = F.contains(parts, F.lit(CUT))
+        host = F.lower(F.when(web, F.substring_index(parts, CUT, 1)).otherwise(F.substring_index(_without_scheme(raw), "/", 1)))
+        address = F.when(web, F.concat(host, F.substring_index(parts, CUT, -1))).otherwise(F.lower(_cleaned(raw)))
+        return F.when(ident != "", _by_id(ident, host)).otherwise(_by_url(address))
+
+    return let(F.regexp_replace(raw, WEB_WHOLE_HOST, "$1" + CUT + "$2"), put)
 
 
 def null_if_blank_key(key: Column) -> Column:

@@ -1,0 +1,164 @@
+"""Small reader for loose HTML: elements by CSS-like selectors, used inside Spark tasks."""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+from html.parser import HTMLParser
+
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+SILENT = frozenset(("script", "style", "noscript", "template"))
+# Tags a new one of the same kind closes, as browsers do.
+SELF_CLOSING = frozenset(("p", "li", "tr", "td", "th", "option", "dt", "dd"))
+
+
+class Node:
+    __slots__ = ("tag", "attrs", "kids", "parent")
+
+    def __init__(self, tag, attrs, parent):
+        self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+
+    def walk(self):
+        """Elements below this one in document order, without recursion."""
+        stack = list(reversed(self.kids))
+        while stack:
+            item = stack.pop()
+            if isinstance(item, Node):
+                yield item
+                stack.extend(reversed(item.kids))
+
+    def text(self) -> str:
+        parts, stack = [], [self]
+        while stack:
+            item = stack.pop()
+            if isinstance(item, str):
+                parts.append(item)
+            elif item.tag not in SILENT or item is self:
+                stack.extend(reversed(item.kids))
+        return re.sub(r"[\s ﻿]+", " ", "".join(parts)).strip()
+
+
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Node("", {}, None)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in SELF_CLOSING and self.at.tag == tag:
+            self.at = self.at.parent
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.kids.append(node)
+        if tag not in VOID:
+            self.at = node
+
+    def handle_startendtag(self, tag, attrs):
+        self.at.kids.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+
+    def handle_endtag(self, tag):
+        node = self.at
+        while node.parent is not None and node.tag != tag:
+            node = node.parent
+        if node.parent is not None:
+            self.at = node.parent
+
+    def handle_data(self, data):
+        self.at.kids.append(data)
+
+
+def parse(html: str) -> Node:
+    builder = _Builder()
+    builder.feed(html or "")
+    builder.close()
+    return builder.root
+
+
+STEP = re.compile(r"([#.]?[\w-]+|\*)|\[([\w:-]+)(?:([*^$~]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
+
+
+@lru_cache(maxsize=4096)
+def _compiled(selector: str):
+    """Comma list → chains of steps → tests; only descendants are supported."""
+    chains = []
+    for part in re.split(r",(?![^\[]*\])", selector):
+        steps = re.findall(r"(?:[^\s\[]|\[[^\]]*\])+", part.strip())
+        chains.append(tuple(tuple(STEP.findall(step)) for step in steps))
+    return tuple(chains)
+
+
+def _fits(node: Node, tests) -> bool:
+    for word, attr, operator, wanted in tests:
+        if attr:
+            have = node.attrs.get(attr)
+            if have is None or not _compare(have, operator, wanted):
+                return False
+        elif word.startswith("#"):
+            if node.attrs.get("id") != word[1:]:
+                return False
+        elif word.startswith("."):
+            if word[1:] not in node.attrs.get("class", "").split():
+                return False
+        elif word not in ("*", node.tag):
+            return False
+    return True
+
+
+def _compare(have: str, operator: str, wanted: str) -> bool:
+    if operator == "*=":
+        return wanted in have
+    if operator == "^=":
+        return have.startswith(wanted)
+    if operator == "$=":
+        return have.endswith(wanted)
+    if operator == "~=":
+        return wanted in have.split()
+    return not operator or have == wanted
+
+
+def _under(node: Node, steps, top: Node) -> bool:
+    """Do the ancestors of ``node`` fit the leading steps, from the inside out?"""
+    at, index = node.parent, len(steps) - 1
+    while index >= 0:
+        if at is None:
+            return False
+        if _fits(at, steps[index]):
+            index -= 1
+        if at is top and index >= 0:
+            return False
+        at = at.parent
+    return True
+
+
+def select(top: Node, selector: str):
+    """Matching elements below ``top`` in document order."""
+    chains = _compiled(selector)
+    for node in top.walk():
+        if any(_fits(node, chain[-1]) and _under(node, chain[:-1], top) for chain in chains):
+            yield node
+
+
+def value(top: Node, rule: str) -> str:
+    """First non-blank value of a rule.
+
+    A rule is a list of selectors split by ``|``, tried in order; ``@name`` at the
+    end reads an attribute, a bare ``@name`` an attribute of the element itself,
+    ``self`` its own text.
+    """
+    for option in rule.split("|"):
+        selector, _, attr = option.strip().partition(" @") if " @" in option else (option.strip(), "", "")
+        if selector.startswith("@"):
+            nodes, attr = [top], selector[1:]
+        elif selector == "self":
+            nodes = [top]
+        else:
+            nodes = select(top, selector)
+        for node in nodes:
+            found = node.attrs.get(attr, "").strip() if attr else node.text()
+            if found:
+                return found
+            break
+    return ""
+
+
+def values(top: Node, selector: str) -> list[str]:
+    """Distinct non-blank texts of all matches, in order."""
+    return list(dict.fromkeys(t for t in (n.text() for n in select(top, selector)) if t))

@@ -23,6 +23,8 @@ SPACE = (
     r"[\s\x{000B}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
     r"\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
+# The look-ahead rejects printable ASCII with one range test before the long class is tried.
+SPACE_RUN = "(?=[^!-~])" + SPACE + "+"
 
 
 def col(value) -> Column:
@@ -45,7 +47,7 @@ def trim(value) -> Column:
 
 def collapse(value) -> Column:
     """Runs of white space to one blank, ends trimmed."""
-    return F.btrim(F.regexp_replace(text(value), SPACE + "+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(text(value), SPACE_RUN, " "), F.lit(" "))
 
 
 def blank_to_null(value) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolemill.functions.text import blank_to_null, collapse, text, trim
+from rolemill.functions.text import blank_to_null, collapse, let, text, trim
 
 NUMBER_PREFIX = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
@@ -125,23 +125,34 @@ def posted_age_rule(value, as_of, strict_compat: bool = False) -> Column:
     'a moment ago'; the default wants a whole word or a number before it.
     """
     raw = trim(value)
+
+    def judge(flat: Column, packed: Column) -> Column:
+        ago = F.contains(packed, F.lit("AGO"))
+        months = packed.rlike("MO") if strict_compat else (
+            flat.rlike(r"(?<!\w)(?:MONTHS?|MOS?)(?!\w)") | packed.rlike(r"\d(?:MONTHS?|MOS?)(?:AGO|$)")
+        )
+        spaced = F.regexp_extract(flat, r"(\d+)\s*(?:WEEKS?|WKS?)(?!\w)", 1)
+        joined = F.regexp_extract(packed, r"(\d+)(?:WEEK|WK)", 1)
+        weeks = F.coalesce(blank_to_null(spaced), blank_to_null(joined)).try_cast("int")
+        return (
+            F.when(ago & packed.rlike("YEAR|YR"), "ago+year")
+            .when(ago & months, "ago+months")
+            .when(ago & weeks.between(3, 9), "ago+weeks(3-9)")
+            .otherwise(let(_age_days(raw, as_of), _by_days))
+        )
+
     flat = collapse(F.regexp_replace(F.upper(raw), r"[\x{200B}-\x{200D}\x{FEFF}]", ""))
-    packed = F.regexp_replace(flat, "[^A-Z0-9]", "")
-    ago = F.contains(packed, F.lit("AGO"))
-    years = packed.rlike("YEAR|YR")
-    months = packed.rlike("MO") if strict_compat else (
-        flat.rlike(r"(?<!\w)(?:MONTHS?|MOS?)(?!\w)") | packed.rlike(r"\d(?:MONTHS?|MOS?)(?:AGO|$)")
-    )
-    weeks_flat = F.regexp_extract(flat, r"(\d+)\s*(?:WEEKS?|WKS?)(?!\w)", 1)
-    weeks_packed = F.regexp_extract(packed, r"(\d+)(?:WEEK|WK)", 1)
-    weeks = blank_to_null(F.when(weeks_flat != "", weeks_flat).otherwise(weeks_packed)).try_cast("int")
-    moment = instant(raw)
-    age = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(moment)) / F.lit(86_400_000_000))
+    return let(flat, lambda f: let(F.regexp_replace(f, "[^A-Z0-9]", ""), lambda p: judge(f, p)))
+
+
+def _age_days(raw: Column, as_of: Column) -> Column:
+    passed = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(instant(raw))
+    return F.floor(passed / F.lit(86_400_000_000))
+
+
+def _by_days(age: Column) -> Column:
     return (
-        F.when(ago & years, "ago+year")
-        .when(ago & months, "ago+months")
-        .when(ago & weeks.between(3, 9), "ago+weeks(3-9)")
-        .when(age >= 365, "absolute>=1y")
+        F.when(age >= 365, "absolute>=1y")
         .when(age >= 30, "absolute>=1m")
         .when(age.between(21, 63), "absolute=weeks(3-9)")
         .otherwise("")

@@ -30,9 +30,7 @@ def history_keys(*tables: DataFrame) -> DataFrame:
 
 def three_keys(df: DataFrame) -> DataFrame:
     """(row_seq, key) for the job, address and id key of each row, blanks left out."""
-    kinds = F.array_distinct(
-        F.array(K.job_key("JobId", "JobUrl"), K.url_key("JobUrl"), K.id_key("JobId", "JobUrl"))
-    )
+    kinds = F.array_distinct(K.all_keys("JobId", "JobUrl"))
     return df.select(SEQ, F.explode(kinds).alias("key")).filter(F.col("key") != "")
 
 
