@@ -258,7 +258,7 @@ def extract_job_links(spark, sf):
 )
 def longest_block(spark, sf):
     safe = F.replace(F.replace("body", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    html = F.concat(F.lit("<body><nav>menu menu</nav><div class='a'>short<div id=1>"), safe, F.lit("</div>tail</div><script>"), F.rpad(F.lit("x"), 50_000, "x"), F.lit("</script></body>"))
+    html = F.concat(F.lit("<body><nav>menu menu</nav><div class='a'>short<div id=1>"), safe, F.lit("</div>tail</div><script>"), F.rpad(F.lit("x"), 2_000, "x"), F.lit("</script></body>"))
     return page_texts(spark, sf).select("row_seq", E.longest_block(html).alias("block"))
 
 

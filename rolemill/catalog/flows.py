@@ -251,10 +251,11 @@ def stream_quota(spark, sf):
       WHERE event_type = 'error' OR ts + INTERVAL 240 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 )
 def stream_lease_ttl(spark, sf):
-    folder, check = new_folder(spark, "lease-ttl"), new_folder(spark, "lease-ttl-checkpoint")
+    root, check = new_folder(spark, "lease-ttl"), new_folder(spark, "lease-ttl-checkpoint")
     events = event_stream(spark, sf).select(F.col("event_id").cast("string").alias("lease_id"), F.when(F.col("event_type") == "error", "saved").otherwise("leased").alias("state"), "at")
-    S.run_available(S.lease_expiry(events, 240, "1 hour").writeStream.format("parquet").option("path", folder), check)
-    return spark.read.parquet(folder)
+    empty = spark.createDataFrame([], "lease_id string, state string, issued_at timestamp, ended_at timestamp, seen_at timestamp")
+    out = S.merge_batches(events, check, S.StateTable(root, empty), lambda old, batch, _: S.lease_states(old, batch, 240, 60))
+    return out.filter("state <> 'leased'").select("lease_id", "state")
 
 
 @query("stream_events_sink", "SELECT event_type, CAST(user_id AS VARCHAR) AS job_id, count(*) AS n FROM events GROUP BY 1, 2")

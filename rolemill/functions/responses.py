@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolemill.functions.text import SPACE, blank_to_null, pad_three, text, trim, work_mode
+from rolemill.functions.text import SPACE, blank_to_null, let, pad_three, text, trim, work_mode
 
 # Names under which a short description may come.
 SHORT_NAMES = ("job short desc", "jobShortDesc", "job_short_desc", "jobShortDescription", "job_short_description")
@@ -150,17 +150,29 @@ SECTION_MARK = r"(?m)(?:^|\n)\s*(?:[#>*\-]\s*)?(?:\*\*)?(\d{1,2})(?:\*\*)?\s*[).
 
 def numbered_sections(value) -> Column:
     """Array of (num, body); text without a marker is section 1, a repeated number keeps its last body."""
-    content = trim(F.replace(text(value), F.lit("\r\n"), F.lit("\n")))
-    cut = F.split(F.regexp_replace(content, SECTION_MARK, "\x01$1\x02"), "\x01")
-    parts = F.transform(
-        F.slice(cut, 2, F.greatest(F.size(cut), F.lit(1))),
-        lambda p: F.struct(
-            F.substring_index(p, "\x02", 1).try_cast("int").alias("num"),
-            trim(F.regexp_extract(p, "(?s)^\\d+\x02(.*)$", 1)).alias("body"),
-        ),
-    )
+
+    def cut(content):
+        marked = F.regexp_replace(content, SECTION_MARK, "\x01$1\x02")
+        return let(F.split(marked, "\x01"), lambda pieces: let(_sections(pieces), lambda p: whole(content, p)))
+
+    def whole(content, parts):
+        one = F.array(F.struct(F.lit(1).alias("num"), content.alias("body")))
+        return F.when(content == "", F.slice(one, 1, 0)).when(F.size(parts) == 0, one).otherwise(_last_per_number(parts))
+
+    return let(trim(F.replace(text(value), F.lit("\r\n"), F.lit("\n"))), cut)
+
+
+def _sections(pieces: Column) -> Column:
+    def read(piece):
+        return F.struct(
+            F.substring_index(piece, "\x02", 1).try_cast("int").alias("num"),
+            trim(F.substring_index(piece, "\x02", -1)).alias("body"),
+        )
+
+    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), read)
+
+
+def _last_per_number(parts: Column) -> Column:
     numbers = F.transform(parts, lambda p: p["num"])
-    last = lambda p, i: i == F.size(numbers) - F.array_position(F.reverse(numbers), p["num"]).cast("int")
-    whole = F.array(F.struct(F.lit(1).alias("num"), content.alias("body")))
-    none = F.slice(whole, 1, 0)
-    return F.when(content == "", none).when(F.size(parts) == 0, whole).otherwise(F.filter(parts, last))
+    back = lambda p: F.array_position(F.reverse(numbers), p["num"]).cast("int")
+    return F.filter(parts, lambda p, i: i == F.size(numbers) - back(p))

@@ -23,8 +23,9 @@ SPACE = (
     r"[\s\x{000B}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
     r"\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
-# The look-ahead rejects printable ASCII with one range test before the long class is tried.
-SPACE_RUN = "(?=[^!-~])" + SPACE + "+"
+# White space that has to change: a run that is more than one plain blank. The
+# look-aheads reject printable ASCII with a range test before the long class is tried.
+SPACE_RUN = "(?=[^!-~])(?: (?=[^!-~])|(?=[^ -~]))" + SPACE + "+"
 
 
 def col(value) -> Column:

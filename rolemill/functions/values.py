@@ -88,34 +88,39 @@ def relative_date(value, as_of) -> Column:
     Months step back by the calendar and roll over: 31 March less one month is
     the 31st day counted from 1 February.
     """
-    low = F.lower(trim(value))
     now = F.to_date(as_of)
 
-    def ago(unit):
+    def ago(low, unit):
         return blank_to_null(F.regexp_extract(low, rf"(\d+)\s*{unit}s?\s*ago", 1)).try_cast("int")
 
-    days, weeks, months = ago("day"), ago("week"), ago("month")
-    rolled = F.date_add(F.trunc(F.add_months(now, -months), "MM"), F.dayofmonth(now) - 1)
-    pattern = r"(\d{1,2})/(\d{1,2})/(\d{4})"
-    first, second, year = (F.regexp_extract(low, pattern, i) for i in (1, 2, 3))
-    in_range = year.try_cast("int").between(2001, 2099)
-    found = rf"({MONTH_NAME})\s+(\d{{1,2}}),?\s+(\d{{4}})"
-    name = F.lower(F.substring(F.regexp_extract(text(value), found, 1), 1, 3))
-    inner = _date(
-        F.regexp_extract(text(value), found, 3),
-        F.array_position(F.array(*map(F.lit, MONTHS)), name).cast("string"),
-        F.regexp_extract(text(value), found, 2),
-    )
-    inner_year = F.regexp_extract(text(value), found, 3).try_cast("int").between(2001, 2099)
-    return F.coalesce(
-        F.date_sub(now, days),
-        F.date_sub(now, weeks * 7),
-        rolled,
-        F.to_date(instant(value)),
-        F.when(inner_year, F.to_date(inner)),
-        F.when(in_range, F.to_date(_date(year, first, second))),
-        F.when(in_range, F.to_date(_date(year, second, first))),
-    )
+    def stepped(low):
+        months = ago(low, "month")
+        rolled = F.date_add(F.trunc(F.add_months(now, -months), "MM"), F.dayofmonth(now) - 1)
+        return F.coalesce(F.date_sub(now, ago(low, "day")), F.date_sub(now, ago(low, "week") * 7), rolled)
+
+    def year(raw, pattern):
+        return F.regexp_extract(raw, pattern, 3).try_cast("int").between(2001, 2099)
+
+    def named(raw):
+        found = rf"({MONTH_NAME})\s+(\d{{1,2}}),?\s+(\d{{4}})"
+        part = lambda i: F.regexp_extract(raw, found, i)
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(part(1), 1, 3)))
+        return F.when(year(raw, found), F.to_date(_date(part(3), month.cast("string"), part(2))))
+
+    def slashed(raw):
+        pattern = r"(\d{1,2})/(\d{1,2})/(\d{4})"
+        part = lambda i: F.regexp_extract(raw, pattern, i)
+        dates = F.coalesce(F.to_date(_date(part(3), part(1), part(2))), F.to_date(_date(part(3), part(2), part(1))))
+        return F.when(year(raw, pattern), dates)
+
+    def read(raw):
+        relative = F.when(raw.rlike("(?i)\\dago|\\d.*ago"), stepped(F.lower(raw)))
+        plain = F.when(F.contains(raw, F.lit("/")), slashed(raw)).otherwise(
+            F.coalesce(F.to_date(instant(raw)), named(raw))
+        )
+        return F.coalesce(relative, F.when(raw.rlike("\\d{4}"), plain))
+
+    return let(trim(value), read)
 
 
 def posted_age_rule(value, as_of, strict_compat: bool = False) -> Column:

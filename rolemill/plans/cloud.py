@@ -193,7 +193,7 @@ def enqueue(tasks: DataFrame, cap: int, day: Column) -> DataFrame:
 
 
 def notify_batch(jobs: DataFrame, notifications: DataFrame, chat: str, cap: int, as_of: Column, min_rate: int = 4) -> DataFrame:
-    """Messages for good jobs nobody was told about; over the day's cap they are blocked."""
+    """Messages for good jobs nobody was told about, in row_seq order; over the day's cap they are blocked."""
     wanted = filters.notify_candidates(jobs, notifications, chat, min_rate)
     asked = wanted.withColumns({"counter": F.lit("notify_sends"), "day": F.to_date(as_of)})
     ok = F.col("granted")

@@ -8,8 +8,6 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def build_session(app: str = "rolemill", cores: str | int = "*", shuffle: int | None = None) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""

@@ -9,57 +9,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from rolemill.operators.winners import SEQ
+from rolemill.operators.winners import SEQ, positions
 from rolemill.plans import cloud
 from rolemill.plans.leases import daily_quota
-from rolemill.session import STATE_STORE
 from rolemill.sources.readers import envelope_rows
 
 
 class StateTable:
-    """Versions of a small or large state table under one folder."""
+    """Versions of a state table under one folder, one per micro-batch."""
 
     def __init__(self, root: str, empty: DataFrame):
         self.root, self.empty = root, empty
 
-    def before(self, batch_id: int) -> DataFrame:
-        """The state a batch starts from."""
-        if batch_id == 0:
+    def versions(self) -> list[int]:
+        """Numbers of the versions that were written to the end."""
+        context = self.empty.sparkSession.sparkContext
+        pattern = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v*/_SUCCESS")
+        found = pattern.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        return sorted(int(status.getPath().getParent().getName()[1:]) for status in found)
+
+    def read(self, version: int | None) -> DataFrame:
+        if version is None:
             return self.empty
-        return self.empty.sparkSession.read.schema(self.empty.schema).parquet(f"{self.root}/v{batch_id - 1}")
+        return self.empty.sparkSession.read.schema(self.empty.schema).parquet(f"{self.root}/v{version}")
+
+    def before(self, batch_id: int) -> DataFrame:
+        """The state a batch starts from, also when it is tried again."""
+        return self.read(max((v for v in self.versions() if v < batch_id), default=None))
+
+    def last(self) -> DataFrame:
+        return self.read(max(self.versions(), default=None))
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.select(*self.empty.columns).write.mode("overwrite").parquet(f"{self.root}/v{batch_id}")
 
-    def last(self, batch_id: int) -> DataFrame:
-        return self.empty if batch_id < 0 else self.before(batch_id + 1)
-
 
-def run_available(writer, checkpoint: str) -> int:
-    """Process what is there, then stop; returns the last batch number, -1 if none ran."""
+def run_available(writer, checkpoint: str) -> None:
+    """Process what is there, then stop."""
     running = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     running.awaitTermination()
     if running.exception():
         raise running.exception()
-    done = running.lastProgress
-    return -1 if done is None else int(done["batchId"])
 
 
-def merge_batches(stream: DataFrame, checkpoint: str, state: StateTable, merge: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+def merge_batches(
+    stream: DataFrame, checkpoint: str, state: StateTable, merge: Callable[[DataFrame, DataFrame, int], DataFrame]
+) -> DataFrame:
     """Fold micro-batches into a state table and return its last version."""
-    seen = [-1]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         state.write(merge(state.before(batch_id), batch, batch_id), batch_id)
-        seen[0] = batch_id
 
     run_available(stream.writeStream.foreachBatch(step), checkpoint)
-    return state.last(seen[0])
+    return state.last()
 
 
 # --- ingest -----------------------------------------------------------------------
@@ -120,8 +125,6 @@ def quota(grants: DataFrame, batch: DataFrame, cap: int) -> DataFrame:
     """
     used = grants.groupBy("counter", "day").agg(F.count(F.lit(1)).alias("_used"))
     first = daily_quota(batch.select(SEQ, "counter", "day"), cap).filter("granted").drop("granted")
-    from rolemill.operators.winners import positions
-
     placed = positions(first, ["counter", "day"]).join(used, ["counter", "day"], "left")
     fresh = placed.filter(F.col("pos") + F.coalesce("_used", F.lit(0)) <= cap)
     return grants.unionByName(fresh.select(*grants.columns))
@@ -130,47 +133,32 @@ def quota(grants: DataFrame, batch: DataFrame, cap: int) -> DataFrame:
 # --- leases with a time limit --------------------------------------------------------
 
 
-class LeaseExpiry(StatefulProcessor):
-    """State per lease; an event-time timer expires leases that were not finished in time."""
-
-    def __init__(self, minutes: int = 240):
-        self.limit_ms = minutes * 60_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", "state string, issued_ms long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        out = []
-        for batch in rows:
-            for state, moment in zip(batch["state"], batch["at"]):
-                issued = int(moment.timestamp() * 1000)
-                if state == "leased":
-                    self.held.update(("leased", issued))
-                    self.handle.registerTimer(issued + self.limit_ms)
-                else:
-                    self.held.update((state, issued))
-                    out.append(state)
-        if out:
-            yield pd.DataFrame({"lease_id": [str(key[0])] * len(out), "state": out}, dtype=object)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        ended = self.held.exists() and self.held.get()[0] == "leased"
-        self.held.clear()
-        if ended:
-            yield pd.DataFrame({"lease_id": [str(key[0])], "state": ["expired"]}, dtype=object)
-
-    def close(self) -> None:
-        pass
-
-
-def lease_expiry(stream: DataFrame, minutes: int, delay: str) -> DataFrame:
-    """Lease outcomes from lease events (lease_id, state, at)."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    keyed = stream.withWatermark("at", delay).groupBy("lease_id")
-    return keyed.transformWithStateInPandas(
-        LeaseExpiry(minutes), "lease_id string, state string", "append", "eventtime"
+def lease_states(states: DataFrame, batch: DataFrame, minutes: int, delay_minutes: int) -> DataFrame:
+    """Fold lease events (lease_id, state, at) into one row per lease.
+
+    The clock is the latest event time seen, less the delay. A lease finished in
+    time keeps its outcome; one whose time has passed on that clock is expired.
+    """
+    limit = F.make_dt_interval(mins=F.lit(minutes))
+    opened = batch.select(
+        "lease_id",
+        F.when(F.col("state") == "leased", F.col("at")).alias("issued_at"),
+        F.when(F.col("state") != "leased", F.struct(F.col("at").alias("at"), F.col("state").alias("state"))).alias("end"),
+        F.col("at").alias("seen_at"),
+    )
+    known = states.select(
+        "lease_id", "issued_at", F.when(F.col("ended_at").isNotNull(), F.struct(F.col("ended_at").alias("at"), F.col("state"))).alias("end"), "seen_at"
+    )
+    folded = known.unionByName(opened).groupBy("lease_id").agg(
+        F.min("issued_at").alias("issued_at"), F.min("end").alias("end"), F.max("seen_at").alias("seen_at")
     )
+    clock = batch.agg(F.max("at").alias("t")).unionByName(states.agg(F.max("seen_at").alias("t"))).agg(F.max("t").alias("t")).scalar()
+    timed = folded.withColumn("_clock", clock - F.make_dt_interval(mins=F.lit(delay_minutes)))
+    due = F.col("issued_at") + limit
+    in_time = F.col("end").isNotNull() & F.coalesce(F.col("end.at") <= due, F.lit(True))
+    state = F.when(in_time, F.col("end.state")).when(due <= F.col("_clock"), "expired").otherwise("leased")
+    ended = F.when(in_time, F.col("end.at")).when(due <= F.col("_clock"), due)
+    return timed.select("lease_id", state.alias("state"), "issued_at", ended.alias("ended_at"), "seen_at")
 
 
 def read_folder(spark: SparkSession, folder: str, schema, kind: str = "parquet", **options) -> DataFrame:
