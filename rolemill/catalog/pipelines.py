@@ -224,13 +224,14 @@ def append_stage(spark, sf):
       m AS (SELECT source_id, sk, min(row_seq) AS row_seq, {', '.join(f"coalesce(arg_min({c}, row_seq) FILTER (WHERE {c} <> ''), '') AS {c}" for c in ('JobId', 'JobUrl', 'JobTitle'))} FROM j GROUP BY 1, 2),
       o AS (SELECT * FROM m WHERE row_seq IN (SELECT min(row_seq) FROM m GROUP BY sk)),
       h AS (SELECT DISTINCT key FROM ({_three} v_history) WHERE key <> '')
-      SELECT o.row_seq, o.JobId, o.JobUrl, 'Staged' AS Status, o.source_id AS ScrapePageName, coalesce(d.t, o.JobTitle) AS JobTitle, '' AS JobSalary FROM o
-      LEFT JOIN (SELECT 'url|' || lower(regexp_extract(url, '://([^/]+)', 1)) AS k, any_value(url) AS t FROM pages WHERE false GROUP BY 1) d ON o.sk = d.k
+      SELECT o.row_seq, o.JobId, o.JobUrl, 'Staged' AS Status, o.source_id AS ScrapePageName, CASE WHEN o.row_seq % 2 = 0 THEN 'Detail ' || CAST(o.row_seq AS VARCHAR) ELSE o.JobTitle END AS JobTitle, '' AS JobSalary FROM o
       WHERE NOT EXISTS (SELECT 1 FROM ({_three} o) x WHERE x.row_seq = o.row_seq AND x.key IN (SELECT key FROM h))""",
 )
 def scrape_to_stage(spark, sf):
     jobs = v_postings(spark, sf).select("row_seq", "JobId", "JobUrl", "JobTitle", F.col("source_id").alias("ScrapePageName"))
-    details = v_history(spark, sf).select(F.lit("none").alias("session_key"), F.lit("").alias("JobTitle")).limit(1)
+    keyed = jobs.withColumn("session_key", K.session_key("JobId", "JobUrl")).groupBy("session_key").agg(F.min("row_seq").alias("n"))
+    title = F.when(F.col("n") % 2 == 0, F.concat(F.lit("Detail "), F.col("n").cast("string"))).otherwise(" ")
+    details = keyed.select("session_key", title.alias("JobTitle"))
     return load.scrape_to_stage(jobs, details, v_history(spark, sf), header=["row_seq", "JobId", "JobUrl", "Status", "ScrapePageName", "JobTitle", "JobSalary"])
 
 
@@ -384,7 +385,7 @@ def enrich_stage(spark, sf):
 def scrape_results(spark, sf, rows=None):
     rows = v_postings(spark, sf) if rows is None else rows
     return rows.select(
-        "row_seq", "source_id", F.lit("run-1").alias("run_id"), F.col("JobId").alias("external_job_id"), F.col("JobUrl").alias("job_url"), F.col("JobApplyUrl").alias("job_apply_url"),
+        "row_seq", "source_id", F.concat(F.lit("run-"), "source_id").alias("run_id"), F.col("JobId").alias("external_job_id"), F.col("JobUrl").alias("job_url"), F.col("JobApplyUrl").alias("job_apply_url"),
         F.col("JobTitle").alias("job_title"), F.col("JobCompany").alias("job_company"), F.col("JobLocation").alias("job_location"), F.split("JobTags", ",").alias("job_tags"), F.col("JobDescription").alias("job_description"),
     )
 
@@ -406,7 +407,7 @@ _batch = f"SELECT {_hash} AS job_id, min(row_seq) AS row_seq FROM v_postings GRO
     with_views("v_history", "v_postings")
     + f""", o AS ({_stored}), b AS ({_batch})
       SELECT b.job_id, o.job_id IS NULL AS is_new, CASE WHEN o.job_id IS NULL THEN '{NOW}' ELSE '2024-01-01 00:00:00' END AS first_seen, '{NOW}' AS last_seen, CASE WHEN o.job_id IS NULL THEN 'new' ELSE '2Apply' END AS status,
-        CASE WHEN o.job_id IS NULL THEN 0 ELSE 4 END AS rate_num, CASE WHEN o.job_id IS NULL THEN 1 ELSE 3 END AS pipeline_version, 'run-1' AS run, {q.trim('p.JobTitle')} AS title
+        CASE WHEN o.job_id IS NULL THEN 0 ELSE 4 END AS rate_num, CASE WHEN o.job_id IS NULL THEN 1 ELSE 3 END AS pipeline_version, 'run-' || p.source_id AS run, {q.trim('p.JobTitle')} AS title
       FROM b JOIN v_postings p ON b.row_seq = p.row_seq LEFT JOIN o ON b.job_id = o.job_id""",
 )
 def upsert_jobs(spark, sf):
@@ -418,8 +419,8 @@ def upsert_jobs(spark, sf):
 @query(
     "ingest_run",
     with_views("v_history", "v_postings")
-    + f""", o AS ({_stored}), b AS ({_batch}) SELECT 'run-1' AS run_id, count(*) AS jobs_received, count(*) FILTER (WHERE job_id NOT IN (SELECT job_id FROM o)) AS jobs_new,
-      count(*) FILTER (WHERE job_id NOT IN (SELECT job_id FROM o)) AS ingested, count(*) FILTER (WHERE job_id IN (SELECT job_id FROM o)) AS reseen FROM b""",
+    + f""", o AS ({_stored}), b AS ({_batch}) SELECT 'run-' || p.source_id AS run_id, count(*) AS jobs_received, count(*) FILTER (WHERE o.job_id IS NULL) AS jobs_new,
+      count(*) FILTER (WHERE o.job_id IS NULL) AS ingested, count(*) FILTER (WHERE o.job_id IS NOT NULL) AS reseen FROM b JOIN v_postings p ON b.row_seq = p.row_seq LEFT JOIN o ON b.job_id = o.job_id GROUP BY 1""",
 )
 def ingest_run(spark, sf):
     batch, stored = cloud.result_jobs(scrape_results(spark, sf)), stored_jobs(spark, sf)
