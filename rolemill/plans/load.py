@@ -9,6 +9,7 @@ from rolemill.functions import keys as K
 from rolemill.functions.text import blank_to_null, first_filled, text, trim
 from rolemill.operators import aggregates, joins, schema
 from rolemill.operators.winners import SEQ, keep_first, mark
+from rolemill.session import written
 
 
 def append_stage(rows: DataFrame, header, page_name: str = "") -> DataFrame:
@@ -55,7 +56,8 @@ def scrape_to_stage(jobs: DataFrame, details: DataFrame, *tables: DataFrame, hea
     """Scraped postings of all sources to staging rows.
 
     Repeats inside a source fill each other's blanks, the session key removes
-    repeats across sources, history removes known ones, details overwrite.
+    repeats across sources, history removes known ones, details overwrite. The
+    batch is written once before it meets the history, since three joins read it.
     """
     keyed = jobs.withColumn("session_key", blank_to_null(K.session_key("JobId", "JobUrl"))).filter(
         F.col("session_key").isNotNull()
@@ -64,7 +66,7 @@ def scrape_to_stage(jobs: DataFrame, details: DataFrame, *tables: DataFrame, hea
     firsts = [F.min_by(c, F.when(text(c) != "", F.col(SEQ))).alias(c) for c in fields]
     merged = keyed.groupBy("ScrapePageName", "session_key").agg(F.min(SEQ).alias(SEQ), *firsts)
     filled = merged.select(SEQ, "session_key", "ScrapePageName", *[text(c).alias(c) for c in fields])
-    once = keep_first(filled, "session_key")
+    once = written(keep_first(filled, "session_key"), "scraped-once")
     mask = joins.keep_mask(once, *tables)
     kept = once.join(mask.filter("keep"), SEQ, "left_semi")
     detail_fields = [c for c in details.columns if c not in (SEQ, "session_key") and c in fields]

@@ -9,6 +9,7 @@ from rolemill.operators import moves, schema
 from rolemill.operators.settings import Settings
 from rolemill.plans import answers as A
 from rolemill.plans import load, rate
+from rolemill.session import written
 
 
 def run_all(
@@ -22,8 +23,8 @@ def run_all(
 ) -> dict[str, DataFrame]:
     """One pass over the tables; ``extracted`` holds the answers of the extraction model.
 
-    The result names the tables after the pass. Nothing is written here: the
-    caller writes them and cuts the lineage by doing so.
+    The result names the tables after the pass. The rated rows are written once,
+    since three splits read them; the caller writes the tables themselves.
     """
     fresh = load.increment_load(load.validate_stage(stage).drop("first_bad"), new_jobs, history, deleted, as_of=as_of)
     rows = schema.widen_union(new_jobs, fresh)
@@ -32,6 +33,7 @@ def run_all(
     if extracted is not None:
         rows = A.medium_b_rate(rows, extracted, as_of)
     rows = rate.medium_c_rate(rows, settings.stack_negative, settings.company_negative, as_of)
+    rows = written(rows, "rated-rows")
     rows, gone = moves.move_by_status(rows, deleted, "2Delete")
     rows, archived = moves.move_older(rows, history, "LoadDttm", as_of, settings.archive_days)
     return {"new_jobs": rows, "history": archived, "deleted": gone}

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "rolemill", cores: str | int = "*", shuffle: int | None = None) -> SparkSession:
@@ -50,3 +50,14 @@ def durable_root(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name below the durable root, never reused."""
     return f"{durable_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in the durable folder: computed once, kept when executors are lost.
+
+    For frames that several later joins read; each would otherwise compute it again.
+    """
+    spark = df.sparkSession
+    folder = new_folder(spark, purpose)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
