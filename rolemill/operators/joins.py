@@ -245,7 +245,9 @@ def unleased(rows: DataFrame, leases: DataFrame, table_name: str) -> DataFrame:
 
 def apply_actions(actions: DataFrame, jobs: DataFrame) -> DataFrame:
     """Actions with the status they lead to; an unknown job is an error row."""
-    joined = actions.join(jobs.select("job_id", "status", "pipeline_stage"), "job_id", "left")
+    sizes = actions.groupBy("job_id").agg(F.count(F.lit(1)).alias("_size"))
+    asked = sizes.join(jobs.select("job_id", "status", "pipeline_stage"), "job_id")
+    joined = attach_group(actions, asked, "job_id", "_size")
     known = F.col("status").isNotNull()
     next_status = (
         F.when(~known, None)

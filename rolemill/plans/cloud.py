@@ -11,7 +11,7 @@ from rolemill.functions import keys as K
 from rolemill.functions.text import blank_to_null, first_filled, normalize_key, normalize_tag_array, text, trim
 from rolemill.operators import filters, joins
 from rolemill.operators.settings import notify_message
-from rolemill.operators.winners import SEQ, first_rows
+from rolemill.operators.winners import SEQ, attach_group, first_rows
 from rolemill.plans.leases import daily_quota
 
 CAP_ERROR = "Daily task enqueue cap reached"
@@ -119,9 +119,9 @@ def source_runtime(sources: DataFrame, runs: DataFrame) -> DataFrame:
         F.max(F.when(ok, F.col(SEQ))).alias("_last_ok"),
         F.max_by("finished_at", F.when(ok, F.col(SEQ))).alias("_ok_at"),
         F.max_by(F.struct(ok.alias("ok"), "finished_at"), SEQ).alias("_latest"),
-        F.count_if(~ok).alias("_failures"),
+        F.count(F.lit(1)).alias("_size"),
     )
-    trailing = runs.join(last.select("source_id", "_last_ok"), "source_id").filter(
+    trailing = attach_group(runs, last.select("source_id", "_size", "_last_ok"), "source_id", "_size").filter(
         ~ok & (F.col("_last_ok").isNull() | (F.col(SEQ) > F.col("_last_ok")))
     )
     tail = trailing.groupBy("source_id").agg(F.count(F.lit(1)).alias("_tail"))
