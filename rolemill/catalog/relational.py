@@ -955,19 +955,16 @@ def pivot_daily_funnel(spark, sf):
 @query(
     "mart_order",
     with_views("v_status")
-    + """SELECT row_seq, row_number() OVER (ORDER BY JobRateNum DESC, CASE WHEN row_seq % 2 = 0 THEN LoadDttm END DESC NULLS LAST, LoadDttm DESC, row_seq) AS pos
-      FROM v_status WHERE Status = '2Apply' AND JobRateNum IN ('3', '4', '5') ORDER BY pos LIMIT 100""",
+    + f"""SELECT row_seq, CAST(JobRateNum AS INTEGER) AS rate, CASE WHEN row_seq % 2 = 0 THEN {sql_stamp('LoadDttm')} END AS rated, {sql_stamp('LoadDttm')} AS loaded
+      FROM v_status WHERE Status = '2Apply' AND JobRateNum IN ('3', '4', '5') ORDER BY rate DESC, rated DESC NULLS LAST, loaded DESC, row_seq""",
 )
 def mart_order(spark, sf):
-    """The first hundred rows of the mart, with their place (a report, so the limit is the feature)."""
+    """All rows of the mart in its order."""
     df = filters.by_status(v_status(spark, sf), "2Apply").withColumns(
         {"rate": values.lenient_number("JobRateNum"), "JobRateDttm": F.when(F.col("row_seq") % 2 == 0, F.col("LoadDttm"))}
     )
-    top = order.mart_order(df.filter(F.col("rate").isin(3, 4, 5))).limit(100)
-    from pyspark.sql import Window as W
-
-    place = W.orderBy(F.col("rate").desc(), F.desc_nulls_last("JobRateDttm"), F.desc_nulls_last("LoadDttm"), F.col("row_seq"))
-    return top.withColumn("pos", F.row_number().over(place)).select("row_seq", "pos")
+    ordered = order.mart_order(df.filter(F.col("rate").isin(3, 4, 5)))
+    return ordered.select("row_seq", F.col("rate").cast("int").alias("rate"), stamp("JobRateDttm").alias("rated"), stamp("LoadDttm").alias("loaded"))
 
 
 @query(

@@ -45,3 +45,15 @@ def test_quota_prunes_before_the_shuffle(spark):
 
 def test_top_list_needs_no_full_sort(spark):
     assert "TakeOrderedAndProject" in plan_of(QUERIES["top_good_jobs"](spark, SF_DIR))
+
+
+def test_orders_come_out_in_order(spark):
+    from rolemill.catalog.registry import ORACLES
+    from tests.oracle import connect
+
+    con = connect(SF_DIR)
+    for name in ("mart_order", "top_good_jobs", "plan_order", "lease_limit"):
+        cursor = con.execute(ORACLES[name])
+        names = [d[0] for d in cursor.description]
+        have = [tuple(r) for r in QUERIES[name](spark, SF_DIR).select(*names).collect()]
+        assert have == cursor.fetchall()
