@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -42,8 +43,14 @@ def durable_root(spark: SparkSession) -> str:
     )
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return _one_machine_folder()
+
+
+@functools.cache
+def _one_machine_folder() -> str:
+    """For a session of one process that names no folder, as in tests."""
     return tempfile.mkdtemp(prefix="rolemill-")
 
 
