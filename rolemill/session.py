@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,28 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for frames that run its Python code there.
+
+    Spark's own workers on the driver's machine import it from where the driver does.
+    """
+    if spark.sparkContext.master.startswith("local["):
+        return
+    sent = [p for p in spark.sparkContext._python_includes if p.startswith("rolemill-")]
+    if not sent:
+        spark.sparkContext.addPyFile(_zipped())
+
+
+@functools.cache
+def _zipped() -> str:
+    package = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="rolemill-code-")) / "rolemill-code.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    return str(target)
+
+
 def durable_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
