@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rolemill.llm import exact_dedup as dedup
-from rolemill.llm import length_buckets, line_dedup, preference_format, source_mixing
+from rolemill.llm import exact_topk, language_id, length_buckets, line_dedup, line_quality, preference_format, source_mixing
 from rolemill.llm.common import read
 
 
@@ -14,9 +14,12 @@ def exact_query(spark, sf_dir: str):
 QUERIES = {
     "op1_preference_format": preference_format.preference_query,
     "op2_source_mixing": source_mixing.mixing_query,
+    "op4_language_id": language_id.language_query,
     "op6_exact_dedup": exact_query,
     "op7_line_dedup": line_dedup.line_query,
+    "op8_exact_topk": exact_topk.topk_query,
     "op9_length_buckets": length_buckets.packing_query,
+    "op10_line_quality": line_quality.quality_query,
 }
 
 ORACLES = {
@@ -24,4 +27,5 @@ ORACLES = {
     "op2_source_mixing": source_mixing.SQL,
     "op6_exact_dedup": dedup.SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op8_exact_topk": exact_topk.SQL,
 }
