@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rolemill.llm import exact_dedup as dedup
-from rolemill.llm import exact_topk, language_id, length_buckets, line_dedup, line_quality, preference_format, source_mixing
+from rolemill.llm import exact_topk, language_id, length_buckets, line_dedup, line_quality, preference_format, source_mixing, url_graph
 from rolemill.llm.common import read
 
 
@@ -14,6 +14,7 @@ def exact_query(spark, sf_dir: str):
 QUERIES = {
     "op1_preference_format": preference_format.preference_query,
     "op2_source_mixing": source_mixing.mixing_query,
+    "op3_url_graph": url_graph.url_query,
     "op4_language_id": language_id.language_query,
     "op6_exact_dedup": exact_query,
     "op7_line_dedup": line_dedup.line_query,
