@@ -6,7 +6,9 @@ from rolemill.llm import stages
 from rolemill.llm.common import read, written
 
 STAGES = [
+    ("language ID", stages.language_stage),
     ("line dedup", stages.line_stage),
+    ("jaccard join", stages.jaccard_stage),
     ("mixing", stages.mixing_stage),
     ("packing", stages.packing_stage),
 ]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rolemill.llm import exact_dedup as dedup
-from rolemill.llm import exact_topk, language_id, length_buckets, line_dedup, line_quality, preference_format, source_mixing, url_graph
+from rolemill.llm import exact_topk, jaccard_join, language_id, length_buckets, line_dedup, line_quality, preference_format, source_mixing, url_graph
 from rolemill.llm.common import read
 
 
@@ -16,6 +16,7 @@ QUERIES = {
     "op2_source_mixing": source_mixing.mixing_query,
     "op3_url_graph": url_graph.url_query,
     "op4_language_id": language_id.language_query,
+    "op5_jaccard_join": jaccard_join.jaccard_query,
     "op6_exact_dedup": exact_query,
     "op7_line_dedup": line_dedup.line_query,
     "op8_exact_topk": exact_topk.topk_query,
