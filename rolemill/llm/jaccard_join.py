@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolemill.llm.arrow_text import chunks, mix, words
-from rolemill.llm.common import read, written
+from rolemill.llm.common import read, whole_row, written
 from rolemill.llm.components import components
 from rolemill.session import ship_package
 
@@ -266,7 +266,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     times = judged.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
     stays = times.join(first, times["doc_id"].eqNullSafe(first["doc_id"]) & (times["text_hash"] == first["text_hash"]), "left_semi")
     stays = written(stays.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "times"), "stays")
-    row = F.struct(*docs.columns).alias("row")
+    row = whole_row(docs).alias("row")
     keyed = docs.select(row, F.col("doc_id").cast("long").alias("_id2"), F.xxhash64("text").alias("_hash"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
     met = keyed.where("worded").join(stays, "_hash").where(F.col("_id").eqNullSafe(F.col("_id2")))
     single = met.where("times = 1").select("row")

@@ -14,7 +14,8 @@ share 37 more by code point; runs of anything else are one word boundary.
 
 Defined results: `und` with score 0 where the text is null or has no letters, or where there is
 nothing to learn from; ties go to the first language by name; texts of any length are read whole;
-rows with null language are not learned from; an empty table gives no rows.
+rows with null language are not learned from; an empty table gives no rows; extra columns are kept, but
+for ones named lang_pred or score, which are replaced.
 """
 
 from __future__ import annotations
@@ -156,7 +157,7 @@ def learn_prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """Add lang_pred and score to the rows."""
+    """Add lang_pred and score to the rows, or replace them."""
     ship_package(docs.sparkSession)
     names = sorted(prototypes)
     table = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), DIMENSIONS)
@@ -172,9 +173,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             scores = np.where(known, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0.0).astype(float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], schema=pa.schema([*batch.schema, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
 
-    taken = {"lang_pred", "score"} & {c.lower() for c in docs.columns}
-    if taken:
-        raise ValueError(f"columns are to be added, but are there: {sorted(taken)}")
+    docs = docs.drop("lang_pred", "score")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(judge, f"{kinds}, lang_pred string, score double")
 

@@ -14,7 +14,7 @@ with another line need not emit variants. This changes no result.
 Defined results: blank lines and null texts are left as they are; a null doc_id comes last; rows with
 equal doc_id and text are judged alike, rows with equal doc_id and other text by their own lines;
 a document whose lines are all dropped keeps an empty text; an empty table gives no rows; extra
-columns are kept.
+columns are kept, but for one named lines_dropped, which is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolemill.llm.common import SPACES, read, written
+from rolemill.llm.common import SPACES, read, spread_row, whole_row, written
 
 MIN_WORDS = 8
 LAST = 2**63 - 1
@@ -139,16 +139,15 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``, and ``lines_dropped``."""
-    keyed = docs.withColumn("row_key", _row_key())
+    keyed = docs.select(whole_row(docs).alias("row"), "text", _row_key().alias("row_key"))
     split = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("dropped"))
     text = F.array_join(F.transform(kept, lambda i: split[i]), "\n")
-    return (
-        keyed.join(dropped_lines(docs), "row_key", "left")
-        .withColumns({"text": F.when(F.col("dropped").isNull(), F.col("text")).otherwise(text), "lines_dropped": F.coalesce(F.size("dropped"), F.lit(0))})
-        .withColumn("lines_dropped", F.greatest("lines_dropped", F.lit(0)))
-        .drop("row_key", "dropped")
-    )
+    met = keyed.join(dropped_lines(docs), "row_key", "left")
+    new = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(text)
+    lost = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped"))
+    out = met.select(F.col("row").withField("text", new).alias("row"), lost.alias("lines_dropped"))
+    return spread_row(out, docs.columns, ["lines_dropped"])
 
 
 def line_query(spark, sf_dir: str) -> DataFrame:

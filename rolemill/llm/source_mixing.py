@@ -13,7 +13,8 @@ no window holds all blocks of a hot source. The driver sees two sums per tried e
 
 Defined results: a null source is a source of its own; a source without tokens has weight 0 and
 gives no rows; documents without tokens follow their block; repeated rows and equal doc_ids share a
-block; an empty table gives no rows; extra columns are kept.
+block; an empty table gives no rows; extra columns are kept, but for
+ones named mix_pass or mix_block, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolemill.llm.common import read, rows_of, token_count, written
+from rolemill.llm.common import read, rows_of, spread_row, token_count, whole_row, written
 
 #: Bisection steps taken by one Spark job: 2**LEVELS - 1 exponents are tried together.
 LEVELS, ROUNDS = 4, 10
@@ -154,12 +155,14 @@ def mix_sources(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     Needs doc_id, text and source. Within a pass, blocks are read in the order of their hashed places.
     """
     plan = mixing_plan(documents, mix)
-    inner = documents.select(F.struct(*documents.columns).alias("row"), _source_key().alias("source_key"), F.col("doc_id").cast("string").alias("id"))
+    inner = documents.select(whole_row(documents).alias("row"), _source_key().alias("source_key"), F.col("doc_id").cast("string").alias("id"))
     placed = place(inner.join(plan, "source_key"), mix)
     last = (_range() < F.col("cut_range")) | ((_range() == F.col("cut_range")) & (F.col("place") <= F.col("cut")))
     copies = F.col("passes") + F.when(last, 1).otherwise(0)
     taken = placed.withColumn("copies", copies).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("mix_pass"), F.col("block").alias("mix_block")).select("row.*", "mix_pass", "mix_block")
+    passes = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+    copied = taken.select("row", passes.alias("mix_pass"), F.col("block").alias("mix_block"))
+    return spread_row(copied, documents.columns, ["mix_pass", "mix_block"])
 
 
 def mixing_query(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolemill.llm.common import whole_row
 from rolemill.llm.jaccard_join import one_of_each
 from rolemill.llm.language_id import held_out, identify, learn_prototypes
 from rolemill.llm.length_buckets import pack
@@ -16,7 +17,7 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or null, are rejected; prototypes are learned from the rest's labels."""
     prototypes = learn_prototypes(docs.where(~F.coalesce(held_out(), F.lit(False))))
     # columns of any name may come in, so the judgement stands beside the row, not in it
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(whole_row(docs).alias("row"), "text")
     return identify(rows, prototypes).where("lang_pred <> 'und'").select("row.*")
 
 
