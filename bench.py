@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -51,7 +52,8 @@ def main() -> None:
     wanted = os.environ.get("BENCH_QUERIES", "")
     catalog.load()
     names = list(QUERIES) if wanted == "all" else wanted.split(",") if wanted else HEADLINE
-    spark = build_session("bench", cpus, shuffle=int(cpus))
+    shared = tempfile.mkdtemp(prefix="rolemill-bench-")
+    spark = build_session("bench", cpus, shuffle=int(cpus), shared=shared)
     for name in ("status_counts", "load_report"):  # start the JVM's compilers; not timed
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}

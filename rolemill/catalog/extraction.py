@@ -56,7 +56,7 @@ def register_source(spark, sf):
 @query(
     "extract_jsonld",
     with_views("v_texts")
-    + """SELECT row_seq, head AS JobTitle, CASE WHEN row_seq % 4 = 3 THEN '' ELSE 'Acme' END AS JobCompany, CASE WHEN length(body) > 10000 THEN substr(body, 1, 10000) || '...' ELSE body END AS JobDescription,
+    + """SELECT row_seq, head AS JobTitle, CASE WHEN row_seq % 4 = 3 THEN '' ELSE 'Acme' END AS JobCompany, body AS JobDescription,
       CASE row_seq % 4 WHEN 0 THEN 'Lima' WHEN 1 THEN 'Quito, Remote LATAM' WHEN 2 THEN 'Paris' ELSE '' END AS JobLocation, CASE row_seq % 4 WHEN 1 THEN 'Remote' WHEN 2 THEN 'Remote' ELSE 'FULL_TIME' END AS JobModality,
       CAST(row_seq AS VARCHAR) AS JobId FROM v_texts""",
 )
@@ -157,13 +157,14 @@ def extract_data_page(spark, sf):
     "extract_rehydration",
     with_views("v_texts")
     + """SELECT row_seq, CASE WHEN row_seq % 2 = 0 THEN 'Dev "x"' ELSE '' END AS JobTitle, CASE WHEN row_seq % 2 = 0 THEN 'Acme' ELSE '' END AS JobCompany, CASE WHEN row_seq % 2 = 0 THEN 'Lima' ELSE 'Quito' END AS JobLocation,
-      CASE WHEN row_seq % 2 = 0 THEN '2024-02-03' ELSE '3 weeks ago' END AS JobPostedDttm, 'Over 20 applicants' AS JobTags, CASE WHEN row_seq % 2 = 0 THEN url ELSE rpad('', 250, 'y') || url END AS JobDescription FROM v_texts""",
+      CASE WHEN row_seq % 2 = 0 THEN '2024-02-03' ELSE '3 weeks ago' END AS JobPostedDttm, 'Over 20 applicants' AS JobTags, CASE WHEN row_seq % 2 = 0 THEN body WHEN length(body) > 200 THEN body ELSE '' END AS JobDescription FROM v_texts""",
 )
 def extract_rehydration(spark, sf):
-    posting = F.concat(F.lit('{"@type":"JobPosting","datePosted":"2024-02-03","title":"Dev \\"x","description":"'.replace('Dev \\"x', "Dev x")), F.col("url"), F.lit('","addressLocality":"Lima","hiringOrganization":{"a":1,"name":"Acme"}}'))
-    posting = F.replace(posting, F.lit("Dev x"), F.lit("Dev \\u0022x\\u0022"))
+    described = F.regexp_extract(F.to_json(F.struct("body")), r"(?s)^\{(.*)\}$", 1)
+    described = F.replace(described, F.lit('"body":'), F.lit('"description":'))
+    posting = F.concat(F.lit('{"@type":"JobPosting","datePosted":"2024-02-03","title":"Dev \\u0022x\\u0022",'), described, F.lit(',"addressLocality":"Lima","hiringOrganization":{"a":1,"name":"Acme"}}'))
     card = F.lit('1:["com.linkedin.sdui.impl.jobseeker.jobdetails.components.topcard.topCard",{"children":["Quito"]},{"children":["3 weeks ago"]},{"children":["Over 20 applicants"]}]')
-    long = F.concat(F.lit('{"description":"'), F.rpad(F.lit(""), 250, "y"), F.col("url"), F.lit('"}'))
+    long = F.concat(F.lit("2:{"), described, F.lit("}"))
     items = F.when(F.col("row_seq") % 2 == 0, F.array(F.lit("x"), posting, card)).otherwise(F.array(card, long))
     html = F.concat(F.lit("<script>window.__como_rehydration__ = "), F.replace(F.to_json(items), F.lit("</"), F.lit("<\\/")), F.lit(";</script>"))
     return E.rehydration(page_texts(spark, sf).select("row_seq", html.alias("html")))
@@ -206,7 +207,7 @@ def extract_cards(spark, sf):
     with_views("v_texts")
     + """SELECT row_seq, CASE WHEN row_seq % 2 = 0 THEN 'https://hh.ru/vacancy/' || CAST(row_seq AS VARCHAR) ELSE 'https://jobs.lever.co/acme/p' || CAST(row_seq AS VARCHAR) END AS JobUrl, CASE WHEN row_seq % 2 = 0 THEN 'Senior ' || CAST(row_seq AS VARCHAR) WHEN head = '' THEN 'Untitled' ELSE head END AS JobTitle,
       CASE WHEN row_seq % 2 = 0 THEN 'Acme' ELSE '' END AS JobCompany, CASE WHEN row_seq % 2 = 0 THEN '' ELSE 'Lima' END AS JobLocation, CASE WHEN row_seq % 2 = 0 THEN 'Go, SQL' ELSE '' END AS JobTags, CASE WHEN row_seq % 2 = 0 THEN 'Senior' ELSE '' END AS JobModality,
-      CASE WHEN row_seq % 2 = 1 THEN 'short' WHEN length(body) > 10000 THEN substr(body, 1, 10000) || '...' ELSE body END AS JobDescription FROM v_texts""",
+      CASE WHEN row_seq % 2 = 1 THEN 'short' ELSE body END AS JobDescription FROM v_texts""",
 )
 def extract_detail(spark, sf):
     out = E.details(_board_pages(spark, sf, "detail"), default_registry())
@@ -308,7 +309,7 @@ def coverage_report(spark, sf):
 @query(
     "section_blocks",
     with_views("v_texts")
-    + """SELECT row_seq, CASE WHEN length(t) > 10000 THEN substr(t, 1, 10000) || '...' ELSE t END AS blocks FROM (SELECT row_seq, 'The stack' || chr(10) || 'Spark jobs over posting tables, streams with state, and plenty of plain SQL' || chr(10) || chr(10) || repeat('w', 90) || chr(10) || chr(10) || 'Team' || chr(10) || 'One two three four five six seven eight nine ten eleven twelve words ' || CAST(row_seq AS VARCHAR) AS t FROM v_texts)""",
+    + """SELECT row_seq, t AS blocks FROM (SELECT row_seq, 'The stack' || chr(10) || 'Spark jobs over posting tables, streams with state, and plenty of plain SQL' || chr(10) || chr(10) || repeat('w', 90) || chr(10) || chr(10) || 'Team' || chr(10) || 'One two three four five six seven eight nine ten eleven twelve words ' || CAST(row_seq AS VARCHAR) AS t FROM v_texts)""",
 )
 def section_blocks(spark, sf):
     same = "<h3>The <i>stack</i></h3><p>Spark jobs over posting tables, streams with state, and plenty of plain SQL</p>"

@@ -333,7 +333,7 @@ def l_rate_apply(spark, sf):
         {"stable_key": F.concat(F.lit("id|"), F.col("row_seq").cast("string")), "snapshot_hash": F.sha2(F.col("row_seq").cast("string"), 256), "JobTop3Want": F.lit(""), "LoadDttm": F.lit(None).cast("timestamp_ntz")}
     )
     held = rows.select(F.concat(F.lit("L-"), F.col("row_seq").cast("string")).alias("lease_id"), "stable_key", "snapshot_hash")
-    out, states = A.l_rate_apply(rows, held, given.select("lease_id", F.col("answer").alias("response")), at(NOW))
+    out, states = A.l_rate_apply(rows, held, given.select("lease_id", F.col("answer").alias("response")), at(NOW), reset_load_time=True)
     by_row = states.select(F.substring_index("lease_id", "-", -1).cast("long").alias("row_seq"), "state")
     return out.join(by_row, "row_seq").select("row_seq", "Status", F.col("JobRateNum").alias("rate"), F.col("JobRateShortDesc").alias("short_desc"), "state")
 

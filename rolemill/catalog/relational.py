@@ -980,7 +980,7 @@ def top_good_jobs(spark, sf):
     with_views("v_sources") + f"SELECT source_id, {_priority} AS priority FROM v_sources WHERE enabled <> 'No' ORDER BY 2 DESC, 1 LIMIT 10",
 )
 def plan_order(spark, sf):
-    return order.plan_order(source_config(spark, sf).filter("enabled"), 50).select("source_id", "priority")
+    return order.plan_order(source_config(spark, sf).filter("enabled"), 10).select("source_id", "priority")
 
 
 @query("lease_limit", with_views("v_postings") + "SELECT row_seq FROM v_postings WHERE JobId <> '' ORDER BY row_seq LIMIT 25")

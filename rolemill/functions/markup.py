@@ -6,7 +6,10 @@ import re
 from functools import lru_cache
 from html.parser import HTMLParser
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+VOID = frozenset((
+    "area", "base", "br", "col", "embed", "hr", "img", "input",
+    "link", "meta", "source", "track", "wbr",
+))
 SILENT = frozenset(("script", "style", "noscript", "template"))
 # Tags a new one of the same kind closes, as browsers do.
 SELF_CLOSING = frozenset(("p", "li", "tr", "td", "th", "option", "dt", "dd"))

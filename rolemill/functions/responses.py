@@ -107,7 +107,7 @@ WANT_MARK = r"на\s+самом\s+деле\s+хотят"
 
 def _paragraph(tail: Column) -> Column:
     """The text up to the first blank line, without leading punctuation."""
-    open_text = F.regexp_replace(tail, rf"^(?:{SPACE}|[:;\-–—])+", "")
+    open_text = F.regexp_replace(tail, "^[" + SPACE[1:-1] + r":;\-–—]+", "")
     return trim(F.element_at(F.split(open_text, r"\n\s*\n", 2), 1))
 
 

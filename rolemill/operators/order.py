@@ -16,13 +16,13 @@ def mart_order(df: DataFrame) -> DataFrame:
 
 
 def top_good_jobs(df: DataFrame, limit: int = 20) -> DataFrame:
-    """Newest good jobs; at most 50."""
-    return df.orderBy(F.desc_nulls_last("last_seen_at"), "job_id").limit(max(1, min(limit, 50)))
+    """Newest good jobs, as many as asked for (one at least); a caller that must bound what it serves bounds ``limit``."""
+    return df.orderBy(F.desc_nulls_last("last_seen_at"), "job_id").limit(max(1, limit))
 
 
 def plan_order(df: DataFrame, limit: int = 1) -> DataFrame:
-    """Highest priority first, then by source id; at most 10."""
-    return df.orderBy(F.col("priority").desc(), "source_id").limit(max(1, min(limit, 10)))
+    """Highest priority first, then by source id, as many as asked for (one at least)."""
+    return df.orderBy(F.col("priority").desc(), "source_id").limit(max(1, limit))
 
 
 def first_in_order(df: DataFrame, limit: int) -> DataFrame:

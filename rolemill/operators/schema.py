@@ -9,18 +9,20 @@ from rolemill.functions.text import blank_to_null, collapse, first_filled, text,
 
 # The posting contract, the mart and the application table.
 POSTING = (
-    "JobId JobTitle JobCompany JobLocation JobSeniority JobModality JobSalary JobTags JobDescription "
-    "JobUrl JobApplyUrl JobEasyApplyFlg JobPostedDttm JobRateNum JobRateDesc JobRateShortDesc JobRateDttm "
-    "RatedModelName Status ScrapePageName LoadDttm JobTop3Stack JobTop3Want JobWorkMode"
-).split()
+    "JobId", "JobTitle", "JobCompany", "JobLocation", "JobSeniority", "JobModality", "JobSalary", "JobTags",
+    "JobDescription", "JobUrl", "JobApplyUrl", "JobEasyApplyFlg", "JobPostedDttm", "JobRateNum",
+    "JobRateDesc", "JobRateShortDesc", "JobRateDttm", "RatedModelName", "Status", "ScrapePageName",
+    "LoadDttm", "JobTop3Stack", "JobTop3Want", "JobWorkMode",
+)
 MART = (
-    "JobTitle JobCompany JobLocation JobTags JobDescription JobId JobApplyUrl ScrapePageName JobRateDttm "
-    "JobRateNum JobRateDesc JobRateShortDesc RatedModelName Status LoadDttm JobTop3Stack JobTop3Want JobWorkMode"
-).split()
+    "JobTitle", "JobCompany", "JobLocation", "JobTags", "JobDescription", "JobId", "JobApplyUrl",
+    "ScrapePageName", "JobRateDttm", "JobRateNum", "JobRateDesc", "JobRateShortDesc", "RatedModelName",
+    "Status", "LoadDttm", "JobTop3Stack", "JobTop3Want", "JobWorkMode",
+)
 APPLICATION = (
-    "ApplicationDate LastContactDate JobCompany JobUrl JobTitle JobDescription JobTop3Want JobTop3Stack "
-    "JobRateDesc JobRateShortDesc ApplicationText HRResponseText"
-).split()
+    "ApplicationDate", "LastContactDate", "JobCompany", "JobUrl", "JobTitle", "JobDescription", "JobTop3Want",
+    "JobTop3Stack", "JobRateDesc", "JobRateShortDesc", "ApplicationText", "HRResponseText",
+)
 DEFAULTS = {"Status": "Staged"}
 
 

@@ -75,10 +75,11 @@ def attach_group(
 ) -> DataFrame:
     """Left-join one row per key onto the rows, safe for hot keys.
 
-    ``groups`` carries the number of rows of each key in ``size``. Keys above
-    ``hot_rows`` are at most rows / hot_rows, so that part is broadcast; the rest
-    is joined by shuffle, where no key is large. Rows of hot keys and rows
-    without a key are spread by their own hash in that shuffle.
+    ``groups`` carries the number of rows of each key in ``size``. The few keys above
+    ``hot_rows`` are joined apart from the rest: Spark measures that part and broadcasts
+    it where it is small, and else splits its skewed partitions. No key of the
+    rest is large. Rows of hot keys and rows without a key are spread by their own
+    hash in that shuffle.
     """
     values = [c for c in groups.columns if c not in (key, size)]
     hot = groups.filter(F.col(size) > hot_rows).select(
@@ -87,7 +88,7 @@ def attach_group(
     cold = groups.filter(F.col(size) <= hot_rows).select(
         F.col(key).alias("_key"), F.struct(*values).alias("_cold")
     )
-    with_hot = df.join(F.broadcast(hot), key, "left")
+    with_hot = df.join(hot, key, "left")
     own = F.col(SEQ) if SEQ in df.columns else F.xxhash64(*[F.col(c) for c in df.columns])
     spread = F.concat(F.lit("\x00"), own.cast("string"))
     probe = F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), spread).otherwise(F.col(key).cast("string"))

@@ -91,10 +91,13 @@ def final_status(rate: Column) -> Column:
     return F.when(rate > 2, "2Apply").otherwise("2Delete")
 
 
-def l_rate_apply(df: DataFrame, leases: DataFrame, answers: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+def l_rate_apply(
+    df: DataFrame, leases: DataFrame, answers: DataFrame, as_of: Column, reset_load_time: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Apply final ratings to exactly one matching row each; returns (rows, lease states).
 
-    ``leases``: lease_id, stable_key, snapshot_hash. ``answers``: lease_id, response.
+    ``leases``: lease_id, stable_key, snapshot_hash. ``answers``: lease_id, response. With
+    ``reset_load_time`` a rated row counts as loaded at ``as_of``.
     """
     parsed = answers.withColumn("p", parse_final("response", "lease_id")).select(
         "lease_id", F.col("p.rate_num"), F.col("p.rate_desc"), F.col("p.short_desc"), F.col("p.top3_want"), F.col("p.error").alias("parse_error")
@@ -120,7 +123,7 @@ def l_rate_apply(df: DataFrame, leases: DataFrame, answers: DataFrame, as_of: Co
             "JobRateShortDesc": F.when(hit, F.col("s.short_desc")).otherwise(F.col("JobRateShortDesc")),
             "JobTop3Want": F.when(hit & (F.col("s.top3_want") != ""), F.col("s.top3_want")).otherwise(F.col("JobTop3Want")),
             "Status": F.when(hit, final_status(F.col("s.rate_num"))).otherwise(F.col("Status")),
-            "LoadDttm": F.when(hit, as_of).otherwise(F.col("LoadDttm")),
+            "LoadDttm": F.when(hit & F.lit(reset_load_time), as_of).otherwise(F.col("LoadDttm")),
         }
     ).select(*df.columns)
     return rows, states

@@ -10,26 +10,22 @@ from rolemill.functions.keys import row_key, snapshot_hash, stable_key
 from rolemill.functions.text import trim
 from rolemill.functions.values import instant
 from rolemill.operators import filters, joins, order
-from rolemill.operators.winners import SEQ, mark, positions, unique_rows
-
-# Up to this limit the optimizer prunes each task's rows per group before the shuffle.
-PRUNED_LIMIT = 1000
+from rolemill.operators.winners import RANGE_ROWS, SEQ, mark, positions, unique_rows
 
 
 def daily_quota(asked: DataFrame, cap: int, counter: str = "counter", day: str = "day") -> DataFrame:
     """Add ``granted``: the first ``cap`` requests per counter and day in arrival order; below 1 no limit.
 
-    With a small cap, a ranking filter lets every map task send at most ``cap``
-    rows per group. With a large one, positions are counted by row ranges.
+    The cap is reached in two levels, whatever its size: each range of row numbers keeps its
+    first ``cap`` rows per group, and only those are numbered along the group, by the
+    counts of the ranges. No task holds a whole group.
     """
     if cap < 1:
         return asked.withColumn("granted", F.lit(True))
     keys = asked.select(SEQ, counter, day)
-    if cap <= PRUNED_LIMIT:
-        ranked = keys.withColumn("pos", F.row_number().over(W.partitionBy(counter, day).orderBy(SEQ)))
-    else:
-        ranked = positions(keys, [counter, day])
-    return mark(asked, ranked.filter(F.col("pos") <= cap), "granted")
+    own_range = W.partitionBy(counter, day, F.floor(F.col(SEQ) / RANGE_ROWS)).orderBy(SEQ)
+    first = keys.withColumn("_at", F.row_number().over(own_range)).filter(F.col("_at") <= cap).drop("_at")
+    return mark(asked, positions(first, [counter, day]).filter(F.col("pos") <= cap), "granted")
 
 
 def claim_plan(

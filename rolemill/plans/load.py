@@ -74,9 +74,19 @@ def scrape_to_stage(jobs: DataFrame, details: DataFrame, *tables: DataFrame, hea
     return append_stage(whole, header)
 
 
-def loads_log(stage: DataFrame, loaded: DataFrame, started: Column, ended: Column, target: str = "NewJobs") -> DataFrame:
-    """One audit row of a load."""
+def loads_log(stage: DataFrame, loaded: DataFrame, started: Column, ended: Column, target: str = "NewJobs", checked: DataFrame | None = None) -> DataFrame:
+    """One audit row of a load.
+
+    A stage with a row that isn't valid (``checked``, from ``validate_stage``) has loaded nothing:
+    the row says so, counts nothing as loaded, and names the first such row.
+    """
     counts = aggregates.load_counts(stage, loaded)
+    if checked is not None:
+        counts = counts.withColumn("first_bad", checked.agg(F.min("first_bad").alias("first_bad")).scalar())
+    else:
+        counts = counts.withColumn("first_bad", F.lit(None).cast("long"))
+    failed = F.col("first_bad").isNotNull()
+    counts = counts.withColumns({c: F.when(failed, F.lit(0)).otherwise(F.col(c)) for c in ("new_count", "double_count", "loaded_count")})
     return counts.select(
         F.lit(target).alias("HistSheetName"),
         F.date_format(started, "yyyy-MM-dd HH:mm:ss").alias("StartDttm"),
@@ -85,8 +95,8 @@ def loads_log(stage: DataFrame, loaded: DataFrame, started: Column, ended: Colum
         F.col("new_count").alias("NewCount"),
         F.col("double_count").alias("DoubleCount"),
         F.col("loaded_count").alias("LoadedCount"),
-        F.lit(True).alias("SuccessFlag"),
-        F.lit("").alias("FailAtRowNum"),
+        (~failed).alias("SuccessFlag"),
+        F.coalesce(F.col("first_bad").cast("string"), F.lit("")).alias("FailAtRowNum"),
     )
 
 

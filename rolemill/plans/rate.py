@@ -240,13 +240,14 @@ def normalize_stage(df: DataFrame, version: int) -> DataFrame:
     return df.withColumns(_gated(df, due, made))
 
 
-def enrich_stage(df: DataFrame, version: int) -> DataFrame:
+def enrich_stage(df: DataFrame, version: int, summary_tags: int = 5) -> DataFrame:
+    """Keywords, work mode and a summary; the summary names the first ``summary_tags`` keywords."""
     due = F.coalesce("enrich_version", F.lit(0)) < version
     words = F.filter(F.transform("tags", lambda t: F.lower(trim(t))), lambda t: t != "")
     mode = infer_work_mode("location", "description")
     summary = F.concat_ws(
         " | ",
-        F.when(F.size(words) > 0, F.concat(F.lit("Tags: "), F.array_join(F.slice(words, 1, 5), ", "))),
+        F.when(F.size(words) > 0, F.concat(F.lit("Tags: "), F.array_join(F.slice(words, 1, summary_tags), ", "))),
         F.when(mode != "Unknown", F.concat(F.lit("WorkMode: "), mode)),
     )
     made = {

@@ -12,8 +12,10 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "rolemill", cores: str | int = "*", shuffle: int | None = None) -> SparkSession:
-    """A local session for tests and the benchmark; a cluster brings its own."""
+def build_session(
+    app: str = "rolemill", cores: str | int = "*", shuffle: int | None = None, shared: str | None = None
+) -> SparkSession:
+    """A local session for tests and the benchmark; a cluster brings its own. ``shared`` is its folder for written frames."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -24,6 +26,8 @@ def build_session(app: str = "rolemill", cores: str | int = "*", shuffle: int |
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     if shuffle:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle))
     spark = builder.getOrCreate()

@@ -83,7 +83,9 @@ def ingest(jobs: DataFrame, envelopes: DataFrame, as_of: Column) -> DataFrame:
     already stored only refreshes it, so a replayed envelope changes no identity.
     """
     rows = envelope_rows(envelopes).filter(F.col("job_pos").isNotNull())
-    numbered = rows.withColumn(SEQ, F.col("run_seq") * F.lit(100_000) + F.col("job_pos"))
+    # job_pos is a 32-bit number, so runs of any length stay apart
+    run = F.col("run_seq").cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)")
+    numbered = rows.withColumn(SEQ, (run + F.col("job_pos")).cast("decimal(31,0)"))
     batch = latest_per_job(cloud.result_jobs(numbered))
     merged = cloud.upsert_jobs(jobs, batch, as_of)
     again = batch.filter("runs > 1").select("job_id", F.lit(True).alias("_again"))

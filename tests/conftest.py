@@ -12,8 +12,8 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     catalog.load()
-    session = build_session("tests", 8, shuffle=4)
+    session = build_session("tests", 8, shuffle=4, shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
