@@ -383,8 +383,7 @@ def history_keys(spark, sf):
 def increment_anti_join(spark, sf):
     stage = joins.with_job_key(v_postings(spark, sf)).select("row_seq", "job_key")
     history = joins.history_keys(v_history(spark, sf)).withColumn("known", F.lit(True))
-    sizes = stage.groupBy("job_key").agg(F.count(F.lit(1)).alias("size")).join(history, "job_key")
-    return winners.attach_group(stage, sizes, "job_key", "size").filter(F.col("known").isNull()).select("row_seq", "job_key")
+    return winners.attach_group(stage, history, "job_key").filter(F.col("known").isNull()).select("row_seq", "job_key")
 
 
 _three = f"""SELECT row_seq, unnest([{q.job_key('JobId', 'JobUrl')}, {q.url_key('JobUrl')}, {q.id_key('JobId', 'JobUrl')}]) AS key FROM """

@@ -132,8 +132,7 @@ def funnel_accumulate(updates: DataFrame) -> DataFrame:
     cleared = updates.groupBy("source_id").agg(F.max(F.when(F.col("clear"), F.col(SEQ))).alias("_last_clear"))
     counted = updates.filter(text("jobs_count") != "")
     value = number_or_zero("jobs_count")
-    sizes = updates.groupBy("source_id").agg(F.count(F.lit(1)).alias("_size"))
-    joined = attach_group(counted, cleared.join(sizes, "source_id"), "source_id", "_size")
+    joined = attach_group(counted, cleared, "source_id")
     live = joined.filter(~F.col("clear") & (F.col("_last_clear").isNull() | (F.col(SEQ) > F.col("_last_clear"))))
     sums = live.groupBy("source_id").agg(F.sum(value).alias("jobs"))
     states = updates.groupBy("source_id").agg(F.max_by("status", F.when(text("status") != "", F.col(SEQ))).alias("status"))
@@ -195,8 +194,8 @@ def oldest_posting(df: DataFrame, date: str, as_of, batch: str) -> DataFrame:
 
 def pages_until_old(pages: DataFrame, feed: str, page: str, has_old: str) -> DataFrame:
     """Pages of each feed up to and including the first that holds an old posting."""
-    first_old = pages.groupBy(feed).agg(F.min(F.when(F.col(has_old), F.col(page))).alias("_stop"), F.count(F.lit(1)).alias("_size"))
-    joined = attach_group(pages, first_old, feed, "_size")
+    first_old = pages.groupBy(feed).agg(F.min(F.when(F.col(has_old), F.col(page))).alias("_stop"))
+    joined = attach_group(pages, first_old, feed)
     return joined.filter(F.col("_stop").isNull() | (F.col(page) <= F.col("_stop"))).drop("_stop")
 
 
@@ -249,7 +248,7 @@ def duplicate_rate(jobs: DataFrame, history: DataFrame, failed: Column, shell: C
 
 def consecutive_failures(runs: DataFrame) -> DataFrame:
     """Failures per source since its last success, by run order; two aggregates, no walk."""
-    last = runs.groupBy("source_id").agg(F.max(F.when(F.col("success"), F.col(SEQ))).alias("_last"), F.count(F.lit(1)).alias("_size"))
-    joined = attach_group(runs, last, "source_id", "_size")
+    last = runs.groupBy("source_id").agg(F.max(F.when(F.col("success"), F.col(SEQ))).alias("_last"))
+    joined = attach_group(runs, last, "source_id")
     after = F.col("_last").isNull() | (F.col(SEQ) > F.col("_last"))
     return joined.groupBy("source_id").agg(F.count_if(~F.col("success") & after).alias("consecutive_failures"))

@@ -52,13 +52,11 @@ def increment_rows(stage: DataFrame, history: DataFrame) -> DataFrame:
 
 def keep_mask(jobs: DataFrame, *tables: DataFrame) -> DataFrame:
     """Per row: false if any of its three keys is among the history's keys of any kind."""
-    exploded = three_keys(jobs)
+    exploded = jobs.select(SEQ, F.explode_outer(F.array_distinct(K.all_keys("JobId", "JobUrl"))).alias("key"))
+    exploded = exploded.withColumn("key", blank_to_null("key"))
     known = reduce(DataFrame.union, [three_keys(t).select("key") for t in tables]).distinct()
-    hits = exploded.select("key").distinct().join(known, "key", "left_semi")
-    sizes = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    groups = sizes.join(hits.withColumn("hit", F.lit(True)), "key", "left_semi").withColumn("hit", F.lit(True))
-    seen = attach_group(exploded, groups, "key", "size").filter("hit").select(SEQ).distinct()
-    return mark(jobs.select(SEQ), seen, "_seen").select(SEQ, (~F.col("_seen")).alias("keep"))
+    met = attach_group(exploded, known.withColumn("hit", F.lit(True)), "key")
+    return met.groupBy(SEQ).agg((~F.coalesce(F.bool_or("hit"), F.lit(False))).alias("keep"))
 
 
 def _either(*values):
@@ -66,7 +64,7 @@ def _either(*values):
 
 
 def update_keys(df: DataFrame) -> DataFrame:
-    """(row_seq, key) pairs under which a state update and a table row can meet."""
+    """(row_seq, key) pairs under which a state update and a table row can meet; a row without keys has a null."""
     main, side = _either("JobUrl", "JobApplyUrl"), _either("JobApplyUrl", "JobUrl")
     sig = K.signature("JobCompany", "JobTitle", "JobLocation")
     kinds = F.array(
@@ -75,22 +73,18 @@ def update_keys(df: DataFrame) -> DataFrame:
         F.concat(F.lit("id:"), blank_to_null(K.id_key("JobId", main))),
         F.concat(F.lit("sig:"), blank_to_null(sig)),
     )
-    return df.select(SEQ, F.explode(F.array_compact(kinds)).alias("key"))
+    return df.select(SEQ, F.explode_outer(F.array_compact(kinds)).alias("key"))
 
 
 def first_match(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per wanted row number the lowest row number in ``rows`` that shares any key."""
-    firsts = rows.groupBy("key").agg(F.min(SEQ).alias("row_num"))
-    sizes = wanted.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    groups = firsts.join(sizes, "key")
-    found = attach_group(wanted, groups, "key", "size").filter(F.col("row_num").isNotNull())
-    return found.groupBy(SEQ).agg(F.min("row_num").alias("row_num"))
+    """Per wanted row number the lowest row number in ``rows`` that shares any key, null if none does."""
+    firsts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(SEQ).alias("row_num"))
+    return attach_group(wanted, firsts, "key").groupBy(SEQ).agg(F.min("row_num").alias("row_num"))
 
 
 def update_match(updates: DataFrame, table: DataFrame) -> DataFrame:
     """Per update the first table row that matches by any of the four keys, null if none."""
-    found = first_match(update_keys(updates), update_keys(table))
-    return updates.select(SEQ).join(found, SEQ, "left")
+    return first_match(update_keys(updates), update_keys(table))
 
 
 def _application_keys(df: DataFrame, address) -> DataFrame:
@@ -123,13 +117,12 @@ def application_match(items: DataFrame, table: DataFrame) -> DataFrame:
     item_keys = F.array_compact(
         F.array(*with_id, F.when(no_id & filled("_url"), tag("u", "_url")), F.when(no_id, tag("s", "_sig")))
     )
-    asked = want.select(SEQ, F.explode(item_keys).alias("key"))
-    sizes = asked.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    found = attach_group(asked, firsts.join(sizes, "key"), "key", "size").filter(F.col("row_num").isNotNull())
+    asked = want.select(SEQ, F.explode_outer(item_keys).alias("key"))
+    found = attach_group(asked, firsts, "key")
     kind = F.substring_index("key", ":", 1)
     rank = F.when(kind.isin("iu", "is", "u"), 0).otherwise(1)
-    best = found.groupBy(SEQ).agg(F.min(F.struct(rank.alias("rank"), F.col("row_num"))).alias("best"))
-    return items.select(SEQ).join(best.select(SEQ, F.col("best.row_num").alias("row_num")), SEQ, "left")
+    hit = F.when(F.col("row_num").isNotNull(), F.struct(rank.alias("rank"), F.col("row_num")))
+    return found.groupBy(SEQ).agg(F.min(hit).alias("best")).select(SEQ, F.col("best.row_num").alias("row_num"))
 
 
 def fail_closed(updates: DataFrame, table: DataFrame) -> DataFrame:
@@ -162,13 +155,10 @@ def resolve_source_id(df: DataFrame, sources: DataFrame, name: str = "ScrapePage
     lookups are reduced to one row per key and left to the optimizer.
     """
     wanted = df.withColumn("_name", trim(name))
-    asked = wanted.groupBy("_name").agg(F.count(F.lit(1)).alias("size"))
     ids = sources.select(trim("source_id").alias("_name"), F.col("source_id").alias("_by_id")).dropDuplicates(["_name"])
     names = sources.groupBy(trim("name").alias("_name")).agg(F.min_by("source_id", SEQ).alias("_by_name"))
-    groups = asked.join(ids, "_name", "left").join(names, "_name", "left").select(
-        "_name", "size", F.coalesce("_by_id", "_by_name").alias("_found")
-    )
-    out = attach_group(wanted, groups, "_name", "size")
+    groups = ids.join(names, "_name", "full").select("_name", F.coalesce("_by_id", "_by_name").alias("_found"))
+    out = attach_group(wanted, groups, "_name")
     return out.select(*df.columns, F.coalesce("_found", F.col(name)).alias("resolved_id"))
 
 
@@ -226,8 +216,8 @@ def fold_blanks(df: DataFrame, key: str, fields) -> DataFrame:
 
 def merge_overwrite(target: DataFrame, incoming: DataFrame, key: str, fields) -> DataFrame:
     """Incoming values overwrite unless they are blank; ``incoming`` holds a key once."""
-    renamed = incoming.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_n_{c}") for c in fields])
-    joined = target.join(renamed, F.col(key) == F.col("_key"), "left")
+    renamed = incoming.filter(F.col(key).isNotNull()).select(key, *[F.col(c).alias(f"_n_{c}") for c in fields])
+    joined = attach_group(target, renamed, key)
     filled = {c: F.when(trim(f"_n_{c}") != "", F.col(f"_n_{c}")).otherwise(F.col(c)) for c in fields}
     return joined.withColumns(filled).select(*target.columns)
 
@@ -245,9 +235,7 @@ def unleased(rows: DataFrame, leases: DataFrame, table_name: str) -> DataFrame:
 
 def apply_actions(actions: DataFrame, jobs: DataFrame) -> DataFrame:
     """Actions with the status they lead to; an unknown job is an error row."""
-    sizes = actions.groupBy("job_id").agg(F.count(F.lit(1)).alias("_size"))
-    asked = sizes.join(jobs.select("job_id", "status", "pipeline_stage"), "job_id")
-    joined = attach_group(actions, asked, "job_id", "_size")
+    joined = attach_group(actions, jobs.select("job_id", "status", "pipeline_stage"), "job_id")
     known = F.col("status").isNotNull()
     next_status = (
         F.when(~known, None)

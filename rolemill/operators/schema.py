@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolemill.functions.text import blank_to_null, collapse, first_filled, text, trim
+from rolemill.operators.winners import attach_group
 
 # The posting contract, the mart and the application table.
 POSTING = (
@@ -80,7 +81,7 @@ def default_job(df: DataFrame, defaults=None, fields=POSTING) -> DataFrame:
 def source_defaults(df: DataFrame, defaults: DataFrame, fields) -> DataFrame:
     """Fill blanks from per-source defaults; the configuration has one row per source."""
     renamed = defaults.select("source_id", *[F.col(c).alias(f"_d_{c}") for c in fields])
-    joined = df.join(renamed, "source_id", "left")
+    joined = attach_group(df, renamed, "source_id")
     filled = {c: F.coalesce(blank_to_null(F.col(c)), F.col(f"_d_{c}"), F.lit("")) for c in fields}
     return joined.withColumns(filled).select(*df.columns)
 

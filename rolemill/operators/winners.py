@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 
 SEQ = "row_seq"
 RANGE_ROWS = 1 << 16
-HOT_ROWS = 1_000_000
 
 
 def first_rows(df: DataFrame, *keys: str, seq: str = SEQ) -> DataFrame:
@@ -70,33 +69,17 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def attach_group(
-    df: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Left-join one row per key onto the rows, safe for hot keys.
+def attach_group(df: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Left-join one row per key onto the rows, safe for hot keys; a null key has none.
 
-    ``groups`` carries the number of rows of each key in ``size``. The few keys above
-    ``hot_rows`` are joined apart from the rest: Spark measures that part and broadcasts
-    it where it is small, and else splits its skewed partitions. No key of the
-    rest is large. Rows of hot keys and rows without a key are spread by their own
-    hash in that shuffle.
+    Both sides are joined by the key and its hash. Aggregated groups are dealt by the key alone, so
+    either side gets an exchange of its own for this join, and where a key is hot Spark splits its
+    rows over tasks. Small groups are broadcast if Spark measures them so.
     """
-    values = [c for c in groups.columns if c not in (key, size)]
-    hot = groups.filter(F.col(size) > hot_rows).select(
-        key, F.struct(*values).alias("_hot")
-    )
-    cold = groups.filter(F.col(size) <= hot_rows).select(
-        F.col(key).alias("_key"), F.struct(*values).alias("_cold")
-    )
-    with_hot = df.join(hot, key, "left")
-    own = F.col(SEQ) if SEQ in df.columns else F.xxhash64(*[F.col(c) for c in df.columns])
-    spread = F.concat(F.lit("\x00"), own.cast("string"))
-    probe = F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), spread).otherwise(F.col(key).cast("string"))
-    joined = with_hot.withColumn("_probe", probe).join(
-        cold.withColumn("_key", F.col("_key").cast("string")), F.col("_probe") == F.col("_key"), "left"
-    )
-    found = [F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values]
-    return joined.select(*df.columns, *found)
+    values = [c for c in groups.columns if c != key]
+    right = groups.select(F.col(key).alias("_key"), F.xxhash64(key).alias("_hash"), *values)
+    joined = df.join(right, (F.col(key) == F.col("_key")) & (F.xxhash64(F.col(key)) == F.col("_hash")), "left")
+    return joined.select(*df.columns, *values)
 
 
 def unique_rows(df: DataFrame, key: str, seq: str = SEQ) -> DataFrame:

@@ -119,9 +119,8 @@ def source_runtime(sources: DataFrame, runs: DataFrame) -> DataFrame:
         F.max(F.when(ok, F.col(SEQ))).alias("_last_ok"),
         F.max_by("finished_at", F.when(ok, F.col(SEQ))).alias("_ok_at"),
         F.max_by(F.struct(ok.alias("ok"), "finished_at"), SEQ).alias("_latest"),
-        F.count(F.lit(1)).alias("_size"),
     )
-    trailing = attach_group(runs, last.select("source_id", "_size", "_last_ok"), "source_id", "_size").filter(
+    trailing = attach_group(runs, last.select("source_id", "_last_ok"), "source_id").filter(
         ~ok & (F.col("_last_ok").isNull() | (F.col(SEQ) > F.col("_last_ok")))
     )
     tail = trailing.groupBy("source_id").agg(F.count(F.lit(1)).alias("_tail"))

@@ -10,7 +10,7 @@ from rolemill.functions.keys import row_key, snapshot_hash, stable_key
 from rolemill.functions.text import trim
 from rolemill.functions.values import instant
 from rolemill.operators import filters, joins, order
-from rolemill.operators.winners import RANGE_ROWS, SEQ, mark, positions, unique_rows
+from rolemill.operators.winners import RANGE_ROWS, SEQ, mark, positions
 
 
 def daily_quota(asked: DataFrame, cap: int, counter: str = "counter", day: str = "day") -> DataFrame:
@@ -64,7 +64,9 @@ def claim_plan(
 def issue_leases(df: DataFrame, leases: DataFrame, run_id: str, table_name: str, as_of: Column, limit: int = 0) -> DataFrame:
     """Lease rows in final rating that are unique and not leased yet, in table order."""
     rows = candidates(df)
-    unique = rows.join(unique_rows(rows, "identity"), SEQ, "left_semi")
+    whole = F.min_by(F.struct(*rows.columns), SEQ).alias("_row")
+    once = rows.groupBy("identity").agg(F.count(F.lit(1)).alias("_n"), whole).filter("_n = 1")
+    unique = once.select("_row.*")
     free = joins.unleased(unique, leases, table_name)
     picked = order.first_in_order(free, limit)
     parts = [c for c in ("JobCompany", "JobTitle", "JobLocation", "JobModality", "JobSeniority") if c in df.columns]

@@ -58,3 +58,15 @@ def test_orders_come_out_in_order(spark):
         names = [d[0] for d in cursor.description]
         have = [tuple(r) for r in QUERIES[name](spark, SF_DIR).select(*names).collect()]
         assert have == cursor.fetchall()
+
+
+def test_matches_read_each_side_once(spark):
+    """Hash exchanges and scans of the matches, those of the composed views included."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, exchanges, scans in (("prioritized_update_match", 10, 7), ("application_match", 10, 7), ("issue_leases", 9, 7)):
+            plan = plan_of(QUERIES[name](spark, SF_DIR)).split("== Initial Plan ==")[0]
+            assert plan.count("hashpartitioning") <= 2 * exchanges, name
+            assert "NestedLoop" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

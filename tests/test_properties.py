@@ -57,15 +57,37 @@ def test_positions_cross_ranges(spark):
 
 def test_attach_group_hot_and_cold(spark):
     data, df = skewed(spark)
-    sizes = df.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"))
+    tops = df.filter("key is not null").groupBy("key").agg(F.max("score").alias("top"))
     want = defaultdict(lambda: None)
     for _, key, score in data:
         if key is not None:
             want[key] = max(want[key] or 0, score)
-    for limit in (0, 100, 10**6):
-        rows = winners.attach_group(df, sizes, "key", "n", hot_rows=limit).collect()
+    for limit in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        rows = winners.attach_group(df, tops, "key").collect()
         assert len(rows) == len(data)
         assert all(r["top"] == want[r["key"]] for r in rows)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_attach_group_splits_a_hot_key(spark):
+    """99 % of the rows have one key; its rows are read by several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    df = spark.range(0, 200_000, 1, 16).select(F.col("id").alias("row_seq"), F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(7).cast("string").alias("key"))
+    tops = df.groupBy("key").agg(F.max("row_seq").alias("top"))
+    joined = winners.attach_group(df, tops, "key").withColumn("task", F.spark_partition_id())
+    tasks = joined.filter("key = '7'").groupBy("task").count().collect()
+    for k in settings:
+        spark.conf.unset(k)
+    assert len(tasks) > 3 and sum(r["count"] for r in tasks) == 198_000
 
 
 def test_quota_paths_agree(spark):
