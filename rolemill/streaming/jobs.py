@@ -1,8 +1,8 @@
 """Streaming jobs: each is a stateless projection, a built-in aggregate, or a merge per micro-batch.
 
 Merged state is a table with one folder per micro-batch. Batch N reads folder
-N - 1 and overwrites folder N, so a retried batch gives the same result. Old
-folders can be removed once a later batch is committed.
+N - 1 and overwrites folder N, so a retried batch gives the same result. Folders
+before N - 1 are removed then, since no retry reads them.
 """
 
 from __future__ import annotations
@@ -24,11 +24,16 @@ class StateTable:
     def __init__(self, root: str, empty: DataFrame):
         self.root, self.empty = root, empty
 
+    def _path(self, name: str):
+        """A path below the root and its file system."""
+        context = self.empty.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
     def versions(self) -> list[int]:
         """Numbers of the versions that were written to the end."""
-        context = self.empty.sparkSession.sparkContext
-        pattern = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v*/_SUCCESS")
-        found = pattern.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        pattern, files = self._path("v*/_SUCCESS")
+        found = files.globStatus(pattern) or []
         return sorted(int(status.getPath().getParent().getName()[1:]) for status in found)
 
     def read(self, version: int | None) -> DataFrame:
@@ -45,6 +50,10 @@ class StateTable:
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.select(*self.empty.columns).write.mode("overwrite").parquet(f"{self.root}/v{batch_id}")
+        done = [v for v in self.versions() if v < batch_id]
+        for version in done[:-1]:
+            path, files = self._path(f"v{version}")
+            files.delete(path, True)
 
 
 def run_available(writer, checkpoint: str) -> None:
