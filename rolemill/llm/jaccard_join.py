@@ -1,6 +1,6 @@
 """N-gram Jaccard join of documents with an R-tree over count vectors.
 
-A document is the set of its distinct 4-word shingles. Shingles are hashed into 64 groups; the
+A document is the set of its distinct 4-word shingles. Shingles are hashed into 256 groups; the
 numbers of a set's shingles in each group are a point. The overlap of two sets is at most the sum
 of the smaller of their coordinates, and for a node of the tree at most that with the node's upper
 corner. Pairs that reach the needed overlap by this bound are verified on the whole sets.
@@ -12,10 +12,13 @@ their union no three neighbours are common: below 2e-9, impossible where neither
 46, and far less for closer sets. A passage that many documents share is a route only for those in
 which three neighbours come from it, so frequent passages make no large cells.
 
-Links are found in two steps, so that a group of n near copies isn't expanded into n**2 pairs:
+Links are found in three steps, so that a group of n near copies isn't expanded into n**2 pairs:
 1. On each route every set is compared with the route's first set; links join sets to clusters.
-2. Where sets of different clusters still share a route, they meet in cells of bounded size (by set
-   size, then dealt), and a tree in each cell finds the pairs of different clusters to be verified.
+2. Where sets of different clusters still share a route, they are dealt to cells of bounded size (by
+   set size, then by hash). A tree in each cell finds the pairs that the bound lets pass, and the few
+   best of each set are verified. Sets that hang together in any way mostly join one cluster here.
+3. Cells of a route whose sets are still of different clusters meet each other, and all pairs of
+   different clusters that the trees let pass are verified.
 A pair that is never compared is in one cluster already, so no component is missed.
 
 Defined results: text without words, or null, has the empty set and links with nothing; with fewer than
@@ -41,12 +44,19 @@ from rolemill.session import ship_package
 WIDTH = 4
 #: Two sets link when HUNDRED * overlap >= NEED * union.
 NEED, HUNDRED = 85, 100
-GROUPS = 64
+GROUPS = 256
+#: Groups that are taken together in the boxes of a tree; its points are compared in full.
+TOGETHER = 4
 ROUTES, NEIGHBOURS = 44, 3
 #: Sets below this size link with equal sets only: 5 / 6 is under 0.85.
 LONE = 6
 #: Sets of a cell, and children of a node of its tree.
 CELL, FAN = 512, 16
+#: Pairs of a set and cell that step 2 verifies.
+BEST = 2
+#: Rows (24 bytes each) up to which the rows asked for are sent to all tasks that read texts; beyond
+#: that, texts and rows meet by a shuffle.
+SENT_ROWS = 500_000
 
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -132,6 +142,8 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     found = nodes.join(wanted, "node").select("node", "doc_id", "text_hash")
     # rows that agree in id and text have one set; one of them is read
+    found = written(found, "asked")
+    found = F.broadcast(found) if found.count() <= SENT_ROWS else found
     texts = _hashed(docs).withColumnRenamed("doc_id", "id").join(found, "text_hash").where(F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
     sets = written(texts.mapInArrow(_expanded, "node long, shingles array<long>"), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -145,10 +157,13 @@ class CountTree:
     """An R-tree over count vectors, packed by set size and coordinates.
 
     Level 0 holds the points; a node of a higher level covers FAN nodes of the one below and has
-    their upper corner and smallest set size.
+    their upper corner and smallest set size. Boxes are in fewer coordinates, the sums of TOGETHER
+    groups, whose bound is never below that of all groups; what passes is compared in all.
     """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        self.points, self.sizes = points, sizes
+        points = self.coarse(points)
         heavy = np.argsort(-points.var(axis=0), kind="stable")[:2] if len(points) else [0, 0]
         # tiles: runs of like size, in them by the two coordinates that differ most
         self.order = np.argsort(sizes, kind="stable")
@@ -160,29 +175,44 @@ class CountTree:
             at = np.arange(0, len(least), FAN)
             self.levels.append((np.maximum.reduceat(upper, at), np.minimum.reduceat(least, at)))
 
+    @staticmethod
+    def coarse(points: np.ndarray) -> np.ndarray:
+        return points.reshape(len(points), GROUPS // TOGETHER, TOGETHER).sum(axis=2, dtype=np.int32)
+
+    @staticmethod
+    def _passed(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Which of the pairs a[i], b[j] can share enough."""
+        out = np.zeros(len(i), bool)
+        for s in range(0, len(i), 1 << 13):
+            x, y = i[s : s + (1 << 13)], j[s : s + (1 << 13)]
+            out[s : s + (1 << 13)] = np.minimum(a[x], b[y]).sum(axis=1, dtype=np.int64) * (HUNDRED + NEED) >= (n[x] + m[y]) * NEED
+        return out
+
     def search(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) numbers of all pairs that the bound lets pass."""
+        small = self.coarse(points)
         top = len(self.levels[-1][1])
         query = np.repeat(np.arange(len(sizes)), top)
         node = np.tile(np.arange(top), len(sizes))
         for level in range(len(self.levels) - 1, -1, -1):
             upper, least = self.levels[level]
-            passed = np.zeros(len(query), bool)
-            for s in range(0, len(query), 1 << 15):
-                q, p = query[s : s + (1 << 15)], node[s : s + (1 << 15)]
-                most = np.minimum(points[q], upper[p]).sum(axis=1, dtype=np.int64)
-                passed[s : s + (1 << 15)] = most * (HUNDRED + NEED) >= (sizes[q] + least[p]) * NEED
+            passed = self._passed(small, query, upper, node, sizes, least)
             query, node = query[passed], node[passed]
             if level:
                 below = len(self.levels[level - 1][1])
                 query = np.repeat(query, FAN)
                 node = (node[:, None] * FAN + np.arange(FAN)).ravel()
                 query, node = query[node < below], node[node < below]
-        return query, self.order[node]
+        found = self.order[node]
+        passed = self._passed(points, query, self.points, found, sizes, self.sizes)
+        return query[passed], found[passed]
+
 
+def _found_in(cell: pa.Table, best: int | None) -> pa.Table:
+    """Pairs of different clusters that the tree lets pass, of one cell or of two cells that meet.
 
-def _cell_pairs(cell: pa.Table) -> pa.Table:
-    """Pairs of different clusters that the tree lets pass, of one cell or of two cells that meet."""
+    With ``best``, only so many of each set, those with the largest bound for their sizes.
+    """
     side = cell["side"].to_numpy()
     node, cluster, n = (cell[c].to_numpy() for c in ("node", "cluster", "n"))
     points = cell["vector"].combine_chunks().flatten().to_numpy().reshape(-1, GROUPS).astype(np.int32)
@@ -193,21 +223,40 @@ def _cell_pairs(cell: pa.Table) -> pa.Table:
     q, p = tree.search(points[left], n[left])
     a, b = left[q], right[p]
     keep = (cluster[a] != cluster[b]) & (node[a] != node[b])
-    a, b = node[a[keep]], node[b[keep]]
+    a, b = a[keep], b[keep]
+    if best is not None:
+        most = np.minimum(tree.coarse(points[a]), tree.coarse(points[b])).sum(axis=1) / (n[a] + n[b])
+        order = np.lexsort((b, -most, a))
+        own = a[order]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        a, b = own[place < best], b[order][place < best]
+    a, b = node[a], node[b]
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
-def cross_pairs(routes: DataFrame, points: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Candidates (a, b) of different clusters that share a route."""
+def _best_pairs(cell: pa.Table) -> pa.Table:
+    return _found_in(cell, BEST)
+
+
+def _all_pairs(cell: pa.Table) -> pa.Table:
+    return _found_in(cell, None)
+
+
+def cross_pairs(routes: DataFrame, points: DataFrame, clusters: DataFrame, best: bool) -> DataFrame:
+    """Candidates (a, b) of different clusters that share a route; with ``best`` the best of each cell."""
     own = routes.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     mixed = own.groupBy("route").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("size")).where("x <> y")
     mixed = written(mixed.select("route", "size"), "mixed-routes")
     member = own.join(mixed, "route").join(points, "node")
     # sets of linkable sizes are in one band or in neighbour bands
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(HUNDRED / NEED)))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CELL))
+    part = F.pmod(F.xxhash64("node", "route"), F.ceil(F.col("size") / CELL))
     member = written(member.select("route", band.alias("band"), part.alias("part"), "node", "cluster", "n", "vector"), "members")
+    shape = ["meet", "side", "node", "cluster", "n", "vector"]
+    if best:
+        alone = member.select(F.xxhash64("route", "band", "part").alias("meet"), F.lit(0).alias("side"), "node", "cluster", "n", "vector")
+        return alone.groupBy("meet").applyInArrow(_best_pairs, "a long, b long").distinct()
     cells = member.groupBy("route", "band", "part").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"))
     cells = written(cells.withColumn("cell", F.xxhash64("route", "band", "part")), "cells")
     # pairs of cells, not of rows; a cell meets those after it in its band and all in the next
@@ -218,9 +267,8 @@ def cross_pairs(routes: DataFrame, points: DataFrame, clusters: DataFrame) -> Da
     left = member.join(meets.select("route", "band", "part", "meet"), ["route", "band", "part"]).withColumn("side", F.lit(0))
     right = meets.where(~F.col("self")).select("route", F.col("band2").alias("band"), F.col("part2").alias("part"), "meet")
     right = member.join(right, ["route", "band", "part"]).withColumn("side", F.lit(1))
-    shape = ["meet", "side", "node", "cluster", "n", "vector"]
     rows = left.select(*shape).unionByName(right.select(*shape))
-    return rows.groupBy("meet").applyInArrow(_cell_pairs, "a long, b long").distinct()
+    return rows.groupBy("meet").applyInArrow(_all_pairs, "a long, b long").distinct()
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -243,9 +291,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     near = stars.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
     near = near.where(enough(bound(F.col("a_vector"), F.col("b_vector")), F.col("a_n"), F.col("b_n"))).select("a", "b")
     links = written(verified(docs, nodes, written(near, "candidates")), "star-links")
-    clusters = components(links).withColumnRenamed("root", "cluster")
-    more = written(cross_pairs(shared.select("route", "node"), points, clusters), "candidates")
-    links = links.unionByName(verified(docs, nodes, more))
+    for best in (True, False):
+        clusters = components(links).withColumnRenamed("root", "cluster")
+        more = written(cross_pairs(shared.select("route", "node"), points, clusters, best), "candidates")
+        links = written(links.unionByName(verified(docs, nodes, more)), "links")
     roots = components(links)
     known = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
