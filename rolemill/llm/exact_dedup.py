@@ -77,7 +77,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     suspects = marked.where("suspect")
     best = F.min(F.struct((-F.col("chars")).alias("rank"), F.col("doc_id").isNull().alias("blank"), "doc_id", "row_id"))
-    groups = suspects.groupBy("text_sha256").agg(F.count("*").alias("group_size"), best.alias("best"))
+    # written, so that the join below has an exchange of its own on either side, which Spark may split
+    # where one text is hot
+    groups = written(suspects.groupBy("text_sha256").agg(F.count("*").alias("group_size"), best.alias("best")), "groups")
     grouped = suspects.join(groups, "text_sha256").select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
