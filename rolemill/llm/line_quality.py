@@ -104,8 +104,10 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     cut = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1], cut + 1]))
     starts = starts[starts < len(data)]
+    if not len(starts):
+        return np.zeros((0, 2 * N_FEATURES + 3), np.float32), np.zeros(0, np.float32), np.zeros(len(offsets), int)
     ends = np.append(starts[1:], len(data))
-    ends = ends - ((ends > starts) & (data[ends - 1] == 10)) if len(ends) else ends
+    ends = ends - (data[ends - 1] == 10)
     _, _, _, first = words(data, np.append(starts, len(data)))
     full = np.diff(first) > 0
     starts, ends = starts[full], ends[full]

@@ -7,13 +7,13 @@ links (who links to a bad host is suspect). A host is blocked if its distrust re
 and is above its trust.
 
 Seeds are a host's share of allowed and of blocked pages. Edges are the different links of each
-host, with the share of its links that go there; a relative link stays on its host. Ranks and edges
+host to other hosts, with the share of these links that go there; links within a host carry nothing. Ranks and edges
 are tables joined by host: a hub is one key of a join that Spark may split, its sums are
 pre-aggregated, and nothing comes to the driver. Each round's ranks are written, so a lost executor
 costs a round at most.
 
 Defined results: host and path are empty where the url is null or has no `://`; no rule fits an empty
-host, and its verdict is allow; null html has no links; hosts without links keep their seeds;
+host, and its verdict is allow; null html has no links; hosts without links to them keep their seeds;
 repeated pages count as often as they occur; an empty table gives no rows; extra columns are not used.
 """
 
@@ -66,35 +66,31 @@ def rule_of(host: Column, path: Column) -> Column:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, share): where each host's links go."""
+    """(src, dst, share): where each host's links to other hosts go."""
     links = F.regexp_extract_all("html", F.lit(r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s>]++)"""), 1)
     found = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(links).alias("link"))
     absolute = F.col("link").rlike("^(?i)(https?:)?//")
-    dst = F.when(absolute, host_of(F.concat(F.lit("x:"), F.regexp_replace("link", "^[^/]*//", "//")))).otherwise(F.col("src"))
-    # other schemes (mail, scripts) lead nowhere
-    found = found.where(absolute | ~F.col("link").rlike("^[A-Za-z][A-Za-z0-9+.-]*:")).select("src", dst.alias("dst"))
-    counted = found.where("dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    # relative links stay on the host, other schemes (mail, scripts) lead to none
+    dst = host_of(F.concat(F.lit("x:"), F.regexp_replace("link", "^[^/]*//", "//")))
+    found = found.where(absolute).select("src", dst.alias("dst"))
+    counted = found.where("dst <> '' AND dst <> src").groupBy("src", "dst").agg(F.count("*").alias("n"))
     total = counted.groupBy("src").agg(F.sum("n").alias("total"))
     return counted.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
 
 
 def spread(seeds: DataFrame, edges: DataFrame, settings: Spread, name: str) -> DataFrame:
-    """(host, rank) from (host, seed) along (src, dst, share): personalised PageRank, not normalised.
+    """(host, rank) from (host, seed) along (src, dst, share): personalised PageRank over 1 - damping.
 
-    A host without outgoing edges keeps its rank, as if it linked to itself.
+    So scaled, a host's rank is its seed and what reaches it: rank = seed + damping * incoming.
     """
-    d = settings.damping
-    start = written(seeds.select("host", "seed", F.col("seed").alias("rank")), name)
-    sources = edges.select(F.col("src").alias("host")).distinct()
-    ends = start.join(sources, "host", "left_anti").select("host").withColumn("ends", F.lit(True))
-    base = written(start.join(ends, "host", "left").select("host", "seed", F.coalesce("ends", F.lit(False)).alias("ends")), name)
-    ranks = start.select("host", "rank")
+    start = written(seeds.select("host", "seed"), name)
+    ranks = start.withColumnRenamed("seed", "rank")
     for _ in range(settings.rounds):
-        sent = ranks.where("rank > 0").join(edges, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("mass"))
-        got = sent.groupBy("host").agg(F.sum("mass").alias("mass"))
-        all_hosts = base.join(got, "host", "full").join(ranks, "host", "left")
-        mass = F.coalesce("mass", F.lit(0.0)) + F.when(F.coalesce("ends", F.lit(True)), F.coalesce("rank", F.lit(0.0))).otherwise(0.0)
-        ranks = written(all_hosts.select("host", ((1 - d) * F.coalesce("seed", F.lit(0.0)) + d * mass).alias("rank")), name)
+        met = ranks.where("rank > 0").join(edges, F.col("host") == F.col("src"))
+        got = met.groupBy("dst").agg((F.sum(F.col("rank") * F.col("share")) * settings.damping).alias("mass"))
+        all_hosts = start.join(got, F.col("host") == F.col("dst"), "full")
+        rank = F.coalesce("seed", F.lit(0.0)) + F.coalesce("mass", F.lit(0.0))
+        ranks = written(all_hosts.select(F.coalesce("host", "dst").alias("host"), rank.alias("rank")), name)
     return ranks
 
 
