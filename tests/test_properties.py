@@ -209,7 +209,7 @@ def test_stream_states_equal_batch_over_many_micro_batches(spark, tmp_path):
         if source not in want or seq > want[source][1]:
             want[source] = (str(ok).lower(), seq)
     assert {r["job_id"]: (r["status"], r["version"]) for r in out.collect()} == want
-    assert len(state.versions()) == 4
+    assert state.versions() == [2, 3]  # four batches; what no retry reads is removed
     again = S.merge_batches(stream, str(tmp_path / "check"), state, fold)
     assert {r["job_id"]: (r["status"], r["version"]) for r in again.collect()} == want
 
