@@ -272,7 +272,10 @@ def cross_pairs(routes: DataFrame, points: DataFrame, clusters: DataFrame, best:
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id), one row per row of ``docs``."""
+    """(doc_id, text_hash, n_shingles, component_id, root), one row per row of ``docs``.
+
+    ``root`` tells components apart; their smallest ids may be equal or null. It is null for the empty set.
+    """
     ship_package(docs.sparkSession)
     shape = "doc_id long, text_hash long, n long, sum long, xor long, routes array<long>, vector array<int>"
     sets = written(_hashed(docs).mapInArrow(_described, shape).withColumn("row_id", F.monotonically_increasing_id()), "points")
@@ -298,10 +301,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     roots = components(links)
     known = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = written(known.join(least, "root").select(*alike, "component_id"), "named")
+    named = written(known.join(least, "root").select(*alike, "component_id", "root"), "named")
     out = sets.select("doc_id", "text_hash", *alike).join(named, alike, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -310,7 +313,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of rows that agree in doc_id and text one stays; texts without words are left as they are.
     """
     judged = jaccard_classes(docs).where("n_shingles > 0")
-    first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "text_hash")).alias("s"))
+    first = judged.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "text_hash")).alias("s"))
     first = first.select("s.doc_id", "s.text_hash")
     times = judged.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
     stays = times.join(first, times["doc_id"].eqNullSafe(first["doc_id"]) & (times["text_hash"] == first["text_hash"]), "left_semi")

@@ -124,6 +124,12 @@ def test_one_of_each(spark):
     assert sorted(r.row for r in out.collect()) == [2, 3, 4, 5, 7]
 
 
+def test_one_of_each_keeps_unlinked_documents_whose_ids_are_null_or_equal(spark):
+    rows = [(None, "red apples grow on old trees", 1), (None, "fast ships cross the cold sea", 2), (None, "Fast ships cross the cold  sea", 3), (7, "seven men went to the market", 4), (7, "nobody knows what rain will bring", 5)]
+    out = [r.row for r in J.one_of_each(spark.createDataFrame(rows, KIND + ", row int")).collect()]
+    assert len(out) == 4 and {1, 4, 5} < set(out)
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(100, 400)] + [(0, i) for i in range(1000, 2000)] + [(rng.randrange(5000, 5200), rng.randrange(5000, 5200)) for _ in range(90)]
