@@ -7,12 +7,14 @@ as hashed keys; two lines within the bound meet on an equal variant. A key keeps
 line of each kind, so a key that a third of all lines share costs one row per map task and no
 pairs. The earliest line found is then verified by edit distance.
 
-A line is dropped if an earlier line (by doc_id, then line number) is equal or within the bound. Of
+A line is dropped if an earlier line (by doc_id, then line number, then the text's hash, which tells
+apart rows of equal or null ids) is equal or within the bound. Of
 two lines within one edit, half of the words at one end are the same; lines that share no such half
 with another line need not emit variants. This changes no result.
 
-Defined results: blank lines and null texts are left as they are; a null doc_id comes last; rows with
-equal doc_id and text are judged alike, rows with equal doc_id and other text by their own lines;
+Defined results: blank lines and null texts are left as they are; null doc_ids come last and are equal
+to each other; rows with equal doc_id and text are judged alike, rows with equal doc_id and other text
+by their own lines;
 a document whose lines are all dropped keeps an empty text; an empty table gives no rows; extra
 columns are kept, but for one named lines_dropped, which is replaced.
 """
@@ -112,22 +114,23 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Every line that has words, as hashes. ``at`` orders lines by document, then number.
-
-    ``at`` is a number and not a pair, so that its minimum is taken by hash aggregates.
-    """
+    """Every line that has words, as hashes."""
     shape = "doc long, text_hash long, no int, n int, key long, key2 long, h1 long, h2 long, h3 long, h4 long"
-    at = F.col("doc").cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("no")
-    return _rows(docs).mapInArrow(_lines, shape).withColumn("at", at.cast("decimal(31,0)"))
+    return _rows(docs).mapInArrow(_lines, shape)
+
+
+def place() -> Column:
+    """The order of lines. No two lines share a place, but those of rows equal in id and text."""
+    return F.struct("doc", "no", "text_hash")
 
 
 def with_partner(first: DataFrame) -> DataFrame:
-    """(key, at): the distinct lines that share a half with another; no other line is an edit from one."""
+    """(key, key2, place): the distinct lines that share a half with another; no other line is an edit from one."""
     long = first.where(F.col("n") >= MIN_WORDS - 1)
     halves = long.select("key", F.explode(F.array("h1", "h2", "h3", "h4")).alias("half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("half")
     hit = halves.join(shared, "half", "left_semi").select("key").distinct()
-    return long.join(hit, "key", "left_semi").select("key", "at")
+    return long.join(hit, "key", "left_semi").select("key", "key2", "place.*")
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +143,7 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for line in asked.as_py():
                 ats.append(line["at"])
                 lines.append(b" ".join(parts[line["no"]].encode("utf-8", "surrogatepass").translate(upper).split()).decode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays([pa.array(ats, pa.decimal128(31, 0)), pa.array(lines, pa.string())], ["at", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array(ats, pa.int64()), pa.array(lines, pa.string())], ["at", "line"])
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,12 +196,14 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def near_earlier(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
-    """(at): distinct lines that have an earlier line within one edit."""
-    partner = written(with_partner(first), "with-partner")
-    asked = lines.join(partner, ["key", "at"]).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("no", "at")).alias("asked"))
+    """(key, key2): distinct lines that have an earlier line within one edit."""
+    # numbered in the order of their places, so that what follows compares numbers
+    partner = with_partner(first).orderBy("doc", "no", "text_hash").withColumn("at", F.monotonically_increasing_id())
+    partner = written(partner, "with-partner")
+    asked = lines.join(partner, ["key", "key2", "doc", "no", "text_hash"]).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("no", "at")).alias("asked"))
     texts = _rows(docs).join(asked, ["doc", "text_hash"]).select("text", "asked")
-    near = written(texts.mapInArrow(_line_texts, "at decimal(31,0), line string"), "near-lines")
-    emitted = near.mapInArrow(_variants, "at decimal(31,0), kind int, key long")
+    near = written(texts.mapInArrow(_line_texts, "at long, line string"), "near-lines")
+    emitted = near.mapInArrow(_variants, "at long, kind int, key long")
     earliest = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("at")))
     met = emitted.groupBy("key").agg(earliest(OWN).alias("own"), earliest(CUT).alias("cut"), earliest(GAP).alias("gap"), F.min("at").alias("x"), F.max("at").alias("y"))
     met = emitted.join(met.where("x <> y").drop("x", "y"), "key")
@@ -206,7 +211,7 @@ def near_earlier(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFra
     pairs = met.select("at", other.alias("first")).where("first < at").distinct()
     ahead = near.select(F.col("at").alias("first"), F.col("line").alias("first_line"))
     checked = pairs.join(near, "at").join(ahead, "first").where(within_one_edit(F.col("line"), F.col("first_line")))
-    return checked.select("at").distinct()
+    return checked.select("at").distinct().join(partner, "at").select("key", "key2")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -214,12 +219,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
     lines = written(occurrences(docs), "lines")
     halves = [F.max(h).alias(h) for h in ("h1", "h2", "h3", "h4")]
-    first = lines.groupBy("key", "key2").agg(F.min("at").alias("at"), F.count("*").alias("times"), F.max("n").alias("n"), *halves)
+    first = lines.groupBy("key", "key2").agg(F.min(place()).alias("place"), F.count("*").alias("times"), F.max("n").alias("n"), *halves)
     first = written(first, "first-lines")
     late = near_earlier(docs, lines, first).withColumn("near", F.lit(True))
-    judged = first.select("key", "key2", "at", "times").join(late, "at", "left").where("times > 1 OR near")
-    judged = written(judged.select("key", "key2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "judged")
-    out = lines.select("doc", "text_hash", "no", "key", "key2", "at").join(judged, ["key", "key2"]).where("near OR at > first")
+    judged = first.select("key", "key2", "place", "times").join(late, ["key", "key2"], "left").where("times > 1 OR near")
+    judged = written(judged.select("key", "key2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "judged")
+    out = lines.select("doc", "text_hash", "no", "key", "key2").join(judged, ["key", "key2"]).where(F.col("near") | (place() > F.col("first")))
     return out.groupBy("doc", "text_hash").agg(F.collect_set("no").alias("dropped"))
 
 

@@ -64,6 +64,21 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert got == [(-1, "", 1), (1, "only line", 0), (1, "only line", 0), (1, "other text", 1)]
 
 
+@pytest.mark.parametrize("doc", [None, 4])
+def test_rows_of_null_or_equal_ids_and_other_texts(spark, doc):
+    near = BASE.replace("seven", "new")
+    clean = [f"{w} is a line that no other document of this table has" for w in ("alpha", "beta", "gamma")]
+    lines = [f"{BASE}\n{clean[0]}", f"{BASE}\n{clean[1].upper()} or any", f"{near}\n{clean[2]} at all, we hope so", "zebras graze far away from the other animals here"]
+    rows = [(doc, t) for t in lines]
+    for parts in (1, 3):
+        out = D.line_dedup(spark.createDataFrame(rows, KIND).repartition(parts)).collect()
+        texts = "\n".join(r.text for r in out).split("\n")
+        # of three lines at number 0, two equal and one near, the first stays (an equal one, or the near one)
+        assert sum(t in (BASE, near) for t in texts) == 1
+        assert sum(r.lines_dropped for r in out) == 2
+        assert all(t in texts for text in lines for t in text.split("\n") if t not in (BASE, near))
+
+
 def test_empty_table(spark):
     assert D.line_dedup(spark.createDataFrame([], KIND)).count() == 0
 
