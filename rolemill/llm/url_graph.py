@@ -9,8 +9,9 @@ and is above its trust.
 Seeds are a host's share of allowed and of blocked pages. Edges are the different links of each
 host to other hosts, with the share of these links that go there; links within a host carry nothing. Ranks and edges
 are tables joined by host: a hub is one key of a join that Spark may split, its sums are
-pre-aggregated, and nothing comes to the driver. Each round's ranks are written, so a lost executor
-costs a round at most.
+pre-aggregated, and one number a round comes to the driver: the mass still on its way. Rounds end when
+all that it can still add, over all hosts, is below the tolerance. Each round's mass is written, so a
+lost executor costs a round at most.
 
 Defined results: host and path are empty where the url is null or has no `://`; no rule fits an empty
 host, and its verdict is allow; null html has no links; hosts without links to them keep their seeds;
@@ -20,6 +21,7 @@ repeated pages count as often as they occur; an empty table gives no rows; extra
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +36,18 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
+#: Rounds whose mass is summed at once.
+PARTS = 16
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @dataclass(frozen=True)
 class Spread:
     damping: float = 0.85
-    rounds: int = 8
+    #: The most that ranks may lack, summed over all hosts.
+    tolerance: float = 1e-6
+    #: Ends the walk early; None: when it has converged.
+    rounds: int | None = None
     threshold: float = 0.5
 
 
@@ -78,20 +85,30 @@ def host_links(pages: DataFrame) -> DataFrame:
     return counted.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
 
 
+def _summed(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).groupBy("host").agg(F.sum("rank").alias("rank"))
+
+
 def spread(seeds: DataFrame, edges: DataFrame, settings: Spread, name: str) -> DataFrame:
     """(host, rank) from (host, seed) along (src, dst, share): personalised PageRank over 1 - damping.
 
     So scaled, a host's rank is its seed and what reaches it: rank = seed + damping * incoming.
     """
-    start = written(seeds.select("host", "seed"), name)
-    ranks = start.withColumnRenamed("seed", "rank")
-    for _ in range(settings.rounds):
-        met = ranks.where("rank > 0").join(edges, F.col("host") == F.col("src"))
-        got = met.groupBy("dst").agg((F.sum(F.col("rank") * F.col("share")) * settings.damping).alias("mass"))
-        all_hosts = start.join(got, F.col("host") == F.col("dst"), "full")
-        rank = F.coalesce("seed", F.lit(0.0)) + F.coalesce("mass", F.lit(0.0))
-        ranks = written(all_hosts.select(F.coalesce("host", "dst").alias("host"), rank.alias("rank")), name)
-    return ranks
+    moving = written(seeds.select("host", F.col("seed").alias("rank")), name)
+    parts, done = [moving], 0
+    while done != settings.rounds:
+        mass = moving.agg(F.sum("rank")).first()[0] or 0.0
+        # shares of a host sum to 1, so a round passes on damping * mass at most
+        if mass * settings.damping / (1 - settings.damping) <= settings.tolerance:
+            break
+        met = moving.where("rank > 0").join(edges, F.col("host") == F.col("src"))
+        got = met.groupBy("dst").agg((F.sum(F.col("rank") * F.col("share")) * settings.damping).alias("rank"))
+        moving = written(got.withColumnRenamed("dst", "host"), name)
+        parts.append(moving)
+        if len(parts) == PARTS:
+            parts = [written(_summed(parts), name)]
+        done += 1
+    return written(_summed(parts), name)
 
 
 def judge_urls(pages: DataFrame, settings: Spread = Spread()) -> DataFrame:

@@ -81,6 +81,25 @@ def test_who_links_to_blocked_hosts_is_blocked(spark):
     assert got[10].verdict == "block" and got[0].verdict == "block"
 
 
+def test_converged_ranks_like_the_linear_system(spark):
+    """Two hosts in a circle and a chain of 12 hosts, whose distrust takes more than 8 rounds."""
+    pair = ["a.net", "b.org"]
+    rows = [(0, "http://a.net/es/1", "<a href='http://b.org/'>")] + [(i, "http://a.net/x", None) for i in (1, 2, 3, 4, 5)] + [(6, "http://b.org/", "<a href='http://a.net/'>")]
+    chain = ["c.net", *(f"c{i}.org" for i in range(1, 12))]
+    rows += [(20, "http://c.net/es/1", None)] + [(20 + i, f"http://c{i}.org/", f"<a href='http://{chain[i - 1]}/'>") for i in range(1, 12)]
+    hosts = pair + chain
+    step = np.zeros((14, 14))
+    step[0, 1] = step[1, 0] = 1
+    for i in range(2, 13):
+        step[i, i + 1] = 1  # against the links
+    seed = np.array([1 / 6, 0.0, 1.0] + [0.0] * 11)
+    want = np.linalg.solve(np.eye(14) - 0.85 * step.T, seed)
+    got = by_id(U.judge_urls(spark.createDataFrame(rows, KIND)), "page_id")
+    for page, url, _ in rows:
+        assert abs(got[page].distrust - want[hosts.index(split(url)[0])]) < 1e-6
+    assert want[0] >= 0.5 and got[1].rule is None and got[1].verdict == "block"
+
+
 def test_repeated_pages_extra_columns_and_empty(spark):
     rows = [(1, "http://a.org/", "<a href=x>", 1, "z"), (1, "http://a.org/", "<a href=x>", 1, "z")]
     out = U.judge_urls(spark.createDataFrame(rows, KIND + ", rank int, host string"))
