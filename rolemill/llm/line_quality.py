@@ -6,8 +6,9 @@ backward sums give each line's marginal probability of being good, and a documen
 mean of its lines' marginals, weighted by their lengths.
 
 Labels are of documents; each line of a labelled document is trained on that label. Training takes
-at most ``TRAIN_DOCS`` labelled documents, those with the smallest hashes of their ids, and their
-first ``TRAIN_LINES`` lines: a bounded sample, whose features (floats, no text) come to the driver.
+at most ``TRAIN_DOCS`` labelled documents (different id, text and label; those with the smallest
+hashes) with all their lines: a sample of whole documents, whose features (floats, no text) come to
+the driver.
 Scoring reads every line of every document.
 
 Defined results: null and blank texts have no line and score 0; where there is nothing to learn from
@@ -29,7 +30,7 @@ from rolemill.llm.arrow_text import chunks, words
 from rolemill.llm.common import read
 from rolemill.session import ship_package
 
-TRAIN_DOCS, TRAIN_LINES = 3000, 64
+TRAIN_DOCS = 3000
 THRESHOLD = 0.7
 #: Steps, step size and ridge of the training.
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
@@ -201,22 +202,25 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, _, data, offsets in chunks(batch.column("text")):
             features, _, begin = line_features(data, offsets)
             for i in range(len(begin) - 1):
-                rows.append(features[begin[i] : min(begin[i + 1], begin[i] + TRAIN_LINES)].ravel())
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.list_(pa.float32()))], ["quality", "features"])
+                rows.append(features[begin[i] : begin[i + 1]].astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.binary())], ["quality", "features"])
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame) -> dict | None:
     """A model from (doc_id, text) and (doc_id, quality); None where there aren't both kinds."""
     ship_package(docs.sparkSession)
     usable = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality").distinct()
-    ids = docs.select("doc_id").distinct().join(usable, "doc_id")
-    sample = ids.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "quality").limit(TRAIN_DOCS)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = texts.select("text", "quality").mapInArrow(_sampled, "quality int, features array<float>").limit(2 * TRAIN_DOCS).collect()
+    texts = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    keys = ["doc_id", "text_hash", "quality"]
+    ids = texts.select("doc_id", "text_hash").distinct().join(usable, "doc_id")
+    sample = ids.orderBy(F.xxhash64("doc_id", "text_hash", F.lit(3)), *keys).limit(TRAIN_DOCS)
+    # of repeated rows one is read
+    texts = texts.join(F.broadcast(sample), ["doc_id", "text_hash"]).groupBy(*keys).agg(F.min("text").alias("text"))
+    rows = texts.select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(_sampled, "quality int, features binary").collect()
     rows = [r for r in rows if r.features]
     if len({r.quality for r in rows}) < 2:
         return None
-    features = [np.array(r.features, np.float32).reshape(-1, 2 * N_FEATURES + 3) for r in rows]
+    features = [np.frombuffer(r.features, np.float32).reshape(-1, 2 * N_FEATURES + 3) for r in rows]
     begin = np.concatenate([[0], np.cumsum([len(f) for f in features])])
     return train(np.vstack(features), begin, np.array([r.quality for r in rows]))
 

@@ -58,6 +58,17 @@ def test_nothing_to_learn(spark):
     assert Q.score_quality(docs.limit(0), None).count() == 0
 
 
+def test_trains_on_all_lines_of_different_documents(spark, monkeypatch):
+    """Rows of one document don't crowd out the other kind, and lines behind the 64th count."""
+    seen = []
+    monkeypatch.setattr(Q, "train", lambda features, begin, labels: seen.append((np.diff(begin).tolist(), labels.tolist())))
+    monkeypatch.setattr(Q, "TRAIN_DOCS", 4)
+    rows = [(1, "\n".join([GOOD] * 100))] * 50 + [(2, BAD), (2, BAD), (3, None), (4, "")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, quality int")
+    Q.learn_quality(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels)
+    assert [sorted(zip(*s)) for s in seen] == [[(1, 0), (100, 1)]]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{sf}/labels.parquet")
