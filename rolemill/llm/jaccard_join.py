@@ -1,9 +1,10 @@
 """N-gram Jaccard join of documents with an R-tree over count vectors.
 
-A document is the set of its distinct 4-word shingles. Shingles are hashed into 256 groups; the
-numbers of a set's shingles in each group are a point. The overlap of two sets is at most the sum
-of the smaller of their coordinates, and for a node of the tree at most that with the node's upper
-corner. Pairs that reach the needed overlap by this bound are verified on the whole sets.
+A document is the set of its distinct shingles. ``Likeness`` gives their width and the similarity from
+which sets link; numbers below are those of the query, 4 words and 0.85. Shingles are hashed into 256
+groups; the numbers of a set's shingles in each group are a point. The overlap of two sets is at most
+the sum of the smaller of their coordinates, and for a node of the tree at most that with the node's
+upper corner. Pairs that reach the needed overlap by this bound are verified on the whole sets.
 
 The index is spread over the cluster by routes. A set's shingles are put in the order of their
 hashes; each three neighbours among the first 46 are a route, and sets that share a route are looked
@@ -22,7 +23,7 @@ Links are found in three steps, so that a group of n near copies isn't expanded
 A pair that is never compared is in one cluster already, so no component is missed.
 
 Defined results: text without words, or null, has the empty set and links with nothing; with fewer than
-four words the whole sequence is the one shingle; equal sets are one node, so copies cost nothing
+a shingle's words the whole sequence is the one shingle; equal sets are one node, so copies cost nothing
 beyond the first; equal doc_ids are separate rows; a null doc_id is no component's smallest unless
 all of its ids are null; an empty table gives no rows; extra columns are not used.
 """
@@ -30,6 +31,8 @@ all of its ids are null; an empty table gives no rows; extra columns are not use
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +44,14 @@ from rolemill.llm.common import read, whole_row, written
 from rolemill.llm.components import components
 from rolemill.session import ship_package
 
-WIDTH = 4
-#: Two sets link when HUNDRED * overlap >= NEED * union.
-NEED, HUNDRED = 85, 100
+HUNDRED = 100
 GROUPS = 256
 #: Groups that are taken together in the boxes of a tree; its points are compared in full.
 TOGETHER = 4
-ROUTES, NEIGHBOURS = 44, 3
-#: Sets below this size link with equal sets only: 5 / 6 is under 0.85.
-LONE = 6
+NEIGHBOURS = 3
+#: Sets up to this size also have routes of two neighbours: of five shingles at 0.8 the middle one may
+#: be the one that is missing.
+SMALL = 5
 #: Sets of a cell, and children of a node of its tree.
 CELL, FAN = 512, 16
 #: Pairs of a set and cell that step 2 verifies.
@@ -58,19 +60,43 @@ BEST = 2
 #: that, texts and rows meet by a shuffle.
 SENT_ROWS = 500_000
 
-_PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+_PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], np.uint64)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+@dataclass(frozen=True)
+class Likeness:
+    """Shingles of ``width`` words; two sets link when HUNDRED * overlap >= need * union.
+
+    The defaults are the query's. A lower need takes more routes for the same chance of a miss.
+    """
+
+    width: int = 4
+    need: int = 85
+    routes: int = 44
+
+    def __post_init__(self):
+        if not (1 <= self.width <= len(_PLACE) and 80 <= self.need < HUNDRED):
+            raise ValueError("shingles have 1 to 5 words; below 0.8 small sets may share no route")
+
+    @property
+    def lone(self) -> int:
+        """Sets below this size link with equal sets only: at 0.85 it is 6, since 5 / 6 is less."""
+        return -(-self.need // (HUNDRED - self.need))
+
+
+QUERY = Likeness()
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """Each text's distinct shingle hashes in ascending order."""
     _, _, h, first = words(data, offsets)
-    n = max(len(h) - WIDTH + 1, 0)
+    n = max(len(h) - width + 1, 0)
     with np.errstate(over="ignore"):
-        grams = mix(sum((h[i : n + i] * _PLACE[i] for i in range(WIDTH)), np.zeros(n, np.uint64)))
+        grams = mix(sum((h[i : n + i] * _PLACE[i] for i in range(width)), np.zeros(n, np.uint64)))
         out = []
         for a, b in zip(first[:-1], first[1:]):
-            if b - a >= WIDTH:
-                out.append(np.unique(grams[a : b - WIDTH + 1]))
+            if b - a >= width:
+                out.append(np.unique(grams[a : b - width + 1]))
             elif b > a:
                 short = (h[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
                 out.append(mix(np.array([short], np.uint64)))
@@ -79,13 +105,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _routes(own: np.ndarray) -> np.ndarray:
-    if len(own) < LONE:
-        return own[:0]
-    own = own[: ROUTES + NEIGHBOURS - 1]
-    n = len(own) - NEIGHBOURS + 1
+def _runs(own: np.ndarray, size: int) -> np.ndarray:
+    n = len(own) - size + 1
     with np.errstate(over="ignore"):
-        return mix(sum((own[i : n + i] * _PLACE[i] for i in range(NEIGHBOURS)), np.zeros(n, np.uint64)))
+        return mix(sum((own[i : n + i] * _PLACE[i] for i in range(size)), np.zeros(n, np.uint64)))
+
+
+def _routes(own: np.ndarray, like: Likeness) -> np.ndarray:
+    if len(own) < like.lone:
+        return own[:0]
+    runs = _runs(own[: like.routes + NEIGHBOURS - 1], NEIGHBOURS)
+    return np.concatenate([runs, _runs(own, NEIGHBOURS - 1)]) if len(own) <= SMALL else runs
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -94,11 +124,11 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "text_hash", "n", "sum", "xor", "routes", "vector"]
     for batch in batches:
         for start, end, data, offsets in chunks(batch.column("text")):
-            sets = shingle_sets(data, offsets)
+            sets = shingle_sets(data, offsets, like.width)
             with np.errstate(over="ignore"):
                 total = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
             odd = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], np.uint64)
@@ -110,26 +140,26 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(np.array([len(s) for s in sets], np.int64)),
                     pa.array(total.view(np.int64)),
                     pa.array(odd.view(np.int64)),
-                    _lists([_routes(s) for s in sets], pa.int64()),
+                    _lists([_routes(s, like) for s in sets], pa.int64()),
                     _lists(points, pa.int32()),
                 ],
                 names,
             )
 
 
-def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _expanded(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, end, data, offsets in chunks(batch.column("text")):
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(start, end - start), _lists(shingle_sets(data, offsets), pa.int64())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(start, end - start), _lists(shingle_sets(data, offsets, like.width), pa.int64())], ["node", "shingles"])
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-def enough(overlap: Column, n: Column, m: Column) -> Column:
+def enough(overlap: Column, n: Column, m: Column, need: int) -> Column:
     """Whether an overlap is enough for sets of n and m shingles; all in whole numbers."""
-    return overlap * (HUNDRED + NEED) >= (n + m) * NEED
+    return overlap * (HUNDRED + need) >= (n + m) * need
 
 
 def bound(a: Column, b: Column) -> Column:
@@ -137,7 +167,7 @@ def bound(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x).cast("long")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     found = nodes.join(wanted, "node").select("node", "doc_id", "text_hash")
@@ -145,12 +175,12 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     found = written(found, "asked")
     found = F.broadcast(found) if found.count() <= SENT_ROWS else found
     texts = _hashed(docs).withColumnRenamed("doc_id", "id").join(found, "text_hash").where(F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
-    sets = written(texts.mapInArrow(_expanded, "node long, shingles array<long>"), "sets")
+    sets = written(texts.mapInArrow(partial(_expanded, like=like), "node long, shingles array<long>"), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     met = pairs.join(one, "a").join(two, "b")
     same = F.size(F.array_intersect("x", "y")).cast("long")
-    return met.where(enough(same, F.size("x").cast("long"), F.size("y").cast("long"))).select("a", "b").distinct()
+    return met.where(enough(same, F.size("x").cast("long"), F.size("y").cast("long"), like.need)).select("a", "b").distinct()
 
 
 class CountTree:
@@ -161,8 +191,8 @@ class CountTree:
     groups, whose bound is never below that of all groups; what passes is compared in all.
     """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, need: int = QUERY.need):
+        self.points, self.sizes, self.need = points, sizes, need
         points = self.coarse(points)
         heavy = np.argsort(-points.var(axis=0), kind="stable")[:2] if len(points) else [0, 0]
         # tiles: runs of like size, in them by the two coordinates that differ most
@@ -179,13 +209,12 @@ class CountTree:
     def coarse(points: np.ndarray) -> np.ndarray:
         return points.reshape(len(points), GROUPS // TOGETHER, TOGETHER).sum(axis=2, dtype=np.int32)
 
-    @staticmethod
-    def _passed(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    def _passed(self, a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Which of the pairs a[i], b[j] can share enough."""
         out = np.zeros(len(i), bool)
         for s in range(0, len(i), 1 << 13):
             x, y = i[s : s + (1 << 13)], j[s : s + (1 << 13)]
-            out[s : s + (1 << 13)] = np.minimum(a[x], b[y]).sum(axis=1, dtype=np.int64) * (HUNDRED + NEED) >= (n[x] + m[y]) * NEED
+            out[s : s + (1 << 13)] = np.minimum(a[x], b[y]).sum(axis=1, dtype=np.int64) * (HUNDRED + self.need) >= (n[x] + m[y]) * self.need
         return out
 
     def search(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +237,7 @@ class CountTree:
         return query[passed], found[passed]
 
 
-def _found_in(cell: pa.Table, best: int | None) -> pa.Table:
+def _found_in(cell: pa.Table, best: int | None, need: int) -> pa.Table:
     """Pairs of different clusters that the tree lets pass, of one cell or of two cells that meet.
 
     With ``best``, only so many of each set, those with the largest bound for their sizes.
@@ -219,7 +248,7 @@ def _found_in(cell: pa.Table, best: int | None) -> pa.Table:
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     alone = not len(right)
     right = left if alone else right
-    tree = CountTree(points[right], n[right])
+    tree = CountTree(points[right], n[right], need)
     q, p = tree.search(points[left], n[left])
     a, b = left[q], right[p]
     keep = (cluster[a] != cluster[b]) & (node[a] != node[b])
@@ -235,28 +264,20 @@ def _found_in(cell: pa.Table, best: int | None) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
-def _best_pairs(cell: pa.Table) -> pa.Table:
-    return _found_in(cell, BEST)
-
-
-def _all_pairs(cell: pa.Table) -> pa.Table:
-    return _found_in(cell, None)
-
-
-def cross_pairs(routes: DataFrame, points: DataFrame, clusters: DataFrame, best: bool) -> DataFrame:
+def cross_pairs(routes: DataFrame, points: DataFrame, clusters: DataFrame, best: bool, need: int) -> DataFrame:
     """Candidates (a, b) of different clusters that share a route; with ``best`` the best of each cell."""
     own = routes.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     mixed = own.groupBy("route").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("size")).where("x <> y")
     mixed = written(mixed.select("route", "size"), "mixed-routes")
     member = own.join(mixed, "route").join(points, "node")
     # sets of linkable sizes are in one band or in neighbour bands
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(HUNDRED / NEED)))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(HUNDRED / need)))
     part = F.pmod(F.xxhash64("node", "route"), F.ceil(F.col("size") / CELL))
     member = written(member.select("route", band.alias("band"), part.alias("part"), "node", "cluster", "n", "vector"), "members")
     shape = ["meet", "side", "node", "cluster", "n", "vector"]
     if best:
         alone = member.select(F.xxhash64("route", "band", "part").alias("meet"), F.lit(0).alias("side"), "node", "cluster", "n", "vector")
-        return alone.groupBy("meet").applyInArrow(_best_pairs, "a long, b long").distinct()
+        return alone.groupBy("meet").applyInArrow(lambda cell: _found_in(cell, BEST, need), "a long, b long").distinct()
     cells = member.groupBy("route", "band", "part").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"))
     cells = written(cells.withColumn("cell", F.xxhash64("route", "band", "part")), "cells")
     # pairs of cells, not of rows; a cell meets those after it in its band and all in the next
@@ -268,17 +289,17 @@ def cross_pairs(routes: DataFrame, points: DataFrame, clusters: DataFrame, best:
     right = meets.where(~F.col("self")).select("route", F.col("band2").alias("band"), F.col("part2").alias("part"), "meet")
     right = member.join(right, ["route", "band", "part"]).withColumn("side", F.lit(1))
     rows = left.select(*shape).unionByName(right.select(*shape))
-    return rows.groupBy("meet").applyInArrow(_all_pairs, "a long, b long").distinct()
+    return rows.groupBy("meet").applyInArrow(lambda cell: _found_in(cell, None, need), "a long, b long").distinct()
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
+def jaccard_classes(docs: DataFrame, like: Likeness = QUERY) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, root), one row per row of ``docs``.
 
     ``root`` tells components apart; their smallest ids may be equal or null. It is null for the empty set.
     """
     ship_package(docs.sparkSession)
     shape = "doc_id long, text_hash long, n long, sum long, xor long, routes array<long>, vector array<int>"
-    sets = written(_hashed(docs).mapInArrow(_described, shape).withColumn("row_id", F.monotonically_increasing_id()), "points")
+    sets = written(_hashed(docs).mapInArrow(partial(_described, like=like), shape).withColumn("row_id", F.monotonically_increasing_id()), "points")
     alike = ["n", "sum", "xor"]
     full = sets.where("n > 0")
     classes = full.groupBy(*alike).agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least_id"))
@@ -292,12 +313,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     stars = shared.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     side = lambda x: points.select(*[F.col(c).alias(f"{x}_{c}") for c in points.columns])
     near = stars.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
-    near = near.where(enough(bound(F.col("a_vector"), F.col("b_vector")), F.col("a_n"), F.col("b_n"))).select("a", "b")
-    links = written(verified(docs, nodes, written(near, "candidates")), "star-links")
+    near = near.where(enough(bound(F.col("a_vector"), F.col("b_vector")), F.col("a_n"), F.col("b_n"), like.need)).select("a", "b")
+    links = written(verified(docs, nodes, written(near, "candidates"), like), "star-links")
     for best in (True, False):
         clusters = components(links).withColumnRenamed("root", "cluster")
-        more = written(cross_pairs(shared.select("route", "node"), points, clusters, best), "candidates")
-        links = written(links.unionByName(verified(docs, nodes, more)), "links")
+        more = written(cross_pairs(shared.select("route", "node"), points, clusters, best, like.need), "candidates")
+        links = written(links.unionByName(verified(docs, nodes, more, like)), "links")
     roots = components(links)
     known = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -307,12 +328,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), "root")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, like: Likeness = QUERY) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest doc_id.
 
     Of rows that agree in doc_id and text one stays; texts without words are left as they are.
     """
-    judged = jaccard_classes(docs).where("n_shingles > 0")
+    judged = jaccard_classes(docs, like).where("n_shingles > 0")
     first = judged.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "text_hash")).alias("s"))
     first = first.select("s.doc_id", "s.text_hash")
     times = judged.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))

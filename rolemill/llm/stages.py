@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolemill.llm.common import whole_row
-from rolemill.llm.jaccard_join import one_of_each
+from rolemill.llm.jaccard_join import Likeness, one_of_each
 from rolemill.llm.language_id import held_out, identify, learn_prototypes
 from rolemill.llm.length_buckets import pack
 from rolemill.llm.line_dedup import line_dedup
 from rolemill.llm.source_mixing import mix_sources
 
+#: Five words and 0.8; two sets at 0.8 share no route with a probability below 2e-9, as in the query.
+NEAR = Likeness(width=5, need=80, routes=56)
+
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or null, are rejected; prototypes are learned from the rest's labels."""
@@ -33,7 +36,7 @@ def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return one_of_each(docs)
+    return one_of_each(docs, NEAR)
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,6 +130,21 @@ def test_one_of_each_keeps_unlinked_documents_whose_ids_are_null_or_equal(spark)
     assert len(out) == 4 and {1, 4, 5} < set(out)
 
 
+def test_stage_links_five_word_shingles_at_four_fifths(spark):
+    from rolemill.llm.stages import jaccard_stage
+
+    words = [f"w{i}" for i in range(184)]
+    other = [f"new{i}" if i in (20, 60, 100, 140) else w for i, w in enumerate(words)]  # 160 of 200 shingles
+    more = [f"new{i}" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(words)]  # below 0.8 with the first
+    rows = [(1, " ".join(words)), (2, " ".join(other))]
+    assert [r.doc_id for r in jaccard_stage(spark, spark.createDataFrame(rows, KIND), "").collect()] == [1]
+    far = [(1, " ".join(words)), (2, " ".join(more))]
+    # four shingles of five, whatever the order of their hashes
+    small = [(10 + 2 * k + j, " ".join(f"p{k}x{i}" for i in range(8 + j))) for k in range(30) for j in (0, 1)]
+    got_ = sorted(r.doc_id for r in jaccard_stage(spark, spark.createDataFrame(far + small, KIND), "").collect())
+    assert got_ == [1, 2] + [10 + 2 * k for k in range(30)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(100, 400)] + [(0, i) for i in range(1000, 2000)] + [(rng.randrange(5000, 5200), rng.randrange(5000, 5200)) for _ in range(90)]
