@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rolemill.llm import exact_dedup as dedup
-from rolemill.llm import exact_topk, fill_in_middle, jaccard_join, language_id, length_buckets, line_dedup, line_quality, piece_bpe, preference_format, source_mixing, url_graph
+from rolemill.llm import exact_topk, fill_in_middle, hard_negatives, jaccard_join, language_id, length_buckets, line_dedup, line_quality, piece_bpe, preference_format, source_mixing, url_graph
 from rolemill.llm.common import read
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_length_buckets": length_buckets.packing_query,
     "op10_line_quality": line_quality.quality_query,
     "op11_piece_bpe": piece_bpe.piece_query,
+    "op12_hard_negatives": hard_negatives.negatives_query,
     "op13_fill_in_middle": fill_in_middle.fim_query,
 }
 
@@ -32,5 +33,6 @@ ORACLES = {
     "op6_exact_dedup": dedup.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_exact_topk": exact_topk.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
     "op13_fill_in_middle": fill_in_middle.SQL,
 }
