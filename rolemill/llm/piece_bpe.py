@@ -38,7 +38,7 @@ from rolemill.session import ship_package
 
 BLANK = 0x2581
 #: Characters of a window; it may be longer only where one word is.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 NEVER = np.iinfo(np.int32).max
 _CHARS = 0x110000
 _FILTER_BITS = 22
@@ -383,19 +383,30 @@ def _broadcast(spark: SparkSession, model_file: str):
     return spark.sparkContext.broadcast(load_vocabulary(model_file))
 
 
-def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
-    """The rows with ``ids``, array of int, the end id last."""
+def _text_array(texts: list[bytes]) -> pa.Array:
+    return pa.array(texts, pa.binary()).cast(pa.string())
+
+
+def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """The rows with ``ids``, array of int, the end id last; with ``decoded`` also their text.
+
+    Decoding in the same pass spares each task a second Python worker.
+    """
     shared = _broadcast(docs.sparkSession, model_file)
+    added = ["ids", "decoded"] if decoded else ["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in chunks(batch.column("text")):
+            for low, high, data, offsets in chunks(batch.column("text"), WINDOW):
                 ids, ends = encode(data, offsets, shared.value)
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(low, high - low), lists], ["row", "ids"])
+                out = [batch.column("row").slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+                if decoded:
+                    out.append(_text_array(decode(ids, ends, shared.value)))
+                yield pa.RecordBatch.from_arrays(out, ["row", *added])
 
     rows = docs.select(whole_row(docs).alias("row"), F.col(text_col).alias("text"))
-    return spread_row(rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>"), docs.columns, ["ids"])
+    kind = f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>" + (", decoded string" if decoded else "")
+    return spread_row(rows.mapInArrow(run, kind), docs.columns, added)
 
 
 def decode_ids(docs: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
@@ -407,7 +418,7 @@ def decode_ids(docs: DataFrame, model_file: str, ids_col: str = "ids") -> DataFr
             lists = batch.column("ids")
             ids = lists.flatten().to_numpy(zero_copy_only=False)
             texts = decode(ids, np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), _text_array(texts)], ["row", "decoded"])
 
     given = F.filter(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: i.isNotNull()).alias("ids")
     rows = docs.select(whole_row(docs).alias("row"), given)
@@ -418,7 +429,7 @@ def piece_query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = decode_ids(encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model)
+    coded = encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

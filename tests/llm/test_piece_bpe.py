@@ -67,6 +67,7 @@ def test_frames(spark, library):
     have = sorted((str(r.doc_id), r.text or "", r.ids, r.decoded) for r in out.collect())
     want = sorted((str(i), t or "", (w := library.encode(t or "") + [2]), library.decode(w)) for i, t, _ in rows)
     assert have == want
+    assert sorted(map(str, T.encode_texts(df, MODEL, decoded=True).collect())) == sorted(map(str, out.collect()))
     assert T.decode_ids(T.encode_texts(df.limit(0), MODEL), MODEL).count() == 0
 
 
