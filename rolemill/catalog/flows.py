@@ -10,7 +10,7 @@ from rolemill.catalog.registry import query
 from rolemill.catalog.relational import _interval, _priority, at, sql_stamp, stamp
 from rolemill.catalog.views import table, v_events, v_jobs, v_pages, v_postings, v_sources, with_views
 from rolemill.operators import aggregates, plugins
-from rolemill.plans import cloud, pipeline, rate
+from rolemill.plans import cloud, pipeline, rate, store
 from rolemill.session import new_folder
 from rolemill.sources import config, readers, sinks
 from rolemill.streaming import jobs as S
@@ -170,20 +170,32 @@ def event_stream(spark, sf):
     return S.read_folder(spark, sf, schema, pathGlobFilter="events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def in_arrivals(spark, rows, order: str, merge, kind: str = "parquet", schema=None):
-    """Let the rows arrive in five parts, in order; after each part the stream takes what is new and stops.
+def in_arrivals(spark, rows, order: str, merge, kind: str = "parquet", schema=None, parts: int = 5):
+    """Let the rows arrive in parts, in order; after each part the query starts again, takes what is new and stops.
 
-    ``merge`` gets the stream and a folder for its checkpoint, and returns the state after the part.
+    ``merge`` gets the stream and a folder for its checkpoint.
     """
     folder, check = new_folder(spark, "arriving"), new_folder(spark, "arriving-checkpoint")
-    cuts = rows.agg(F.percentile_approx(order, [0.2, 0.4, 0.6, 0.8], 10_000).alias("cuts")).first().cuts
-    out = None
+    cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("cuts")).first().cuts
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows if low is None else rows.filter(F.col(order) > low)
         part = part if high is None else part.filter(F.col(order) <= high)
         part.write.mode("append").format(kind).save(folder)
-        out = merge(S.read_folder(spark, folder, schema or rows.schema, kind), check)
-    return out
+        merge(S.read_folder(spark, folder, schema or rows.schema, kind), check)
+
+
+def changes_in_arrivals(spark, rows, order: str, job, mode: str = "update", parts: int = 5):
+    """All changes that a keyed stream writes while the rows arrive in parts."""
+    folder = new_folder(spark, "changes")
+    kinds = []
+
+    def merge(stream, check):
+        out = job(stream)
+        kinds.append(out.schema)
+        S.write_changes(out, folder, check, mode)
+
+    in_arrivals(spark, rows, order, merge, parts=parts)
+    return S.read_changes(spark, folder, kinds[0])
 
 
 def events_to_merge(spark, sf):
@@ -198,14 +210,13 @@ def events_to_merge(spark, sf):
       SELECT l.job_id, {q.trim('r.JobTitle')} AS title, r.source_id || '-' || CAST(r.run AS VARCHAR) AS run, runs = 1 AS is_new, 'new' AS status FROM l JOIN r ON l.row_seq = r.row_seq""",
 )
 def stream_ingest(spark, sf):
-    state = new_folder(spark, "jobs-store")
+    folder = new_folder(spark, "jobs-store")
     schema = "run_seq long, run_id string, source_id string, lease_id string, success boolean, " + readers.ENVELOPE["jobs"].simpleString().replace("jobs:", "jobs ", 1)
-    empty = cloud.result_jobs(scrape_results(spark, sf)).drop("row_seq").limit(0).withColumns(
+    kind = cloud.result_jobs(scrape_results(spark, sf)).drop("row_seq").limit(0).withColumns(
         {"first_seen_at": at("2024-01-01"), "last_seen_at": at("2024-01-01"), "is_new": F.lit(True), "status": F.lit("new"), "rate_num": F.lit(0)}
-    )
-    store = S.StateTable(state, spark.createDataFrame([], empty.schema))
-    fold = lambda jobs, batch, _: S.ingest(jobs, batch, at("2024-05-01"))
-    out = in_arrivals(spark, envelopes(spark, sf), "run_seq", lambda stream, check: S.merge_batches(stream, check, store, fold), "json", schema)
+    ).schema
+    in_arrivals(spark, envelopes(spark, sf), "run_seq", lambda stream, check: S.ingest(stream, folder, check, kind, at("2024-05-01"), 8), "json", schema)
+    out = store.read(spark, f"{folder}/jobs", kind)
     return out.select("job_id", "title", F.col("scrape_run_id").alias("run"), "is_new", "status")
 
 
@@ -247,10 +258,8 @@ def stream_stage_pipeline(spark, sf):
 
 @query("stream_job_state", "SELECT user_id AS job_id, arg_max(event_type, event_id) AS status, max(event_id) AS version FROM events GROUP BY 1")
 def stream_job_state(spark, sf):
-    root = new_folder(spark, "job-state")
     rows = events_to_merge(spark, sf).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("version"), F.col("event_type").alias("status"))
-    state = S.StateTable(root, spark.createDataFrame([], "job_id long, status string, version long"))
-    return in_arrivals(spark, rows, "version", lambda stream, check: S.merge_batches(stream, check, state, lambda old, batch, _: S.newest_state(old, batch)))
+    return S.latest(changes_in_arrivals(spark, rows, "version", S.job_states), "job_id", "version")
 
 
 @query(
@@ -258,10 +267,10 @@ def stream_job_state(spark, sf):
     "SELECT event_id AS row_seq, event_type AS counter, strftime(ts, '%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY event_id) AS rn FROM events) WHERE rn <= 20",
 )
 def stream_quota(spark, sf):
-    root = new_folder(spark, "quota")
-    rows = events_to_merge(spark, sf).select(F.col("event_id").alias("row_seq"), F.col("event_type").alias("counter"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    state = S.StateTable(root, spark.createDataFrame([], "row_seq long, counter string, day string"))
-    return in_arrivals(spark, rows, "row_seq", lambda stream, check: S.merge_batches(stream, check, state, lambda old, batch, _: S.quota(old, batch, 20)))
+    rows = events_to_merge(spark, sf).select(
+        F.col("event_id").alias("row_seq"), F.col("event_type").alias("counter"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit(1).cast("long").alias("amount"), "at"
+    )
+    return changes_in_arrivals(spark, rows, "row_seq", lambda stream: S.quota(stream, "at", "1 hour", 20), "append", parts=3)
 
 
 @query(
@@ -270,12 +279,9 @@ def stream_quota(spark, sf):
       WHERE event_type = 'error' OR ts + INTERVAL 240 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 )
 def stream_lease_ttl(spark, sf):
-    root = new_folder(spark, "lease-ttl")
     events = events_to_merge(spark, sf).select("event_id", F.col("event_id").cast("string").alias("lease_id"), F.when(F.col("event_type") == "error", "saved").otherwise("leased").alias("state"), "at")
-    empty = spark.createDataFrame([], "lease_id string, state string, issued_at timestamp, ended_at timestamp, seen_at timestamp")
-    state = S.StateTable(root, empty)
-    out = in_arrivals(spark, events, "event_id", lambda stream, check: S.merge_batches(stream, check, state, lambda old, batch, _: S.lease_states(old, batch, 240, 60)))
-    return out.filter("state <> 'leased'").select("lease_id", "state")
+    outcomes = changes_in_arrivals(spark, events, "event_id", lambda stream: S.lease_outcomes(stream, 240, "1 hour"), parts=3)
+    return S.latest(outcomes, "lease_id", "ended_at").select("lease_id", "state")
 
 
 @query("stream_events_sink", "SELECT event_type, CAST(user_id AS VARCHAR) AS job_id, count(*) AS n FROM events GROUP BY 1, 2")
@@ -294,19 +300,12 @@ def stream_events_sink(spark, sf):
       SELECT 'src' || CAST(e.user_id AS VARCHAR) AS source_id, count(*) FILTER (WHERE event_type = 'error' AND (ok IS NULL OR event_id > ok)) AS consecutive_failures FROM events e JOIN l ON e.user_id = l.user_id GROUP BY 1""",
 )
 def stream_source_failures(spark, sf):
-    root = new_folder(spark, "failures")
     rows = events_to_merge(spark, sf).select(
-        F.col("event_id").alias("row_seq"), F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("source_id"), (F.col("event_type") != "error").alias("success"), F.col("ts").alias("finished_at")
+        F.col("event_id").alias("row_seq"), F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("source_id"), (F.col("event_type") != "error").alias("success"), F.col("at").alias("finished_at")
     )
-    empty = spark.createDataFrame([], "source_id string, leased_until timestamp_ntz, last_success_at timestamp_ntz, last_failure_at timestamp_ntz, consecutive_failures long")
-
-    def merge(old, batch, _):
-        known = old.unionByName(batch.select("source_id").distinct().join(old, "source_id", "left_anti"), allowMissingColumns=True)
-        return cloud.source_runtime(known, batch)
-
-    state = S.StateTable(root, empty)
-    out = in_arrivals(spark, rows, "row_seq", lambda stream, check: S.merge_batches(stream, check, state, merge))
-    return out.select("source_id", "consecutive_failures")
+    failures = changes_in_arrivals(spark, rows, "row_seq", lambda stream: S.source_failures(stream, "1 hour"), parts=3)
+    newest = failures.withColumn("at", F.greatest("last_success_at", "last_failure_at"))
+    return S.latest(newest, "source_id", "at").select("source_id", "consecutive_failures")
 
 
 @query(

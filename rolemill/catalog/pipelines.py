@@ -51,7 +51,8 @@ from rolemill.operators import filters, joins, moves, schema
 from rolemill.operators.settings import Settings
 from rolemill.operators.winners import mark
 from rolemill.plans import answers as A
-from rolemill.plans import cloud, leases, load, marts, pipeline, rate
+from rolemill.plans import cloud, leases, load, marts, pipeline, rate, store
+from rolemill.session import new_folder, written
 
 NOW = "2024-05-01 09:00:00"
 
@@ -412,7 +413,10 @@ _batch = f"SELECT {_hash} AS job_id, min(row_seq) AS row_seq FROM v_postings GRO
 )
 def upsert_jobs(spark, sf):
     batch = cloud.result_jobs(scrape_results(spark, sf))
-    out = cloud.upsert_jobs(stored_jobs(spark, sf), batch, at(NOW))
+    folder, stored = new_folder(spark, "job-store"), stored_jobs(spark, sf)
+    store.write(stored, folder, 8)
+    store.upsert(folder, stored.schema, batch, at(NOW), 8)
+    out = store.read(spark, folder, stored.schema)
     return out.select("job_id", "is_new", stamp("first_seen_at").alias("first_seen"), stamp("last_seen_at").alias("last_seen"), "status", "rate_num", "pipeline_version", F.col("scrape_run_id").alias("run"), "title")
 
 
@@ -424,11 +428,12 @@ def upsert_jobs(spark, sf):
 )
 def ingest_run(spark, sf):
     batch, stored = cloud.result_jobs(scrape_results(spark, sf)), stored_jobs(spark, sf)
-    runs = batch.select(F.col("scrape_run_id").alias("run_id")).distinct()
-    events = cloud.ingest_events(batch, stored, at(NOW)).groupBy("run_id").agg(
+    marked = written(cloud.mark_known(batch.select("job_id", "source_id", "title", "scrape_run_id"), stored), "ingest")
+    runs = marked.select(F.col("scrape_run_id").alias("run_id")).distinct()
+    events = cloud.ingest_events(marked, at(NOW)).groupBy("run_id").agg(
         F.count_if(F.col("event_type") == "ingested").alias("ingested"), F.count_if(F.col("event_type") == "reseen").alias("reseen")
     )
-    return cloud.run_rows(runs, batch, stored).join(events, "run_id")
+    return cloud.run_rows(runs, marked).join(events, "run_id")
 
 
 @query(

@@ -712,6 +712,25 @@ def daily_quota(spark, sf):
     return leases.daily_quota(asked, 30).select(F.col("row_seq").alias("event_id"), "granted")
 
 
+@query(
+    "daily_quota_amounts",
+    """WITH RECURSIVE a AS (SELECT event_id, event_type AS counter, ts::DATE AS day, greatest(1, (event_id * 7919) % 23 - 3) AS amount,
+        row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY event_id) AS rn FROM events),
+      w AS (SELECT event_id, counter, day, rn, amount <= 60 AS granted, CASE WHEN amount <= 60 THEN amount ELSE 0 END AS used FROM a WHERE rn = 1
+        UNION ALL SELECT a.event_id, a.counter, a.day, a.rn, w.used + a.amount <= 60, CASE WHEN w.used + a.amount <= 60 THEN w.used + a.amount ELSE w.used END
+        FROM w JOIN a ON a.counter = w.counter AND a.day = w.day AND a.rn = w.rn + 1)
+      SELECT event_id, granted FROM w""",
+)
+def daily_quota_amounts(spark, sf):
+    """Requests of different sizes: a refused one takes nothing, and a smaller one after it may fit."""
+    from rolemill.plans import leases
+
+    asked = v_events(spark, sf).select(
+        F.col("event_id").alias("row_seq"), F.col("event_type").alias("counter"), F.to_date("created_at").alias("day"), ((F.col("event_id") * 7919) % 23 - 3).alias("amount")
+    )
+    return leases.daily_quota(asked, 60, amount="amount").select(F.col("row_seq").alias("event_id"), "granted")
+
+
 @query(
     "first_success_attempt",
     """SELECT user_id AS row_num, CASE WHEN count(*) FILTER (WHERE event_type <> 'error') > 0 THEN 'ok' ELSE 'FAILED_ALL' END AS outcome,

@@ -66,17 +66,20 @@ def result_jobs(results: DataFrame) -> DataFrame:
 def upsert_jobs(jobs: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
     """New ids enter in their initial state, known ones refresh text and sight, the rest stay.
 
-    ``batch`` holds an id once (the latest run of a micro-batch); the result is a
-    new snapshot of the store.
+    ``batch`` holds an id once (the latest run of a micro-batch), with ``runs`` if several of its
+    runs may have seen it. A row that the same run has written stays as it is.
     """
-    fresh = batch.select("job_id", *[F.col(c).alias(f"_n_{c}") for c in SEEN])
+    runs = F.col("runs") if "runs" in batch.columns else F.lit(1)
+    fresh = batch.select("job_id", runs.alias("_n_runs"), *[F.col(c).alias(f"_n_{c}") for c in SEEN])
     joined = jobs.join(fresh, "job_id", "full_outer")
-    known, seen = F.col("first_seen_at").isNotNull(), F.col("_n_source_id").isNotNull()
+    known = F.col("first_seen_at").isNotNull()
+    applied = F.coalesce(known & (F.col("scrape_run_id") == F.col("_n_scrape_run_id")), F.lit(False))
+    seen = F.col("_n_source_id").isNotNull() & ~applied
     new = seen & ~known
     out = {c: F.when(seen, F.col(f"_n_{c}")).otherwise(F.col(c)) for c in SEEN}
     out["last_seen_at"] = F.when(seen, as_of).otherwise(F.col("last_seen_at"))
     out["first_seen_at"] = F.when(new, as_of).otherwise(F.col("first_seen_at"))
-    out["is_new"] = F.when(seen, new).otherwise(F.col("is_new"))
+    out["is_new"] = F.when(seen, new & (F.col("_n_runs") == 1)).otherwise(F.col("is_new"))
     for name, value in INITIAL.items():
         if name in jobs.columns:
             out[name] = F.when(new, F.lit(value)).otherwise(F.col(name))
@@ -94,9 +97,13 @@ def upsert_jobs(jobs: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
     return joined.select("job_id", *[out.get(c, F.col(c)).alias(c) for c in jobs.columns if c != "job_id"])
 
 
-def run_rows(runs: DataFrame, batch: DataFrame, jobs: DataFrame) -> DataFrame:
+def mark_known(batch: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The batch with ``_known``, true for ids of the store and null for new ones; run rows and events derive from it."""
+    return batch.join(jobs.select("job_id", F.lit(True).alias("_known")), "job_id", "left")
+
+
+def run_rows(runs: DataFrame, marked: DataFrame) -> DataFrame:
     """One row per run with jobs received and jobs new to the store."""
-    marked = batch.join(jobs.select("job_id", F.lit(True).alias("_known")), "job_id", "left")
     counts = marked.groupBy(F.col("scrape_run_id").alias("run_id")).agg(
         F.count(F.lit(1)).alias("jobs_received"), F.count_if(F.col("_known").isNull()).alias("jobs_new")
     )
@@ -165,9 +172,8 @@ def event_rows(df: DataFrame, event_type, payload: dict, created_at: Column, sal
     )
 
 
-def ingest_events(batch: DataFrame, jobs: DataFrame, as_of: Column) -> DataFrame:
+def ingest_events(marked: DataFrame, as_of: Column) -> DataFrame:
     """ingested for new ids, reseen for known ones."""
-    marked = batch.join(jobs.select("job_id", F.lit(True).alias("_known")), "job_id", "left")
     new = F.col("_known").isNull()
     kind = F.when(new, "ingested").otherwise("reseen")
     return event_rows(marked, kind, {"is_new": new, "title": F.col("title")}, as_of)

@@ -2,30 +2,97 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from rolemill.functions.keys import row_key, snapshot_hash, stable_key
 from rolemill.functions.text import trim
 from rolemill.functions.values import instant
 from rolemill.operators import filters, joins, order
-from rolemill.operators.winners import RANGE_ROWS, SEQ, mark, positions
+from rolemill.operators.winners import RANGE_ROWS, SEQ
+from rolemill.session import ship_package
 
 
-def daily_quota(asked: DataFrame, cap: int, counter: str = "counter", day: str = "day") -> DataFrame:
-    """Add ``granted``: the first ``cap`` requests per counter and day in arrival order; below 1 no limit.
+def daily_quota(asked: DataFrame, cap: int, counter: str = "counter", day: str = "day", amount: str | None = None) -> DataFrame:
+    """Add ``granted``: requests per counter and day in arrival order while the cap lasts; below 1 no limit.
 
-    The cap is reached in two levels, whatever its size: each range of row numbers keeps its
-    first ``cap`` rows per group, and only those are numbered along the group, by the
-    counts of the ranges. No task holds a whole group.
+    A request takes 1, or ``amount`` (at least 1). One that doesn't fit is refused and takes nothing,
+    so a smaller one after it may still be granted. Rows are dealt by ranges of row numbers, so no task
+    holds a whole group, and only the sums of ranges are added up along a group. Where every
+    request takes 1, that is the answer.
     """
     if cap < 1:
         return asked.withColumn("granted", F.lit(True))
-    keys = asked.select(SEQ, counter, day)
-    own_range = W.partitionBy(counter, day, F.floor(F.col(SEQ) / RANGE_ROWS)).orderBy(SEQ)
-    first = keys.withColumn("_at", F.row_number().over(own_range)).filter(F.col("_at") <= cap).drop("_at")
-    return mark(asked, positions(first, [counter, day]).filter(F.col("pos") <= cap), "granted")
+    size = F.lit(1) if amount is None else F.greatest(F.coalesce(F.col(amount).cast("long"), F.lit(1)), F.lit(1))
+    # a struct is never null itself, so rows without a counter or day are a group too
+    ranged = asked.withColumns({"_key": F.struct(F.col(counter).alias("counter"), F.col(day).alias("day")), "_range": F.floor(F.col(SEQ) / RANGE_ROWS), "_size": size})
+    if amount is not None:
+        return _sized_quota(asked, ranged, cap)
+    sums = ranged.groupBy("_key", "_range").agg(F.sum("_size").alias("_sum"))
+    along = W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select("_key", "_range", F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_key", "_range").orderBy(SEQ)
+    placed = ranged.withColumn("_at", F.row_number().over(inside)).join(before, ["_key", "_range"])
+    return placed.select(*asked.columns, (F.col("_before") + F.col("_at") <= cap).alias("granted"))
+
+
+def _sized_quota(asked: DataFrame, ranged: DataFrame, cap: int) -> DataFrame:
+    """Requests of different sizes: those that stay open after ``_placed`` are walked in order."""
+    placed = _placed(ranged, cap)
+    sure = placed.filter("NOT _open").select(*asked.columns, (F.col("_whole") & (F.col("_size") <= cap)).alias("granted"))
+    walked = placed.filter("_open").select("_key", F.col(SEQ).alias("_seq"), "_size", "_edge", F.struct(*asked.columns).alias("_row"))
+    ship_package(asked.sparkSession)
+    kind = StructType([StructField("_row", walked.schema["_row"].dataType), StructField("granted", BooleanType())])
+    granted = walked.groupBy("_key").applyInArrow(_walk, kind)
+    return sure.unionByName(granted.select("_row.*", "granted"))
+
+
+def _placed(ranged: DataFrame, cap: int) -> DataFrame:
+    """Requests with ``_whole`` (their range is granted as a whole), ``_edge`` (what is left there) and ``_open``.
+
+    A range whose requests all fit behind those before it is granted as a whole. From the first
+    one that doesn't fit (the edge) on, rows are walked in order, but few can matter:
+
+    - If all sizes below t before a range add up to more than the cap, less than t is left there:
+      were t left, each of them would have fitted. So larger requests are refused unseen.
+    - Of requests of one size, later ones are granted only if earlier ones are. So a range offers
+      no more of a size than fit into what may be left.
+
+    What is walked depends on the cap and the number of ranges, not on the number of rows.
+    """
+    classes = range(1, cap.bit_length() + 1)
+    below = {f"_c{k}": F.sum(F.when(F.col("_size") < 2**k, F.col("_size")).otherwise(0)) for k in classes}
+    fitting = F.sum(F.when(F.col("_size") <= cap, F.col("_size")).otherwise(0))
+    sums = ranged.groupBy("_key", "_range").agg(fitting.alias("_sum"), *[c.alias(n) for n, c in below.items()])
+    along = W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(c).over(along), F.lit(0)).alias(f"_b{c}") for c in ["_sum", *below]]
+    known = sums.select("_key", "_range", "_sum", *before)
+    whole = F.col("_b_sum") + F.col("_sum") <= cap
+    exact = F.when(F.col("_b_sum") <= cap, cap - F.col("_b_sum")).otherwise(cap)
+    left = F.least(exact, F.lit(cap), *[F.when(F.col(f"_b_c{k}") > cap, 2**k - 2).otherwise(cap) for k in classes])
+    group = W.partitionBy("_key")
+    # at the edge ``left`` is exact, and it is the most that any later range can have
+    limits = known.select("_key", "_range", whole.alias("_whole"), left.alias("_left"), F.max(F.when(~whole, cap - F.col("_b_sum"))).over(group).alias("_edge"))
+    inside = W.partitionBy("_key", "_range", "_size").orderBy(SEQ)
+    # after the join rows lie together by range, and counting inside takes no further shuffle
+    placed = ranged.join(limits, ["_key", "_range"]).withColumn("_nth", F.row_number().over(inside))
+    most = F.least("_left", F.coalesce("_edge", F.lit(cap)))
+    return placed.withColumn("_open", ~F.col("_whole") & (F.col("_size") * F.col("_nth") <= most))
+
+
+def _walk(rows: pa.Table) -> pa.Table:
+    """One group's open requests in order."""
+    rows = rows.sort_by("_seq")
+    left = rows["_edge"][0].as_py()
+    granted = []
+    for size in rows["_size"].to_pylist():
+        granted.append(size <= left)
+        if size <= left:
+            left -= size
+    return pa.table({"_row": rows["_row"], "granted": pa.array(granted, pa.bool_())})
 
 
 def claim_plan(

@@ -43,12 +43,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, for frames that run its Python code there.
-
-    Spark's own workers on the driver's machine import it from where the driver does.
-    """
-    if spark.sparkContext.master.startswith("local["):
-        return
+    """Send this package to the executors, for frames that run its Python code there."""
     sent = [p for p in spark.sparkContext._python_includes if p.startswith("rolemill-")]
     if not sent:
         spark.sparkContext.addPyFile(_zipped())

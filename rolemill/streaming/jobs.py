@@ -1,79 +1,84 @@
-"""Streaming jobs: each is a stateless projection, a built-in aggregate, or a merge per micro-batch.
+"""Streaming jobs: a stateless projection, a built-in aggregate, or keyed state with event-time timers.
 
-Merged state is a table with one folder per micro-batch. Batch N reads folder
-N - 1 and overwrites folder N, so a retried batch gives the same result. Folders
-before N - 1 are removed then, since no retry reads them.
+State is Structured Streaming's own: Spark keeps it by key in its state store, writes only what a
+micro-batch changes, and brings it back when a task or the query starts again. Results that change
+over time are written as changes, one folder per micro-batch, which a retried batch overwrites.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from rolemill.operators.winners import SEQ, positions
-from rolemill.plans import cloud
-from rolemill.plans.leases import daily_quota
+from rolemill.operators.winners import SEQ
+from rolemill.plans import cloud, store
+from rolemill.session import ship_package
 from rolemill.sources.readers import envelope_rows
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Requests of one day that a quota looks through at a time.
+KEPT_REQUESTS = 10_000
 
-class StateTable:
-    """Versions of a state table under one folder, one per micro-batch."""
 
-    def __init__(self, root: str, empty: DataFrame):
-        self.root, self.empty = root, empty
+def run_available(writer, checkpoint: str) -> None:
+    """Process what is there, then stop."""
+    running = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
+    if running.exception():
+        raise running.exception()
 
-    def _path(self, name: str):
-        """A path below the root and its file system."""
-        context = self.empty.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path, path.getFileSystem(context._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
-        """Numbers of the versions that were written to the end."""
-        pattern, files = self._path("v*/_SUCCESS")
-        found = files.globStatus(pattern) or []
-        return sorted(int(status.getPath().getParent().getName()[1:]) for status in found)
+def read_folder(spark: SparkSession, folder: str, schema, kind: str = "parquet", **options) -> DataFrame:
+    """A streaming read of a folder of files."""
+    return spark.readStream.schema(schema).options(**options).format(kind).load(folder)
 
-    def read(self, version: int | None) -> DataFrame:
-        if version is None:
-            return self.empty
-        return self.empty.sparkSession.read.schema(self.empty.schema).parquet(f"{self.root}/v{version}")
 
-    def before(self, batch_id: int) -> DataFrame:
-        """The state a batch starts from, also when it is tried again."""
-        return self.read(max((v for v in self.versions() if v < batch_id), default=None))
+def write_changes(changes: DataFrame, folder: str, checkpoint: str, mode: str = "update") -> None:
+    """Write each micro-batch's rows to a folder of its own."""
 
-    def last(self) -> DataFrame:
-        return self.read(max(self.versions(), default=None))
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.select(*self.empty.columns).write.mode("overwrite").parquet(f"{self.root}/v{batch_id}")
-        done = [v for v in self.versions() if v < batch_id]
-        for version in done[:-1]:
-            path, files = self._path(f"v{version}")
-            files.delete(path, True)
+    run_available(changes.writeStream.outputMode(mode).foreachBatch(step), checkpoint)
 
 
-def run_available(writer, checkpoint: str) -> None:
-    """Process what is there, then stop."""
-    running = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    running.awaitTermination()
-    if running.exception():
-        raise running.exception()
+def read_changes(spark: SparkSession, folder: str, schema) -> DataFrame:
+    return spark.read.schema(schema).option("basePath", folder).parquet(folder).select(*schema.names)
 
 
-def merge_batches(
-    stream: DataFrame, checkpoint: str, state: StateTable, merge: Callable[[DataFrame, DataFrame, int], DataFrame]
-) -> DataFrame:
-    """Fold micro-batches into a state table and return its last version."""
+def latest(changes: DataFrame, key: str, version: str) -> DataFrame:
+    """The last change of each key."""
+    return changes.groupBy(key).agg(F.max_by(F.struct(*changes.columns), version).alias("_last")).select("_last.*")
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        state.write(merge(state.before(batch_id), batch, batch_id), batch_id)
 
-    run_available(stream.writeStream.foreachBatch(step), checkpoint)
-    return state.last()
+def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, kind: str, mode: str = "update") -> DataFrame:
+    """Rows of a stream with a watermark through a processor that keeps state by key."""
+    spark = stream.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return stream.groupBy(*keys).transformWithState(processor, kind, mode, "EventTime")
+
+
+_EPOCH = dt.datetime(1970, 1, 1)
+
+
+def _millis(time: dt.datetime) -> int:
+    """Milliseconds since 1970, rounded up."""
+    if time.tzinfo is None:  # as Spark hands times over: in the worker's zone
+        time = time.astimezone(dt.UTC)
+    return -((_EPOCH - time.replace(tzinfo=None)) // dt.timedelta(milliseconds=1))
+
+
+def _time(millis: int | None) -> dt.datetime | None:
+    """The same, as Spark takes times."""
+    if millis is None:
+        return None
+    return (_EPOCH + dt.timedelta(milliseconds=millis)).replace(tzinfo=dt.UTC).astimezone().replace(tzinfo=None)
 
 
 # --- ingest -----------------------------------------------------------------------
@@ -85,22 +90,40 @@ def latest_per_job(batch: DataFrame) -> DataFrame:
     return batch.join(seen.select(SEQ, "runs"), SEQ)
 
 
-def ingest(jobs: DataFrame, envelopes: DataFrame, as_of: Column) -> DataFrame:
-    """Fold a micro-batch of result envelopes into the job store.
+def envelope_jobs(envelopes: DataFrame) -> DataFrame:
+    """The jobs of a micro-batch's envelopes, each once.
 
-    ``envelopes`` carries run_seq, a unique number that orders the runs. A run whose text is
-    already stored only refreshes it, so a replayed envelope changes no identity.
+    ``envelopes`` carries run_seq, a unique number that orders the runs.
     """
     rows = envelope_rows(envelopes).filter(F.col("job_pos").isNotNull())
     # job_pos is a 32-bit number, so runs of any length stay apart
     run = F.col("run_seq").cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)")
     numbered = rows.withColumn(SEQ, (run + F.col("job_pos")).cast("decimal(31,0)"))
-    batch = latest_per_job(cloud.result_jobs(numbered))
-    merged = cloud.upsert_jobs(jobs, batch, as_of)
-    again = batch.filter("runs > 1").select("job_id", F.lit(True).alias("_again"))
-    return merged.join(again, "job_id", "left").withColumn(
-        "is_new", F.col("is_new") & F.col("_again").isNull()
-    ).drop("_again")
+    return latest_per_job(cloud.result_jobs(numbered))
+
+
+def ingest(stream: DataFrame, folder: str, checkpoint: str, schema, as_of: Column, buckets: int = store.BUCKETS) -> None:
+    """Fold result envelopes into the partitioned job store below ``folder``.
+
+    Each run is ingested once: runs of earlier micro-batches are left out, and a micro-batch that is
+    tried again meets its own rows, which stay. ``schema`` is that of the store's jobs.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        runs = spark.read.schema("run_id string, batch long").option("basePath", f"{folder}/runs").parquet(f"{folder}/runs")
+        done = runs.filter(F.col("batch") != batch_id).select("run_id")
+        fresh = batch.join(done, "run_id", "left_anti")
+        # one folder for the batch at hand: read by the list of partitions and by the store
+        jobs = envelope_jobs(fresh)
+        jobs.write.mode("overwrite").parquet(f"{folder}/incoming")
+        store.upsert(f"{folder}/jobs", schema, spark.read.schema(jobs.schema).parquet(f"{folder}/incoming"), as_of, buckets)
+        fresh.select("run_id").distinct().write.mode("overwrite").parquet(f"{folder}/runs/batch={batch_id}")
+
+    spark = stream.sparkSession
+    spark.createDataFrame([], schema).withColumn(store.BUCKET, F.lit(0)).limit(0).write.mode("append").partitionBy(store.BUCKET).parquet(f"{folder}/jobs")
+    spark.createDataFrame([], "run_id string, batch long").write.mode("append").partitionBy("batch").parquet(f"{folder}/runs")
+    run_available(stream.writeStream.foreachBatch(step), checkpoint)
 
 
 # --- dedup, daily counts, chain ----------------------------------------------------
@@ -118,60 +141,186 @@ def daily_counts(stream: DataFrame, time: str, label: str, delay: str) -> DataFr
     return counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), label, "n")
 
 
-def newest_state(states: DataFrame, batch: DataFrame) -> DataFrame:
-    """Highest version per job wins; older versions are skipped."""
-    both = states.unionByName(batch.select("job_id", "version", "status"))
-    return both.groupBy("job_id").agg(F.max_by("status", "version").alias("status"), F.max("version").alias("version"))
+def job_states(stream: DataFrame) -> DataFrame:
+    """Highest version per job wins; older versions are skipped, whenever they come."""
+    return stream.groupBy("job_id").agg(F.max_by("status", "version").alias("status"), F.max("version").alias("version"))
 
 
 # --- quota --------------------------------------------------------------------------
 
 
-def quota(grants: DataFrame, batch: DataFrame, cap: int) -> DataFrame:
-    """Grant requests per counter and day while the cap lasts, across micro-batches.
+class DailyQuota(StatefulProcessor):
+    """Grants requests of a (counter, day) in row order while the cap lasts, across micro-batches.
 
-    ``grants`` lists the granted requests so far, at most ``cap`` per counter and
-    day. Only the first ``cap`` requests of a batch can be granted, so a busy day
-    is pruned before it is shuffled.
+    The state is what the day has used. It goes when the watermark has passed the day.
     """
-    used = grants.groupBy("counter", "day").agg(F.count(F.lit(1)).alias("_used"))
-    first = daily_quota(batch.select(SEQ, "counter", "day"), cap).filter("granted").drop("granted")
-    placed = positions(first, ["counter", "day"]).join(used, ["counter", "day"], "left")
-    fresh = placed.filter(F.col("pos") + F.coalesce("_used", F.lit(0)) <= cap)
-    return grants.unionByName(fresh.select(*grants.columns))
+
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.used = handle.getValueState("used", "used long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.used.exists()
+        left = self.cap - (self.used.get()[0] if known else 0)
+        kept: list[tuple[int, int]] = []
+        for row in rows:
+            kept.append((row[SEQ], max(1, row["amount"] or 1)))
+            if len(kept) >= 2 * KEPT_REQUESTS:
+                kept = self._fitting(kept, left)
+        granted = []
+        for seq, size in sorted(kept):
+            if size <= left:
+                left -= size
+                granted.append(Row(**{SEQ: seq, "counter": key[0], "day": key[1]}))
+        self.used.update((self.cap - left,))
+        if not known:
+            day = dt.datetime.strptime(key[1], "%Y-%m-%d").replace(tzinfo=dt.UTC)
+            self.handle.registerTimer(_millis(day + dt.timedelta(days=1)))
+        yield from granted
+
+    def _fitting(self, asked: list[tuple[int, int]], left: int) -> list[tuple[int, int]]:
+        """Of requests of one size only as many as may fit, so a busy day stays small."""
+        seen: Counter[int] = Counter()
+        out = []
+        for seq, size in sorted(asked):
+            seen[size] += 1
+            if size * seen[size] <= left:
+                out.append((seq, size))
+        return out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.used.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def quota(stream: DataFrame, time: str, delay: str, cap: int) -> DataFrame:
+    """Granted requests (row_seq, counter, day) of a stream with row_seq, counter, day, amount and a time.
+
+    ``day`` is the UTC day of the time as text; requests later than the watermark are not answered.
+    """
+    asked = stream.withWatermark(time, delay).filter("counter IS NOT NULL AND day IS NOT NULL")
+    return keyed(asked, ["counter", "day"], DailyQuota(cap), f"{SEQ} long, counter string, day string", "append")
 
 
 # --- leases with a time limit --------------------------------------------------------
 
 
-def lease_states(states: DataFrame, batch: DataFrame, minutes: int, delay_minutes: int) -> DataFrame:
-    """Fold lease events (lease_id, state, at) into one row per lease.
+class LeaseTtl(StatefulProcessor):
+    """A lease's outcome: how it ended in time, or expired once the watermark has passed its limit.
 
-    The clock is the latest event time seen, less the delay. A lease finished in
-    time keeps its outcome; one whose time has passed on that clock is expired.
+    The first issue and the first end count, in whatever order they arrive. The state stays
+    for a while after the limit, so that a late end can't open a lease again, and goes then.
     """
-    limit = F.make_dt_interval(mins=F.lit(minutes))
-    opened = batch.select(
-        "lease_id",
-        F.when(F.col("state") == "leased", F.col("at")).alias("issued_at"),
-        F.when(F.col("state") != "leased", F.struct(F.col("at").alias("at"), F.col("state").alias("state"))).alias("end"),
-        F.col("at").alias("seen_at"),
-    )
-    known = states.select(
-        "lease_id", "issued_at", F.when(F.col("ended_at").isNotNull(), F.struct(F.col("ended_at").alias("at"), F.col("state"))).alias("end"), "seen_at"
-    )
-    folded = known.unionByName(opened).groupBy("lease_id").agg(
-        F.min("issued_at").alias("issued_at"), F.min("end").alias("end"), F.max("seen_at").alias("seen_at")
-    )
-    clock = batch.agg(F.max("at").alias("t")).unionByName(states.agg(F.max("seen_at").alias("t"))).agg(F.max("t").alias("t")).scalar()
-    timed = folded.withColumn("_clock", clock - F.make_dt_interval(mins=F.lit(delay_minutes)))
-    due = F.col("issued_at") + limit
-    in_time = F.col("end").isNotNull() & F.coalesce(F.col("end.at") <= due, F.lit(True))
-    state = F.when(in_time, F.col("end.state")).when(due <= F.col("_clock"), "expired").otherwise("leased")
-    ended = F.when(in_time, F.col("end.at")).when(due <= F.col("_clock"), due)
-    return timed.select("lease_id", state.alias("state"), "issued_at", ended.alias("ended_at"), "seen_at")
 
+    def __init__(self, minutes: int, keep_hours: int):
+        self.limit, self.keep = minutes * 60_000, keep_hours * 3_600_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.lease = handle.getValueState("lease", "issued long, ended long, how string, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        issued, ended, how, timer = self.lease.get() if self.lease.exists() else (None, None, None, None)
+        before = self._outcome(issued, ended, how)
+        for row in rows:
+            at, state = _millis(row["at"]), row["state"]
+            if state == "leased":
+                issued = at if issued is None else min(issued, at)
+            elif ended is None or (at, state) < (ended, how):
+                ended, how = at, state
+        outcome = self._outcome(issued, ended, how)
+        due = self._due(issued, ended)
+        then = due + self.keep if outcome else max(due, timerValues.getCurrentWatermarkInMs() + 1)
+        if timer != then:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(then)
+        self.lease.update((issued, ended, how, then))
+        if outcome and outcome != before:
+            yield Row(lease_id=key[0], state=outcome, ended_at=_time(ended))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        issued, ended, how, _ = self.lease.get()
+        due = self._due(issued, ended)
+        if expiredTimerInfo.getExpiryTimeInMs() >= due + self.keep:
+            self.lease.clear()
+        else:
+            self.handle.registerTimer(due + self.keep)
+            self.lease.update((issued, ended, how, due + self.keep))
+            yield Row(lease_id=key[0], state="expired", ended_at=_time(due))
+
+    def _due(self, issued, ended) -> int:
+        return (issued if issued is not None else ended) + self.limit
+
+    def _outcome(self, issued, ended, how) -> str | None:
+        return how if ended is not None and (issued is None or ended <= issued + self.limit) else None
+
+    def close(self) -> None:
+        pass
+
+
+def lease_outcomes(stream: DataFrame, minutes: int = 240, delay: str = "1 hour", keep_hours: int = 72) -> DataFrame:
+    """Changes of outcomes (lease_id, state, ended_at) of a stream of lease events (lease_id, state, at)."""
+    events = stream.withWatermark("at", delay).filter("lease_id IS NOT NULL AND state IS NOT NULL AND at IS NOT NULL")
+    return keyed(events, ["lease_id"], LeaseTtl(minutes, keep_hours), "lease_id string, state string, ended_at timestamp")
+
+
+# --- failures of sources ----------------------------------------------------------------
+
+
+class SourceFailures(StatefulProcessor):
+    """Failures of a source since its last success, in the order of the runs, not of their arrival.
+
+    Failures that the watermark has not passed are kept one by one, since a late success may come
+    between them; older ones are only a count.
+    """
 
-def read_folder(spark: SparkSession, folder: str, schema, kind: str = "parquet", **options) -> DataFrame:
-    """A streaming read of a folder of files."""
-    return spark.readStream.schema(schema).options(**options).format(kind).load(folder)
+    def init(self, handle) -> None:
+        self.base = handle.getValueState("base", "ok_at long, ok_seq long, settled long, failed_at long")
+        self.open = handle.getListState("open", "at long, seq long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        ok_at, ok_seq, settled, failed_at = self.base.get() if self.base.exists() else (None, None, 0, None)
+        last = None if ok_at is None else (ok_at, ok_seq)
+        waiting = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        for row in rows:
+            run = (_millis(row["finished_at"]), row[SEQ])
+            if not row["success"]:
+                waiting.append(run)
+            elif last is None or run > last:
+                # a success that isn't late is newer than all failures that are only counted
+                last, settled = run, 0
+        waiting = sorted(w for w in waiting if last is None or w > last)
+        if waiting:
+            failed_at = max(failed_at or 0, waiting[-1][0])
+        if last is not None and failed_at is not None and failed_at < last[0]:
+            failed_at = None
+        passed = timerValues.getCurrentWatermarkInMs()
+        later = [w for w in waiting if w[0] >= passed]
+        count = settled + len(waiting)
+        settled += len(waiting) - len(later)
+        self.base.update((*(last or (None, None)), settled, failed_at))
+        if later:
+            self.open.put(later)
+        else:
+            self.open.clear()
+        yield Row(source_id=key[0], consecutive_failures=count, last_success_at=_time(last and last[0]), last_failure_at=_time(failed_at))
+
+    def close(self) -> None:
+        pass
+
+
+def source_failures(stream: DataFrame, delay: str) -> DataFrame:
+    """Changes (source_id, consecutive_failures, last_success_at, last_failure_at) of a stream of runs.
+
+    Runs: source_id, row_seq, success, finished_at; ordered by time, then row number.
+    """
+    runs = stream.withWatermark("finished_at", delay).filter("source_id IS NOT NULL AND finished_at IS NOT NULL")
+    kind = "source_id string, consecutive_failures long, last_success_at timestamp, last_failure_at timestamp"
+    return keyed(runs, ["source_id"], SourceFailures(), kind)

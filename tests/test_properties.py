@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rolemill.operators import joins, moves, winners
 from rolemill.plans import cloud, leases, load, rate
-from rolemill.streaming import jobs as S
 
 
 def skewed(spark, rows=3000, keys=40, seed=7):
@@ -190,48 +189,6 @@ def test_final_rating_needs_exactly_one_row(spark):
     assert got == {"L1": (1, 1, "saved"), "L2": (2, None, "conflict"), "L3": (0, None, "conflict"), "L4": (0, None, "conflict")}
 
 
-def written_stream(spark, folder, rows, schema, files=4):
-    for part in range(files):
-        spark.createDataFrame(rows[part::files], schema).coalesce(1).write.mode("append").json(str(folder))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
-
-
-def test_stream_states_equal_batch_over_many_micro_batches(spark, tmp_path):
-    rng = random.Random(5)
-    rows = [(i, f"s{rng.randrange(5)}", rng.random() < 0.5) for i in range(200)]
-    schema = "row_seq long, source_id string, success boolean"
-    stream = written_stream(spark, tmp_path / "in", rows, schema).select(F.col("source_id").alias("job_id"), F.col("row_seq").alias("version"), F.col("success").cast("string").alias("status"))
-    state = S.StateTable(str(tmp_path / "state"), spark.createDataFrame([], "job_id string, status string, version long"))
-    fold = lambda old, batch, _: S.newest_state(old, batch)
-    out = S.merge_batches(stream, str(tmp_path / "check"), state, fold)
-    want = {}
-    for seq, source, ok in rows:
-        if source not in want or seq > want[source][1]:
-            want[source] = (str(ok).lower(), seq)
-    assert {r["job_id"]: (r["status"], r["version"]) for r in out.collect()} == want
-    assert state.versions() == [2, 3]  # four batches; what no retry reads is removed
-    again = S.merge_batches(stream, str(tmp_path / "check"), state, fold)
-    assert {r["job_id"]: (r["status"], r["version"]) for r in again.collect()} == want
-
-
-def test_stream_quota_never_passes_the_cap(spark, tmp_path):
-    rows = [(i, "c", "2024-01-01" if i % 2 else "2024-01-02") for i in range(100)]
-    stream = written_stream(spark, tmp_path / "in", rows, "row_seq long, counter string, day string")
-    state = S.StateTable(str(tmp_path / "state"), spark.createDataFrame([], "row_seq long, counter string, day string"))
-    out = S.merge_batches(stream, str(tmp_path / "check"), state, lambda old, batch, _: S.quota(old, batch, 12))
-    assert {r["day"]: r["count"] for r in out.groupBy("day").count().collect()} == {"2024-01-01": 12, "2024-01-02": 12}
-
-
-def test_leases_expire_across_micro_batches(spark, tmp_path):
-    empty = spark.createDataFrame([], "lease_id string, state string, issued_at timestamp, ended_at timestamp, seen_at timestamp")
-    at = lambda h: f"2024-01-01 {h:02d}:00:00"
-    frame = lambda rows: spark.createDataFrame(rows, "lease_id string, state string, t string").selectExpr("lease_id", "state", "cast(t as timestamp) at")
-    one = S.lease_states(empty, frame([("a", "leased", at(0)), ("b", "leased", at(1)), ("c", "leased", at(6))]), 240, 60)
-    assert {r["lease_id"]: r["state"] for r in one.collect()} == {"a": "expired", "b": "expired", "c": "leased"}
-    two = S.lease_states(one, frame([("c", "saved", at(8)), ("a", "saved", at(9)), ("d", "leased", at(9))]), 240, 60)
-    assert {r["lease_id"]: r["state"] for r in two.collect()} == {"a": "expired", "b": "expired", "c": "saved", "d": "leased"}
-
-
 def test_source_runtime(spark):
     sources = spark.createDataFrame([("a", 2), ("b", 1), ("c", 5)], "source_id string, consecutive_failures int").selectExpr(
         "source_id", "cast('2024-01-01' as timestamp_ntz) leased_until", "cast(null as timestamp_ntz) last_success_at", "cast('2023-12-31' as timestamp_ntz) last_failure_at", "consecutive_failures"
