@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from rolemill.catalog import sqltext as q
@@ -170,48 +172,150 @@ def extract_rehydration(spark, sf):
     return E.rehydration(page_texts(spark, sf).select("row_seq", html.alias("html")))
 
 
+# Pages of each board with their text in it: address, list page, card fields, detail page, fields.
+# {n} is the page's number, {head} its title and {body} its text; both are escaped in markup.
+BOARD_PAGES = {
+    "linkedin": (
+        "https://www.linkedin.com/jobs/search/?p={n}",
+        '<ul><li class="x" data-occludable-job-id="{n}"><div class="job-card-container"><a href="/jobs/view/{n}/?ref=1"><span>{head}</span></a><div class="a job-card-container__primary-description">Ac<b>me</b></div><li data-occludable-job-id="0">no link</ul>',
+        {"JobUrl": "https://www.linkedin.com/jobs/view/{n}/", "JobId": "{n}", "JobTitle": "{head}", "JobCompany": "Acme"},
+        '<h1>{head}</h1><span class="top-card-layout__company-name"> A &amp; B </span><span class="jobs-unified-top-card__bullet">Lima<!-- x --></span><div componentkey="JobDetails_AboutTheJob_1"><div>{body}</div></div><div>tail</div>',
+        {"JobTitle": "{head}", "JobCompany": "A & B", "JobLocation": "Lima", "JobDescription": "{body}"},
+    ),
+    "hh": (
+        "https://hh.ru/search?p={n}",
+        '<div data-qa="vacancy-serp__vacancy"><a data-qa="vacancy-serp__vacancy-title" href="/vacancy/{n}?x=1"><b>{head}</b></a><a data-qa="vacancy-serp__vacancy-employer">Ac<i>me</i> </a><span data-qa="vacancy-serp__vacancy-compensation">5 000</span></div><div data-qa="vacancy-serp__vacancy">no link</div>',
+        {"JobUrl": "https://hh.ru/vacancy/{n}?x=1", "JobId": "{n}", "JobTitle": "{head}", "JobCompany": "Acme", "JobSalary": "5 000"},
+        '<title>t</title><h1 data-qa="vacancy-title">{head}</h1><a href="/employer/1">Acme</a><div class="g-user-content"><p>{body}</p></div><span data-qa="bloko-tag__text">Go</span><span data-qa="bloko-tag__text">SQL</span><span data-qa="bloko-tag__text">Go</span>',
+        {"JobTitle": "{head}", "JobCompany": "Acme", "JobTags": "Go, SQL", "JobDescription": "{body}"},
+    ),
+    "habr": (
+        "https://career.habr.com/vacancies?page={n}",
+        '<div class="vacancy-card"><div class="vacancy-card__company"><a href="/companies/x">Acme</a></div><a class="vacancy-card__title-link" href="/vacancies/{n}">{head}</a><div class="vacancy-card__skills"><a>Go</a> <a>SQL</a></div><div class="vacancy-card__salary">1 000</div></div>',
+        {"JobUrl": "https://career.habr.com/vacancies/{n}", "JobId": "{n}", "JobTitle": "{head}", "JobCompany": "Acme", "JobSalary": "1 000"},
+        '<div class="page-title"><h1 class="page-title__title">{head}</h1></div><div class="company_name"><span>at</span><a>Acme</a></div><div class="vacancy-description__text"><div>{body}</div></div>',
+        {"JobTitle": "{head}", "JobCompany": "Acme", "JobDescription": "{body}"},
+    ),
+    "gallito": (
+        "https://trabajo.gallito.com.uy/buscar/{n}",
+        '<a class="post-cuadro x" href="/anuncio/{n}"><div class="bloque-start-text-origin"><h2>{head}</h2></div><div class="contendor-img-post"><img alt="Acme"></div><div class="bloque-start-texto">{body}</div></a>',
+        {"JobUrl": "https://trabajo.gallito.com.uy/anuncio/{n}", "JobId": "{n}", "JobTitle": "{head}", "JobCompany": "Acme"},
+        '<div class="cuadro-puesto"><h1>{head}</h1></div><p class="subtitle-puesto">Acme<p class="ubicacion">Lima</p><div class="cuadro-aviso-text">{body}</div><ul class="breadcrumb-ficha"><li><a>Go</a></li><li class="active">SQL</li></ul>',
+        {"JobTitle": "{head}", "JobCompany": "Acme", "JobLocation": "Lima", "JobTags": "Go, SQL", "JobDescription": "{body}"},
+    ),
+    "getonbrd": (
+        "https://www.getonbrd.com/search?p={n}",
+        '<article data-job-id="{n}"><a href="/jobs/dev-{n}"><h4 class="title">{head}</h4></a><a href="/companies/acme">Acme</a><span class="location">Lima</span></article>',
+        {"JobUrl": "https://www.getonbrd.com/jobs/dev-{n}", "JobTitle": "{head}", "JobCompany": "Acme", "JobLocation": "Lima"},
+        '<h1>{head}</h1><div class="gb-company">Acme</div><i data-seniority="Senior">x</i><span class="location">Lima</span><span class="tag">Go</span><span class="tag">SQL</span><div id="job-body"><p>{body}</p></div>',
+        {"JobTitle": "{head}", "JobCompany": "Acme", "JobLocation": "Lima", "JobTags": "Go, SQL", "JobDescription": "{body}"},
+    ),
+    "lever": (
+        "https://jobs.lever.co/acme?p={n}",
+        '<ul><li class="posting big" data-qa-posting-id="p{n}"><a class="posting-title" href="https://jobs.lever.co/acme/p{n}/?lever-source=x"><h5 data-qa="posting-name">{head}</h5></a><span class="sort posting-category location">Lima<br>Peru</span><p class="workplaceTypes">Remote</ul>',
+        {"JobUrl": "https://jobs.lever.co/acme/p{n}", "JobId": "p{n}", "JobTitle": "{head}", "JobLocation": "LimaPeru", "JobModality": "Remote"},
+        '<h2>{head}</h2><meta name="twitter:data1" content="Lima"><meta property="og:description" content="{body}">',
+        {"JobTitle": "{head}", "JobLocation": "Lima", "JobDescription": "{body}"},
+    ),
+    "computrabajo": (
+        "https://uy.computrabajo.com/trabajo?p={n}",
+        '<article class="box_offer" data-id="ID{n}"><h2><a class="js-o-link fc_base" href="/ofertas/x?oi={n}">{head}</a></h2><p class="dFlex"><a>Acme</a></p><p class="fs16 fc_base mt5"><span>Lima</span></p></article>',
+        {"JobUrl": "https://uy.computrabajo.com/ofertas/x?oi={n}", "JobId": "ID{n}", "JobTitle": "{head}", "JobCompany": "Acme", "JobLocation": "Lima"},
+        '<h1 class="fwB fs24">{head}</h1><a class="dIB fs16 js-o-link" href="/e">Acme</a><div div-link="oferta"><p class="mbB">{body}</p><p class="fc_aux fs13">x</p></div>',
+        {"JobTitle": "{head}", "JobCompany": "Acme", "JobDescription": "{body}"},
+    ),
+    "jobspresso": (
+        "https://jobspresso.co/remote/?p={n}",
+        '<ul class="job_listings"><li class="job_listing type-job_listing"><a class="job_listing-clickbox" href="https://jobspresso.co/job/dev-{n}/"></a><div class="position"><h3>{head}</h3></div><div class="company">Acme</div><div class="location">Lima</div></li></ul><ul><li class="job_listing"><a href="/job/other">x</a></li></ul>',
+        {"JobUrl": "https://jobspresso.co/job/dev-{n}", "JobTitle": "{head}", "JobCompany": "Acme", "JobLocation": "Lima"},
+        '<link rel="canonical" href="https://jobspresso.co/job/dev-{n}"><h1 class="entry-title">{head}</h1><div class="company">Acme</div><div class="location">Lima</div><div class="job-type">Full</div><div class="job_description">{body}</div>',
+        {"JobTitle": "{head}", "JobCompany": "Acme", "JobLocation": "Lima", "JobTags": "Full", "JobDescription": "{body}"},
+    ),
+    "torc": (
+        "https://platform.torc.dev/#/jobs?p={n}",
+        '<article><h3>{head}</h3><a href="#/jobs/matches/{n}">go</a><ul><li>{body}</li></ul><span class="chip-x">Go</span><span class="badge">SQL</span></article>',
+        {"JobUrl": "https://platform.torc.dev/#/jobs/matches/{n}", "JobId": "{n}", "JobTitle": "{head}"},
+        '<h1>{head}</h1><span class="badge">Go</span><span class="tag-b">SQL</span><main><p>{body}</p></main>',
+        {"JobTitle": "{head}", "JobTags": "Go, SQL", "JobDescription": "{body}"},
+    ),
+    "revelo": (
+        "https://careers.revelo.com/home?p={n}",
+        '<article class="home-position-card" data-position-id="{n}"><h3>{head}</h3><div class="home-position-card__company">Acme</div><a href="/positions/{n}">go</a><div data-test="position-skills"><b class="badge">Go</b><b class="badge">SQL</b></div></article>',
+        {"JobUrl": "https://careers.revelo.com/positions/{n}", "JobId": "{n}", "JobTitle": "{head}", "JobCompany": "Acme"},
+        '<article class="ev-drawer"><h2>{head}</h2><i class="company-x">Acme</i><div class="ev-drawer__body">{body}</div></article>',
+        {"JobTitle": "{head}", "JobCompany": "Acme", "JobDescription": "{body}"},
+    ),
+    "workatastartup": (
+        "https://www.workatastartup.com/companies?p={n}",
+        '<div class="company-jobs"><ul><li>none<li><a href="/jobs/{n}">{head}</a></ul></div>',
+        {"JobUrl": "https://www.workatastartup.com/jobs/{n}", "JobId": "{n}", "JobTitle": "{head}"},
+        '<h1>{head}</h1><div class="company-name">Acme</div><div class="prose x"><div><p>{body}</p></div></div><div>more</div>',
+        {"JobTitle": "{head}", "JobCompany": "Acme", "JobDescription": "{body}"},
+    ),
+    "wellfound": (
+        "https://wellfound.com/jobs?p={n}",
+        '<div class="styles_jobCard__x"><a href="/company/acme">Acme</a><a class="jobLink" href="/company/acme/jobs/{n}-dev"><h2>{head}</h2></a><span class="x-location">Lima</span></div>',
+        {"JobUrl": "https://wellfound.com/company/acme/jobs/{n}-dev", "JobTitle": "{head}", "JobCompany": "Acme", "JobLocation": "Lima"},
+        '<h1>{head}</h1><a href="/company/acme">Acme</a><span class="Location">Lima</span><div class="job-description"><div>{body}</div></div>',
+        {"JobTitle": "{head}", "JobCompany": "Acme", "JobLocation": "Lima", "JobDescription": "{body}"},
+    ),
+}
+CARD_FIELDS = ["JobUrl", "JobId", "JobTitle", "JobCompany", "JobLocation", "JobSalary"]
+DETAIL_FIELDS = ["JobTitle", "JobCompany", "JobLocation", "JobTags", "JobDescription"]
+
+
+def _pieces(template: str) -> list[str]:
+    return [p for p in re.split(r"(\{n\}|\{head\}|\{body\})", template) if p]
+
+
+def _filled(template: str, escaped: bool):
+    """A template as a column over row_seq, head and body."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;")) if escaped else F.col(c)
+    given = {"{n}": F.col("row_seq").cast("string"), "{head}": safe("head"), "{body}": safe("body")}
+    return F.concat(*[given.get(p, F.lit(p)) for p in _pieces(template)])
+
+
+def _filled_sql(template: str) -> str:
+    given = {"{n}": "CAST(row_seq AS VARCHAR)", "{head}": "head", "{body}": "body"}
+    return " || ".join(given.get(p, q.lit(p)) for p in _pieces(template)) or "''"
+
+
+def _by_board(pick, column):
+    """CASE over the boards, dealt by row number."""
+    out = None
+    for place, board in enumerate(BOARD_PAGES.values()):
+        hit = F.col("row_seq") % len(BOARD_PAGES) == place
+        out = F.when(hit, column(pick(board))) if out is None else out.when(hit, column(pick(board)))
+    return out
+
+
+def _by_board_sql(pick) -> str:
+    return "CASE row_seq % 12 " + " ".join(f"WHEN {i} THEN {_filled_sql(pick(b))}" for i, b in enumerate(BOARD_PAGES.values())) + " END"
+
+
+_source_sql = "CASE row_seq % 12 " + " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(BOARD_PAGES)) + " END"
+
+
+def _wanted_sql(kind: int, field: str) -> str:
+    wanted = _by_board_sql(lambda b: b[kind].get(field, ""))
+    return f"coalesce(nullif({wanted}, ''), 'Untitled') AS {field}" if field == "JobTitle" else f"{wanted} AS {field}"
+
+
 def _board_pages(spark, sf, kind):
-    """Pages in the markup of two boards, filled with page titles and addresses."""
-    n = F.col("row_seq").cast("string")
-    safe = F.replace(F.replace("head", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    safe_body = F.replace(F.replace("body", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    hh = F.col("row_seq") % 2 == 0
-    if kind == "list":
-        one = F.concat(
-            F.lit('<div data-qa="vacancy-serp__vacancy"><a data-qa="vacancy-serp__vacancy-title" href="/vacancy/'), n, F.lit('?x=1"><b>'), safe, F.lit('</b></a><a data-qa="vacancy-serp__vacancy-employer">Ac<i>me</i> </a><span data-qa="vacancy-serp__vacancy-compensation">5 000</span></div><div data-qa="vacancy-serp__vacancy">no link</div>')
-        )
-        two = F.concat(
-            F.lit('<ul><li class="posting big" data-qa-posting-id="p'), n, F.lit('"><a class="posting-title" href="https://jobs.lever.co/acme/p'), n, F.lit('/?lever-source=x"><h5 data-qa="posting-name">'), safe, F.lit('</h5></a><span class="sort posting-category location">Lima<br>Peru</span><p class="workplaceTypes">Remote</ul>')
-        )
-    else:
-        one = F.concat(F.lit('<title>t</title><h1 data-qa="vacancy-title">Senior '), n, F.lit('</h1><a href="/employer/1">Acme</a><div class="g-user-content"><p>'), safe_body, F.lit('</p></div><span data-qa="bloko-tag__text">Go</span><span data-qa="bloko-tag__text">SQL</span><span data-qa="bloko-tag__text">Go</span>'))
-        two = F.concat(F.lit("<h2>"), safe, F.lit('</h2><meta name="twitter:data1" content="Lima"><meta property="og:description" content="short">'))
-    address = F.when(hh, F.concat(F.lit("https://hh.ru/vacancy/"), n)).otherwise(F.concat(F.lit("https://jobs.lever.co/acme/p"), n))
-    return page_texts(spark, sf).select("row_seq", address.alias("url"), F.concat(F.lit("<html><body>"), F.when(hh, one).otherwise(two), F.lit("</body></html>")).alias("html"))
+    """Pages in the markup of all twelve boards, with their own titles and texts."""
+    html = _by_board(lambda b: b[1 if kind == "list" else 3], lambda t: _filled(t, True))
+    page = F.concat(F.lit("<!DOCTYPE html><html><body><script>var x = '<h1>no</h1>';</script>"), html, F.lit("</body></html>"))
+    return page_texts(spark, sf).select("row_seq", _by_board(lambda b: b[0] if kind == "list" else b[2]["JobUrl"], lambda t: _filled(t, False)).alias("url"), page.alias("html"))
 
 
-@query(
-    "extract_cards",
-    with_views("v_texts")
-    + """SELECT row_seq, CASE WHEN row_seq % 2 = 0 THEN 'hh' ELSE 'lever' END AS source, 0 AS item_pos, CASE WHEN row_seq % 2 = 0 THEN 'https://hh.ru/vacancy/' || CAST(row_seq AS VARCHAR) || '?x=1' ELSE 'https://jobs.lever.co/acme/p' || CAST(row_seq AS VARCHAR) END AS JobUrl,
-      CASE WHEN row_seq % 2 = 0 THEN CAST(row_seq AS VARCHAR) ELSE 'p' || CAST(row_seq AS VARCHAR) END AS JobId, CASE WHEN head = '' THEN 'Untitled' ELSE head END AS JobTitle, CASE WHEN row_seq % 2 = 0 THEN 'Acme' ELSE '' END AS JobCompany,
-      CASE WHEN row_seq % 2 = 0 THEN '' ELSE 'LimaPeru' END AS JobLocation, CASE WHEN row_seq % 2 = 0 THEN '5 000' ELSE '' END AS JobSalary FROM v_texts""",
-)
+@query("extract_cards", with_views("v_texts") + f"SELECT row_seq, {_source_sql} AS source, {', '.join(_wanted_sql(2, f) for f in CARD_FIELDS)} FROM v_texts")
 def extract_cards(spark, sf):
-    out = E.cards(_board_pages(spark, sf, "list"), default_registry())
-    return out.select("row_seq", "source", "item_pos", "JobUrl", "JobId", "JobTitle", "JobCompany", "JobLocation", "JobSalary")
+    return E.cards(_board_pages(spark, sf, "list"), default_registry()).select("row_seq", "source", *CARD_FIELDS)
 
 
-@query(
-    "extract_detail",
-    with_views("v_texts")
-    + """SELECT row_seq, CASE WHEN row_seq % 2 = 0 THEN 'https://hh.ru/vacancy/' || CAST(row_seq AS VARCHAR) ELSE 'https://jobs.lever.co/acme/p' || CAST(row_seq AS VARCHAR) END AS JobUrl, CASE WHEN row_seq % 2 = 0 THEN 'Senior ' || CAST(row_seq AS VARCHAR) WHEN head = '' THEN 'Untitled' ELSE head END AS JobTitle,
-      CASE WHEN row_seq % 2 = 0 THEN 'Acme' ELSE '' END AS JobCompany, CASE WHEN row_seq % 2 = 0 THEN '' ELSE 'Lima' END AS JobLocation, CASE WHEN row_seq % 2 = 0 THEN 'Go, SQL' ELSE '' END AS JobTags, CASE WHEN row_seq % 2 = 0 THEN 'Senior' ELSE '' END AS JobModality,
-      CASE WHEN row_seq % 2 = 1 THEN 'short' ELSE body END AS JobDescription FROM v_texts""",
-)
+@query("extract_detail", with_views("v_texts") + f"SELECT row_seq, {_source_sql} AS source, {', '.join(_wanted_sql(4, f) for f in DETAIL_FIELDS)} FROM v_texts")
 def extract_detail(spark, sf):
-    out = E.details(_board_pages(spark, sf, "detail"), default_registry())
-    return out.select("row_seq", "JobUrl", "JobTitle", "JobCompany", "JobLocation", "JobTags", "JobModality", "JobDescription")
+    return E.details(_board_pages(spark, sf, "detail"), default_registry()).select("row_seq", "source", *DETAIL_FIELDS)
 
 
 _h1 = sql_html_to_text("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")
@@ -299,11 +403,12 @@ def next_page_url(spark, sf):
 @query(
     "coverage_report",
     with_views("v_texts")
-    + """SELECT CASE WHEN row_seq % 2 = 0 THEN 'hh' ELSE 'lever' END AS source, count(*) AS pages, count(*) AS postings, count(*) AS with_title, count(*) AS with_url, count(*) FILTER (WHERE row_seq % 2 = 0) AS with_company,
-      count(*) FILTER (WHERE row_seq % 2 = 1) AS with_location, 0 AS with_description FROM v_texts GROUP BY 1""",
+    + f"""SELECT source, count(*) AS pages, count(*) AS postings, count(*) FILTER (WHERE JobTitle <> '') AS with_title, count(*) AS with_url, count(*) FILTER (WHERE JobCompany <> '') AS with_company,
+      count(*) FILTER (WHERE JobLocation <> '') AS with_location, count(*) FILTER (WHERE JobDescription <> '') AS with_description
+      FROM (SELECT {_source_sql} AS source, {', '.join(_wanted_sql(4, f) for f in DETAIL_FIELDS)} FROM v_texts) GROUP BY 1""",
 )
 def coverage_report(spark, sf):
-    return E.coverage(E.cards(_board_pages(spark, sf, "list"), default_registry()))
+    return E.coverage(E.details(_board_pages(spark, sf, "detail"), default_registry()))
 
 
 @query(

@@ -216,15 +216,40 @@ def test_keyword_rating_is_substring(spark):
     ]
 
 
-def test_markup_selectors():
-    from rolemill.functions import markup
-
-    page = markup.parse("<div class='a b'><p id=x>One<p data-q='tt'>T<b>wo</b></p><a href='/jobs/1'>go &amp; see</a></div><script>no</script>")
-    assert [n.text() for n in markup.select(page, "div.a p")] == ["One", "Two"]
-    assert markup.value(page, '#none | a[href*="/jobs/"] @href') == "/jobs/1"
-    assert markup.value(page, "[data-q='tt']") == "Two"
-    assert markup.value(page, "a[href^='/x'], a") == "go & see"
-    assert page.text() == "OneTwogo & see"
+def test_elements_by_selectors(spark):
+    from rolemill.functions import elements as X
+
+    html = "<div class='a b'><p id=x>One<p data-q='tt'>T<b>wo</b></p><a href='/jobs/1'>go &amp; see</a><ul class='s'><li>A<ul><li>in</li></ul><li class=\"k\">B</ul><img alt='pic'></div><script><p>no</p></script><i class='abc'>z</i>"
+    rules = X.compiled(
+        {
+            "first": "div.a p",
+            "link": ("#none", 'a[href*="/jobs/"] @href'),
+            "quoted": "[data-q='tt']",
+            "either": "a[href^='/x'], a",
+            "*items": ".s li",
+            "picture": "div.a img @alt",
+            "word": ".abc",
+            "part": '[class$="bc"]',
+            "none": (".c", "ab", "p.x"),
+            "own": "@class",
+        }
+    )
+    df = spark.createDataFrame([(html, __import__("json").dumps(rules))], "html string, rules string")
+    df = df.select(X.without_silent("html").alias("html"), F.from_json("rules", X.KIND).alias("rules"))
+    got = df.select(X.values(F.col("html"), F.col("rules")).alias("v")).first().v
+    assert got == {
+        "first": "One", "link": "/jobs/1", "quoted": "Two", "either": "go & see", "items": "A, in, B", "picture": "pic", "word": "z", "part": "z", "none": "", "own": "",
+    }
+
+
+def test_cards_of_a_long_page(spark):
+    from rolemill.plans import extract as E
+    from rolemill.sources.boards import default_registry
+
+    many = "".join(f'<div data-qa="vacancy-serp__vacancy"><a href="/vacancy/{i}"><b>Dev</b> {i}</a><p>x<p>y</div>' for i in range(5000))
+    df = spark.createDataFrame([(1, "https://hh.ru/search", many)], "row_seq long, url string, html string")
+    rows = E.cards(df, default_registry()).select("item_pos", "JobTitle", "JobId").collect()
+    assert len(rows) == 5000 and {(r.item_pos, r.JobTitle, r.JobId) for r in rows} == {(i, f"Dev {i}", str(i)) for i in range(5000)}
 
 
 def test_page_text(spark):
