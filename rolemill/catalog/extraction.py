@@ -104,7 +104,7 @@ def extract_ssr_state(spark, sf):
 def _entity_map(spark, sf):
     n = F.col("row_seq").cast("string")
     pair = lambda k, v: F.struct(k.alias("key"), F.to_json(v).alias("value"))
-    listing = F.struct(n.alias("id"), F.lit("dev").alias("slug"), F.col("head").alias("title"), F.array(F.lit("Lima"), F.lit("Quito")).alias("locationNames"), F.struct(F.lit("Startup:7").alias("__ref")).alias("startup"), F.concat(F.lit("<b>"), F.col("url"), F.lit("</b>")).alias("descriptionSnippet"))
+    listing = F.struct(n.alias("id"), F.lit("dev").alias("slug"), F.col("head").alias("title"), F.array(F.lit("Lima"), F.lit("Quito")).alias("locationNames"), F.struct(F.lit("Startup:7").alias("__ref")).alias("startup"), F.concat(F.lit("<b>"), F.replace(F.replace("body", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</b>")).alias("descriptionSnippet"))
     second = F.struct(F.col("head").alias("title"), F.array(F.lit("Peru")).alias("acceptedRemoteLocationNames"), F.struct(F.lit("Startup:9").alias("__ref")).alias("startup"))
     company = F.struct(F.lit("Acme").alias("name"), F.concat(F.lit("acme-"), n).alias("slug"))
     entries = [pair(F.concat(F.lit("JobListing:"), n), listing), pair(F.lit("JobListing:x1"), second), pair(F.lit("Startup:7"), company), pair(F.lit("Other:1"), company)]
@@ -117,7 +117,7 @@ def _entity_map(spark, sf):
 @query(
     "extract_next_data",
     with_views("v_texts")
-    + """SELECT row_seq, CAST(row_seq AS VARCHAR) AS JobId, 'https://wellfound.com/company/acme-' || CAST(row_seq AS VARCHAR) || '/jobs/' || CAST(row_seq AS VARCHAR) || '-dev' AS JobUrl, head AS JobTitle, 'Acme' AS JobCompany, 'Lima, Quito' AS JobLocation, url AS JobDescription FROM v_texts WHERE head <> ''
+    + """SELECT row_seq, CAST(row_seq AS VARCHAR) AS JobId, 'https://wellfound.com/company/acme-' || CAST(row_seq AS VARCHAR) || '/jobs/' || CAST(row_seq AS VARCHAR) || '-dev' AS JobUrl, head AS JobTitle, 'Acme' AS JobCompany, 'Lima, Quito' AS JobLocation, body AS JobDescription FROM v_texts WHERE head <> ''
       UNION ALL SELECT row_seq, 'x1', '', head, '', 'Remote', '' FROM v_texts WHERE head <> ''""",
 )
 def extract_next_data(spark, sf):
@@ -126,11 +126,13 @@ def extract_next_data(spark, sf):
 
 @query(
     "apollo_ref_join",
-    with_views("v_texts") + "SELECT JobCompany, count(*) AS listings, count(DISTINCT row_seq) AS pages FROM (SELECT row_seq, unnest(['Acme', '']) AS JobCompany FROM v_texts WHERE head <> '') GROUP BY 1",
+    with_views("v_texts")
+    + """SELECT JobCompany, count(*) AS listings, count(DISTINCT row_seq) AS pages, CAST(sum(length(d)) AS BIGINT) AS chars
+      FROM (SELECT row_seq, 'Acme' AS JobCompany, body AS d FROM v_texts WHERE head <> '' UNION ALL SELECT row_seq, '', '' FROM v_texts WHERE head <> '') GROUP BY 1""",
 )
 def apollo_ref_join(spark, sf):
     """Listings per company found through the reference inside each page."""
-    return E.next_data(_entity_map(spark, sf)).groupBy("JobCompany").agg(F.count(F.lit(1)).alias("listings"), F.count_distinct("row_seq").alias("pages"))
+    return E.next_data(_entity_map(spark, sf)).groupBy("JobCompany").agg(F.count(F.lit(1)).alias("listings"), F.count_distinct("row_seq").alias("pages"), F.sum(F.length("JobDescription")).alias("chars"))
 
 
 @query(

@@ -202,11 +202,18 @@ def increment_load(spark, sf):
     "loads_log",
     with_views("v_history", "v_postings")
     + f"""SELECT 'NewJobs' AS HistSheetName, '{NOW}' AS StartDttm, '{NOW}' AS EndDttm, (SELECT count(*) FROM v_postings) AS StageRowsTotal, count(*) AS NewCount,
-      (SELECT count(*) FROM v_postings) - count(*) AS DoubleCount, count(*) AS LoadedCount, true AS SuccessFlag, '' AS FailAtRowNum FROM {_fresh()}""",
+      (SELECT count(*) FROM v_postings) - count(*) AS DoubleCount, count(*) AS LoadedCount, true AS SuccessFlag, '' AS FailAtRowNum FROM {_fresh()}
+      UNION ALL SELECT 'Broken', '{NOW}', '{NOW}', count(*), 0, 0, 0, false, CAST(min(row_seq) FILTER (WHERE row_seq % 97 = 5) AS VARCHAR) FROM v_postings""",
 )
 def loads_log(spark, sf):
-    stage = v_postings(spark, sf).select("row_seq", "JobId", "JobUrl", F.lit("Approved").alias("Status"))
-    return load.loads_log(stage, joins.increment_rows(stage, joins.history_keys(v_history(spark, sf))), at(NOW), at(NOW))
+    """A good load and one of a stage with rows that were rejected."""
+    stage = v_postings(spark, sf).select("row_seq", "JobId", "JobUrl", F.lit("Staged").alias("Status"))
+    broken = stage.withColumn("Status", F.when(F.col("row_seq") % 97 == 5, "Broken").otherwise("Staged"))
+    rows = []
+    for rows_in, target in ((stage, "NewJobs"), (broken, "Broken")):
+        folder = new_folder(spark, "loaded")
+        rows.append(load.logged_load(load.validate_stage(rows_in), v_history(spark, sf), folder=folder, as_of=at(NOW), started=at(NOW), ended=at(NOW), target=target))
+    return rows[0].unionByName(rows[1])
 
 
 @query(
@@ -653,17 +660,28 @@ def posting_table(df, status, loaded):
     + rf""", f AS (SELECT row_seq, regexp_matches(JobTitle, '(?i)\b(the|qui|license)\b|^un') AS denied, {q.key('JobCompany')} AS c, {q.key('JobTitle')} AS t, {_loc} AS l,
         {q.trim('JobCompany')} <> '' AND {q.trim('JobTitle')} <> '' AS named FROM {_fresh()}),
       w AS (SELECT *, row_number() OVER (PARTITION BY denied, named, c, t ORDER BY l DESC, row_seq) AS rn FROM f)
-      SELECT * FROM (SELECT 'new_jobs' AS table_name, CASE WHEN named THEN '2MBrate' ELSE '2MARate' END AS Status, count(*) AS n FROM w WHERE NOT denied AND (NOT named OR rn = 1) GROUP BY 2
+      SELECT * FROM (SELECT 'new_jobs' AS table_name, CASE WHEN NOT named THEN '2MARate' WHEN row_seq % 3 = 0 THEN '2LRate' ELSE '2MBrate' END AS Status, count(*) AS n FROM w WHERE NOT denied AND (NOT named OR rn = 1) GROUP BY 2
+      UNION ALL SELECT 'new_jobs', '2Apply', count(*) FROM v_postings WHERE row_seq % 2 = 0
       UNION ALL SELECT 'history', 'old', count(*) FROM v_history
-      UNION ALL SELECT 'deleted', '2Delete', count(*) FROM w WHERE denied OR (named AND rn > 1)) WHERE n > 0""",
+      UNION ALL SELECT 'history', '2Apply', count(*) FROM v_postings WHERE row_seq % 2 = 1
+      UNION ALL SELECT 'funnel', 'Loaded', count(DISTINCT source_id) FROM v_postings
+      UNION ALL SELECT 'deleted', '2Delete', (SELECT count(*) FROM w WHERE denied OR (named AND rn > 1)) + (SELECT count(*) FROM v_postings WHERE row_seq % 5 = 0)) WHERE n > 0""",
 )
 def run_all(spark, sf):
-    loaded = at("2024-04-30")
-    stage = posting_table(v_postings(spark, sf), "Staged", loaded)
+    loaded, k = at("2024-04-30"), F.col("row_seq")
+    postings = v_postings(spark, sf)
+    stage = posting_table(postings.withColumn("ScrapePageName", F.col("source_id")), "Staged", loaded)
     history = posting_table(v_history(spark, sf), "old", loaded)
-    none = history.limit(0)
-    settings = Settings(title_deny=DENY, stack_negative=STACK_TERMS, company_negative=COMPANY_TERMS)
-    return pipeline.summary(pipeline.run_all(stage, none, history, none, settings, at(NOW)))
+    renamed = lambda mark: postings.withColumns({"JobId": F.concat(F.lit(mark), k.cast("string")), "JobUrl": F.concat(F.lit(f"https://{mark}.example/"), k.cast("string")), "row_seq": -k - 1})
+    waiting = posting_table(renamed("waiting"), "2Apply", F.when(k % 2 == 0, at("2023-01-01")).otherwise(loaded))
+    gone = posting_table(renamed("gone").filter((-k - 1) % 5 == 0), "2Delete", loaded)
+    answers = postings.filter(k % 3 < 2).select(
+        "row_seq", F.when(k % 3 == 0, "ok").otherwise("FAILED_ALL").alias("outcome"), F.when(k % 3 == 0, '{"JobTop3Stack": "zz", "JobTop3Want": "x", "JobWorkMode": "any"}').alias("response"), F.lit("m1").alias("model")
+    )
+    funnel = spark.createDataFrame([], "source_id string, status string, jobs long")
+    settings = Settings(title_deny=DENY, stack_negative=STACK_TERMS, company_negative=("no such company",))
+    tables = pipeline.run_all(stage, waiting, history, gone, settings, at(NOW), answers, funnel)
+    return pipeline.summary(tables)
 
 
 @query(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rolemill.functions.text import text, trim
 from rolemill.operators.filters import is_older
 from rolemill.operators.schema import widen_union
 from rolemill.operators.winners import SEQ
+from rolemill.session import new_folder
 
 
 def split(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
@@ -17,6 +21,19 @@ def split(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
     return df.filter(hit), df.filter(~hit)
 
 
+def dealt(df: DataFrame, place: Column, purpose: str) -> Callable[[str], DataFrame]:
+    """Rows written once, partitioned by the table they go to; the result reads the part of a table."""
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, purpose)
+    tagged = df.withColumn("_table", place)
+    tagged.write.partitionBy("_table").parquet(folder)
+    kind = StructType([*df.schema.fields, StructField("_table", StringType())])
+
+    def part(table: str) -> DataFrame:
+        return spark.read.schema(kind).option("basePath", folder).parquet(folder).filter(F.col("_table") == table).drop("_table")
+
+    return part
+
+
 def move_by_status(source: DataFrame, target: DataFrame, status: str) -> tuple[DataFrame, DataFrame]:
     moved, stay = split(source, trim("Status") == status)
     return stay, widen_union(target, moved)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rolemill.functions import keys as K
-from rolemill.functions.text import blank_to_null, first_filled, text, trim
-from rolemill.operators import aggregates, joins, schema
+from rolemill.functions.text import blank_to_null, text, trim
+from rolemill.operators import joins, schema
 from rolemill.operators.winners import SEQ, keep_first, mark
 from rolemill.session import written
 
@@ -74,31 +74,39 @@ def scrape_to_stage(jobs: DataFrame, details: DataFrame, *tables: DataFrame, hea
     return append_stage(whole, header)
 
 
-def loads_log(stage: DataFrame, loaded: DataFrame, started: Column, ended: Column, target: str = "NewJobs", checked: DataFrame | None = None) -> DataFrame:
-    """One audit row of a load.
+def logged_load(
+    checked: DataFrame, *tables: DataFrame, folder: str, as_of: Column, started: Column, ended: Column, target: str = "NewJobs"
+) -> DataFrame:
+    """Load a stage from ``validate_stage`` into ``folder``; returns the load's audit row.
 
-    A stage with a row that isn't valid (``checked``, from ``validate_stage``) has loaded nothing:
-    the row says so, counts nothing as loaded, and names the first such row.
+    The counts are observed by the job that writes the new rows, so the stage isn't read again for
+    them. A stage with a row that isn't valid loads nothing: the row says so, counts nothing as
+    loaded, and names the first such row.
     """
-    counts = aggregates.load_counts(stage, loaded)
-    if checked is not None:
-        counts = counts.withColumn("first_bad", checked.agg(F.min("first_bad").alias("first_bad")).scalar())
-    else:
-        counts = counts.withColumn("first_bad", F.lit(None).cast("long"))
-    failed = F.col("first_bad").isNotNull()
-    counts = counts.withColumns({c: F.when(failed, F.lit(0)).otherwise(F.col(c)) for c in ("new_count", "double_count", "loaded_count")})
-    return counts.select(
+    seen = Observation("load")
+    new, valid = F.col("part") == "new", F.col("first_bad").isNull()
+    split = stage_split(checked, joins.history_keys(*tables))
+    split = split.observe(
+        seen,
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(new & valid & (trim("Status") == "Approved")).alias("new"),
+        F.count_if((F.col("part") == "duplicate") & valid).alias("double"),
+        F.min("first_bad").alias("first_bad"),
+    )
+    loaded = split.filter(new & valid & (trim("Status") == "Approved")).withColumns({"Status": F.lit("Loaded"), "LoadDttm": as_of})
+    loaded.drop("part", "first_bad", "job_key").write.mode("append").parquet(folder)
+    counts = seen.get
+    bad = counts["first_bad"]
+    one = checked.sparkSession.range(1)
+    stamp = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
+    return one.select(
         F.lit(target).alias("HistSheetName"),
-        F.date_format(started, "yyyy-MM-dd HH:mm:ss").alias("StartDttm"),
-        F.date_format(ended, "yyyy-MM-dd HH:mm:ss").alias("EndDttm"),
-        F.col("stage_total").alias("StageRowsTotal"),
-        F.col("new_count").alias("NewCount"),
-        F.col("double_count").alias("DoubleCount"),
-        F.col("loaded_count").alias("LoadedCount"),
-        (~failed).alias("SuccessFlag"),
-        F.coalesce(F.col("first_bad").cast("string"), F.lit("")).alias("FailAtRowNum"),
+        stamp(started).alias("StartDttm"),
+        stamp(ended).alias("EndDttm"),
+        F.lit(counts["total"]).alias("StageRowsTotal"),
+        F.lit(counts["new"]).alias("NewCount"),
+        F.lit(counts["double"]).alias("DoubleCount"),
+        F.lit(counts["new"]).alias("LoadedCount"),
+        F.lit(bad is None).alias("SuccessFlag"),
+        F.lit("" if bad is None else str(bad)).alias("FailAtRowNum"),
     )
-
-
-def effective_address(df: DataFrame) -> Column:
-    return first_filled("JobUrl", "JobApplyUrl")

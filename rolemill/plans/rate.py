@@ -206,19 +206,6 @@ def keyword_rate(df: DataFrame, deny, target, tags="tags") -> DataFrame:
     ).drop("_hay", "_deny", "_target")
 
 
-def stub_rate(df: DataFrame, provider: str, model: str, reason: str) -> DataFrame:
-    """A provider that is not configured: rate 3, status new."""
-    return df.withColumns(
-        {
-            "rate_provider": F.lit(provider),
-            "rated_model": F.lit(model),
-            "rate_num": F.lit(3),
-            "rate_reason": F.lit(reason),
-            "status": F.lit("new"),
-        }
-    )
-
-
 # --- stored jobs: normalise, enrich ---------------------------------------------
 
 

@@ -256,3 +256,18 @@ def test_page_text(spark):
     html = "<style>p{}</style><p>A&nbsp;b<br>c</p><script>x</script><li>d &lt;e&gt;</li>"
     assert apply(spark, posting_text.html_to_lines("c0"), (html,)) == ["A b\nc\nd <e>"]
     assert apply(spark, posting_text.html_to_text("c0"), (html,)) == ["A b c d <e>"]
+
+
+def test_next_data_of_5_000_listings_and_of_broken_pages(spark):
+    import json
+
+    from rolemill.plans import extract as E
+
+    data = {f"JobListing:{i}": {"id": i, "title": f"T{i}", "slug": "s", "startup": {"__ref": f"Startup:{i % 50}"}, "locationNames": ["Lima", str(i)]} for i in range(5000)}
+    data |= {f"Startup:{i}": {"name": f"C{i}", "slug": f"c{i}"} for i in range(40)} | {"Other:1": {"title": "x"}}
+    page = '<script id="__NEXT_DATA__" type="application/json">' + json.dumps({"props": {"pageProps": {"apolloState": {"data": data}}}}) + "</script>"
+    df = spark.createDataFrame([(1, page), (2, '<script id="__NEXT_DATA__">{broken</script>'), (3, "none"), (4, None)], "row_seq long, html string")
+    rows = {r.JobId: r for r in E.next_data(df).collect()}
+    assert len(rows) == 5000
+    assert rows["77"].JobUrl == "https://wellfound.com/company/c27/jobs/77-s" and rows["77"].JobCompany == "C27" and rows["77"].JobLocation == "Lima, 77"
+    assert rows["49"].JobUrl == "" and rows["49"].JobCompany == ""

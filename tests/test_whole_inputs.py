@@ -60,13 +60,15 @@ def test_quota_above_a_thousand_on_one_hot_counter(spark):
     assert {r.counter: (r.n, r["last"]) for r in granted} == {"hot": (2500, 2525), "rare": (2500, 249_900)}
 
 
-def test_a_failed_load_is_logged_as_failed(spark):
+def test_a_failed_load_is_logged_as_failed(spark, tmp_path):
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    stage = spark.createDataFrame([(1, "a", "", "Staged"), (2, "b", "", "Broken"), (3, "c", "", "Staged")], "row_seq long, JobId string, JobUrl string, Status string")
-    checked = load.validate_stage(stage)
-    loaded = checked.filter("Status = 'Approved'")
-    row = load.loads_log(stage, loaded, at, at, checked=checked).first()
-    assert (row.SuccessFlag, row.FailAtRowNum, row.LoadedCount, row.StageRowsTotal) == (False, "2", 0, 3)
-    good = load.validate_stage(stage.filter("row_seq <> 2"))
-    row = load.loads_log(good, good, at, at, checked=good).first()
-    assert (row.SuccessFlag, row.FailAtRowNum, row.LoadedCount) == (True, "", 2)
+    stage = spark.createDataFrame([(1, "a", "", "Staged"), (2, "b", "", "Broken"), (3, "c", "", "Staged"), (4, "c", "", "Staged")], "row_seq long, JobId string, JobUrl string, Status string")
+    known = spark.createDataFrame([("a", "")], "JobId string, JobUrl string")
+    log = lambda rows, folder: load.logged_load(load.validate_stage(rows), known, folder=folder, as_of=at, started=at, ended=at).first()
+    bad, good = str(tmp_path / "bad"), str(tmp_path / "good")
+    row = log(stage, bad)
+    assert (row.SuccessFlag, row.FailAtRowNum, row.NewCount, row.DoubleCount, row.LoadedCount, row.StageRowsTotal) == (False, "2", 0, 0, 0, 4)
+    assert spark.read.parquet(bad).count() == 0
+    row = log(stage.filter("row_seq <> 2"), good)
+    assert (row.SuccessFlag, row.FailAtRowNum, row.NewCount, row.DoubleCount, row.LoadedCount, row.StageRowsTotal) == (True, "", 1, 2, 1, 3)
+    assert [(r.row_seq, r.Status) for r in spark.read.parquet(good).collect()] == [(3, "Loaded")]
