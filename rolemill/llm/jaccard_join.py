@@ -6,19 +6,19 @@ groups; the numbers of a set's shingles in each group are a point. The overlap o
 the sum of the smaller of their coordinates, and for a node of the tree at most that with the node's
 upper corner. Pairs that reach the needed overlap by this bound are verified on the whole sets.
 
-The index is spread over the cluster by routes. A set's shingles are put in the order of their
-hashes; each three neighbours among the first 46 are a route, and sets that share a route are looked
-up together. Two sets at a similarity of 0.85 share no route only if among the first 46 shingles of
-their union no three neighbours are common: below 2e-9, impossible where neither set has more than
-46, and far less for closer sets. A passage that many documents share is a route only for those in
-which three neighbours come from it, so frequent passages make no large cells.
+The index is spread over the cluster by keys. Shingles are put in one order for all sets, common ones
+last, and the first n - ceil(0.85 n) + 1 of a set's n shingles are its keys. Two sets at a similarity
+of 0.85 or more share a key for certain: were all their keys different, the set whose last key comes
+first in the order would lack more than 0.15 n of its shingles in the other. Which shingles are common is
+counted on a bounded sample of the texts. Any order gives the same links; this one keeps a passage
+that many documents share out of their keys, so that they don't meet by it.
 
 Links are found in three steps, so that a group of n near copies isn't expanded into n**2 pairs:
-1. On each route every set is compared with the route's first set; links join sets to clusters.
-2. Where sets of different clusters still share a route, they are dealt to cells of bounded size (by
+1. By each key every set is compared with the key's first set; links join sets to clusters.
+2. Where sets of different clusters still share a key, they are dealt to cells of bounded size (by
    set size, then by hash). A tree in each cell finds the pairs that the bound lets pass, and the few
    best of each set are verified. Sets that hang together in any way mostly join one cluster here.
-3. Cells of a route whose sets are still of different clusters meet each other, and all pairs of
+3. Cells of a key whose sets are still of different clusters meet each other, and all pairs of
    different clusters that the trees let pass are verified.
 A pair that is never compared is in one cluster already, so no component is missed.
 
@@ -48,35 +48,27 @@ HUNDRED = 100
 GROUPS = 256
 #: Groups that are taken together in the boxes of a tree; its points are compared in full.
 TOGETHER = 4
-NEIGHBOURS = 3
-#: Sets up to this size also have routes of two neighbours: of five shingles at 0.8 the middle one may
-#: be the one that is missing.
-SMALL = 5
 #: Sets of a cell, and children of a node of its tree.
 CELL, FAN = 512, 16
 #: Pairs of a set and cell that step 2 verifies.
 BEST = 2
-#: Rows (24 bytes each) up to which the rows asked for are sent to all tasks that read texts; beyond
-#: that, texts and rows meet by a shuffle.
-SENT_ROWS = 500_000
+#: Texts whose shingles are counted to find common ones, in how many of them a shingle is common, and how
+#: many are told apart at most (16 bytes each, sent to all tasks). They steer the order only.
+SAMPLE, COMMON, TOLD = 40_000, 3, 500_000
 
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], np.uint64)
 
 
 @dataclass(frozen=True)
 class Likeness:
-    """Shingles of ``width`` words; two sets link when HUNDRED * overlap >= need * union.
-
-    The defaults are the query's. A lower need takes more routes for the same chance of a miss.
-    """
+    """Shingles of ``width`` words; two sets link when HUNDRED * overlap >= need * union. The defaults are the query's."""
 
     width: int = 4
     need: int = 85
-    routes: int = 44
 
     def __post_init__(self):
-        if not (1 <= self.width <= len(_PLACE) and 80 <= self.need < HUNDRED):
-            raise ValueError("shingles have 1 to 5 words; below 0.8 small sets may share no route")
+        if not (1 <= self.width <= len(_PLACE) and 50 <= self.need < HUNDRED):
+            raise ValueError("shingles have 1 to 5 words, and the needed similarity is from 0.5 to below 1")
 
     @property
     def lone(self) -> int:
@@ -105,17 +97,26 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return out
 
 
-def _runs(own: np.ndarray, size: int) -> np.ndarray:
-    n = len(own) - size + 1
-    with np.errstate(over="ignore"):
-        return mix(sum((own[i : n + i] * _PLACE[i] for i in range(size)), np.zeros(n, np.uint64)))
+@dataclass(frozen=True)
+class Common:
+    """Hashes of common shingles in ascending order, and how often each was seen."""
 
+    hashes: np.ndarray
+    counts: np.ndarray
 
-def _routes(own: np.ndarray, like: Likeness) -> np.ndarray:
-    if len(own) < like.lone:
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(shingles), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == shingles, self.counts[at], 0)
+
+
+def keys_of(own: np.ndarray, like: Likeness, common: Common) -> np.ndarray:
+    """So many of a set's shingles, rare ones first, that a set which shares none can't link with it."""
+    n = len(own)
+    if n < like.lone:
         return own[:0]
-    runs = _runs(own[: like.routes + NEIGHBOURS - 1], NEIGHBOURS)
-    return np.concatenate([runs, _runs(own, NEIGHBOURS - 1)]) if len(own) <= SMALL else runs
+    return own[np.lexsort((own, common.of(own)))[: n - -(-like.need * n // HUNDRED) + 1]]
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -124,8 +125,8 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
 
 
-def _described(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "text_hash", "n", "sum", "xor", "routes", "vector"]
+def _described(batches: Iterator[pa.RecordBatch], like: Likeness, common) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "text_hash", "n", "sum", "xor", "keys", "vector"]
     for batch in batches:
         for start, end, data, offsets in chunks(batch.column("text")):
             sets = shingle_sets(data, offsets, like.width)
@@ -140,7 +141,7 @@ def _described(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa
                     pa.array(np.array([len(s) for s in sets], np.int64)),
                     pa.array(total.view(np.int64)),
                     pa.array(odd.view(np.int64)),
-                    _lists([_routes(s, like) for s in sets], pa.int64()),
+                    _lists([keys_of(s, like, common.value) for s in sets], pa.int64()),
                     _lists(points, pa.int32()),
                 ],
                 names,
@@ -148,7 +149,14 @@ def _described(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa
 
 
 def _expanded(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """Sets of texts; of rows that stand for one node a task reads one."""
+    seen: set[int] = set()
     for batch in batches:
+        fresh = []
+        for node in batch.column("node").to_pylist():
+            fresh.append(node not in seen)
+            seen.add(node)
+        batch = batch.filter(pa.array(fresh, pa.bool_()))
         for start, end, data, offsets in chunks(batch.column("text")):
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(start, end - start), _lists(shingle_sets(data, offsets, like.width), pa.int64())], ["node", "shingles"])
 
@@ -157,6 +165,18 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
+def common_shingles(docs: DataFrame, like: Likeness) -> Common:
+    """Shingles of several texts of the sample; at most TOLD of them come to the driver."""
+    every = -(-docs.count() // SAMPLE) or 1
+    sample = _hashed(docs).where(F.pmod(F.xxhash64("text_hash"), F.lit(every)) == 0).dropDuplicates(["text_hash"])
+    sets = sample.select(F.col("text_hash").alias("node"), "text").mapInArrow(partial(_expanded, like=like), "node long, shingles array<long>")
+    counts = sets.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    rows = counts.orderBy(F.desc("n"), "h").limit(TOLD).toArrow()
+    hashes = rows["h"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return Common(hashes[order], rows["n"].to_numpy()[order])
+
+
 def enough(overlap: Column, n: Column, m: Column, need: int) -> Column:
     """Whether an overlap is enough for sets of n and m shingles; all in whole numbers."""
     return overlap * (HUNDRED + need) >= (n + m) * need
@@ -171,11 +191,11 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, like: Likeness
     """The pairs (a, b) of nodes whose sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     found = nodes.join(wanted, "node").select("node", "doc_id", "text_hash")
-    # rows that agree in id and text have one set; one of them is read
     found = written(found, "asked")
-    found = F.broadcast(found) if found.count() <= SENT_ROWS else found
     texts = _hashed(docs).withColumnRenamed("doc_id", "id").join(found, "text_hash").where(F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
-    sets = written(texts.mapInArrow(partial(_expanded, like=like), "node long, shingles array<long>"), "sets")
+    sets = texts.mapInArrow(partial(_expanded, like=like), "node long, shingles array<long>")
+    # rows that agree in id and text stand for one node, and may have been read by several tasks
+    sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     met = pairs.join(one, "a").join(two, "b")
@@ -264,30 +284,30 @@ def _found_in(cell: pa.Table, best: int | None, need: int) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
-def cross_pairs(routes: DataFrame, points: DataFrame, clusters: DataFrame, best: bool, need: int) -> DataFrame:
-    """Candidates (a, b) of different clusters that share a route; with ``best`` the best of each cell."""
-    own = routes.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    mixed = own.groupBy("route").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("size")).where("x <> y")
-    mixed = written(mixed.select("route", "size"), "mixed-routes")
-    member = own.join(mixed, "route").join(points, "node")
+def cross_pairs(keys: DataFrame, points: DataFrame, clusters: DataFrame, best: bool, need: int) -> DataFrame:
+    """Candidates (a, b) of different clusters that share a key; with ``best`` the best of each cell."""
+    own = keys.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    mixed = own.groupBy("key").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("size")).where("x <> y")
+    mixed = written(mixed.select("key", "size"), "mixed-keys")
+    member = own.join(mixed, "key").join(points, "node")
     # sets of linkable sizes are in one band or in neighbour bands
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(HUNDRED / need)))
-    part = F.pmod(F.xxhash64("node", "route"), F.ceil(F.col("size") / CELL))
-    member = written(member.select("route", band.alias("band"), part.alias("part"), "node", "cluster", "n", "vector"), "members")
+    part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / CELL))
+    member = written(member.select("key", band.alias("band"), part.alias("part"), "node", "cluster", "n", "vector"), "members")
     shape = ["meet", "side", "node", "cluster", "n", "vector"]
     if best:
-        alone = member.select(F.xxhash64("route", "band", "part").alias("meet"), F.lit(0).alias("side"), "node", "cluster", "n", "vector")
+        alone = member.select(F.xxhash64("key", "band", "part").alias("meet"), F.lit(0).alias("side"), "node", "cluster", "n", "vector")
         return alone.groupBy("meet").applyInArrow(lambda cell: _found_in(cell, BEST, need), "a long, b long").distinct()
-    cells = member.groupBy("route", "band", "part").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"))
-    cells = written(cells.withColumn("cell", F.xxhash64("route", "band", "part")), "cells")
+    cells = member.groupBy("key", "band", "part").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"))
+    cells = written(cells.withColumn("cell", F.xxhash64("key", "band", "part")), "cells")
     # pairs of cells, not of rows; a cell meets those after it in its band and all in the next
-    ahead = cells.select("route", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("cell").alias("cell2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    meets = cells.join(ahead, ["route", "band"]).where((F.col("band2") > F.col("band")) | (F.col("part2") >= F.col("part")))
+    ahead = cells.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("cell").alias("cell2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    meets = cells.join(ahead, ["key", "band"]).where((F.col("band2") > F.col("band")) | (F.col("part2") >= F.col("part")))
     meets = meets.where((F.least("x", "x2") != F.greatest("y", "y2"))).withColumn("meet", F.xxhash64("cell", "cell2"))
-    meets = written(meets.select("route", "band", "part", "band2", "part2", "meet", (F.col("cell") == F.col("cell2")).alias("self")), "meetings")
-    left = member.join(meets.select("route", "band", "part", "meet"), ["route", "band", "part"]).withColumn("side", F.lit(0))
-    right = meets.where(~F.col("self")).select("route", F.col("band2").alias("band"), F.col("part2").alias("part"), "meet")
-    right = member.join(right, ["route", "band", "part"]).withColumn("side", F.lit(1))
+    meets = written(meets.select("key", "band", "part", "band2", "part2", "meet", (F.col("cell") == F.col("cell2")).alias("self")), "meetings")
+    left = member.join(meets.select("key", "band", "part", "meet"), ["key", "band", "part"]).withColumn("side", F.lit(0))
+    right = meets.where(~F.col("self")).select("key", F.col("band2").alias("band"), F.col("part2").alias("part"), "meet")
+    right = member.join(right, ["key", "band", "part"]).withColumn("side", F.lit(1))
     rows = left.select(*shape).unionByName(right.select(*shape))
     return rows.groupBy("meet").applyInArrow(lambda cell: _found_in(cell, None, need), "a long, b long").distinct()
 
@@ -298,18 +318,19 @@ def jaccard_classes(docs: DataFrame, like: Likeness = QUERY) -> DataFrame:
     ``root`` tells components apart; their smallest ids may be equal or null. It is null for the empty set.
     """
     ship_package(docs.sparkSession)
-    shape = "doc_id long, text_hash long, n long, sum long, xor long, routes array<long>, vector array<int>"
-    sets = written(_hashed(docs).mapInArrow(partial(_described, like=like), shape).withColumn("row_id", F.monotonically_increasing_id()), "points")
+    shape = "doc_id long, text_hash long, n long, sum long, xor long, keys array<long>, vector array<int>"
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, like))
+    sets = written(_hashed(docs).mapInArrow(partial(_described, like=like, common=common), shape).withColumn("row_id", F.monotonically_increasing_id()), "points")
     alike = ["n", "sum", "xor"]
     full = sets.where("n > 0")
     classes = full.groupBy(*alike).agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least_id"))
     classes = written(classes, "classes")
     nodes = written(full.join(classes.select(F.col("node").alias("row_id")), "row_id").withColumnRenamed("row_id", "node"), "nodes")
     points = nodes.select("node", "n", "vector")
-    routes = written(nodes.select("node", F.explode("routes").alias("route")), "routes")
+    keys = written(nodes.select("node", F.explode("keys").alias("key")), "keys")
 
-    heads = routes.groupBy("route").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
-    shared = written(routes.join(heads.select("route", "head"), "route"), "shared-routes")
+    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
+    shared = written(keys.join(heads.select("key", "head"), "key"), "shared-keys")
     stars = shared.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     side = lambda x: points.select(*[F.col(c).alias(f"{x}_{c}") for c in points.columns])
     near = stars.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
@@ -317,7 +338,7 @@ def jaccard_classes(docs: DataFrame, like: Likeness = QUERY) -> DataFrame:
     links = written(verified(docs, nodes, written(near, "candidates"), like), "star-links")
     for best in (True, False):
         clusters = components(links).withColumnRenamed("root", "cluster")
-        more = written(cross_pairs(shared.select("route", "node"), points, clusters, best, like.need), "candidates")
+        more = written(cross_pairs(shared.select("key", "node"), points, clusters, best, like.need), "candidates")
         links = written(links.unionByName(verified(docs, nodes, more, like)), "links")
     roots = components(links)
     known = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -12,8 +12,8 @@ from rolemill.llm.length_buckets import pack
 from rolemill.llm.line_dedup import line_dedup
 from rolemill.llm.source_mixing import mix_sources
 
-#: Five words and 0.8; two sets at 0.8 share no route with a probability below 2e-9, as in the query.
-NEAR = Likeness(width=5, need=80, routes=56)
+#: The query has four words and 0.85.
+NEAR = Likeness(width=5, need=80)
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

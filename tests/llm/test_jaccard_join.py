@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rolemill.llm import jaccard_join as J
 from rolemill.llm.components import components
@@ -97,8 +98,8 @@ def test_tree_returns_every_pair_within_the_bound():
     assert sorted(zip(q.tolist(), p.tolist())) == sorted(map(tuple, want.tolist()))
 
 
-def test_pairs_apart_from_the_routes_first_set_are_found(spark, monkeypatch):
-    """Sets that share routes but are not near the first set meet in cells, here of two sets."""
+def test_pairs_apart_from_the_keys_first_set_are_found(spark, monkeypatch):
+    """Sets that share keys but are not near the first set meet in cells, here of two sets."""
     monkeypatch.setattr(J, "CELL", 2)
     rng = random.Random(12)
     common = [f"c{i}" for i in range(300)]
@@ -113,6 +114,47 @@ def test_pairs_apart_from_the_routes_first_set_are_found(spark, monkeypatch):
     assert got(spark, rows) == sorted(brute(rows))
 
 
+def test_a_passage_of_half_of_all_texts_is_no_key(spark):
+    rng = random.Random(1)
+    passage = [f"p{i}" for i in range(100)]
+    rows = [(i, " ".join(passage + [f"u{rng.randrange(10**6)}" for _ in range(100)])) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(20)]
+    df = spark.createDataFrame(rows, KIND)
+    common = J.common_shingles(df, J.QUERY)
+    assert len(common.hashes) >= 97
+    groups = {}
+    for doc, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        own = J.shingle_sets(data, np.array([0, len(data)]), 4)[0]
+        for key in J.keys_of(own, J.QUERY, common).tolist():
+            groups.setdefault(key, set()).add(doc)
+    assert max(len(g) for g in groups.values()) == 2
+    assert got(spark, rows) == sorted(brute(rows))
+
+
+def test_two_sets_that_link_share_a_key_in_any_order():
+    rng = np.random.default_rng(5)
+    for need in (80, 85, 95):
+        like = J.Likeness(need=need)
+        for n in (*range(5, 30), 100, 999):
+            own = np.sort(rng.choice(10**6, n, replace=False).astype(np.uint64))
+            lost = n - -(-need * n // 100)
+            other = np.sort(rng.permutation(own)[lost:])
+            common = J.Common(np.sort(rng.permutation(own)[: n // 2]), rng.integers(3, 9, n // 2))
+            if len(other) >= like.lone:
+                assert set(J.keys_of(own, like, common).tolist()) & set(J.keys_of(other, like, common).tolist())
+
+
+def test_a_third_of_rows_repeated_is_one_node(spark):
+    words = [f"t{i}" for i in range(60)]
+    rows = [(1, " ".join(words))] * 300 + [(2, " ".join(words[1:]))] * 300 + [(10 + i, f"other {i} text with words {i}") for i in range(300)]
+    assert got(spark, rows) == sorted(brute(rows[:1] + rows[300:301] + rows[600:]) + [(1, 57, 1)] * 299 + [(2, 56, 1)] * 299)
+    docs = spark.createDataFrame(rows[:600], KIND).repartition(5)
+    hashed = J._hashed(docs).select("doc_id", "text_hash").distinct().withColumn("node", F.col("doc_id"))
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert [tuple(r) for r in J.verified(docs, hashed, pairs, J.QUERY).collect()] == [(1, 2)]
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
 
