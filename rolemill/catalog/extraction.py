@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rolemill.catalog import sqltext as q
 from rolemill.catalog.registry import query
-from rolemill.catalog.scalars import sql_entities, sql_html_to_text
+from rolemill.catalog.scalars import sql_entities, sql_html_to_text, sql_stripped
 from rolemill.catalog.views import v_links, v_pages, v_postings, view_sql, with_views
 from rolemill.functions import posting_text as P
 from rolemill.functions import text
@@ -27,6 +27,11 @@ _head_sql = sql_html_to_text("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</t
 view_sql("v_texts", f"SELECT row_seq, url, {_head_sql} AS head, {sql_html_to_text('html')} AS body FROM v_pages", ("v_pages",))
 
 
+def escaped(column: str):
+    """Text as it stands in markup."""
+    return F.replace(F.replace(column, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
 def script(opening: str, body, rest: str = "</script><p>rest</p>"):
     return F.concat(F.lit("<html><head>" + opening), body, F.lit(rest))
 
@@ -326,14 +331,19 @@ _h1 = sql_html_to_text("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")
 @query(
     "extract_title_fallback",
     with_views("v_pages", "v_texts")
-    + f"""SELECT p.row_seq, CASE WHEN p.row_seq % 3 = 0 THEN coalesce(nullif({_h1}, ''), nullif(head, ''), 'Untitled') WHEN p.row_seq % 3 = 1 THEN 'Dev' ELSE 'Lead' END AS title,
-      CASE p.row_seq % 3 WHEN 1 THEN 'Acme' WHEN 2 THEN 'Shop' ELSE '' END AS company FROM v_pages p JOIN v_texts t ON p.row_seq = t.row_seq""",
+    + f"""SELECT row_seq, CASE WHEN k = 0 THEN coalesce(nullif(h1, ''), nullif(head, ''), 'Untitled')
+        ELSE coalesce(nullif({q.collapse("CASE WHEN len(bars) >= 2 THEN bars[1] WHEN len(ats) >= 2 THEN ats[1] ELSE '' END")}, ''), 'Untitled') END AS title,
+      CASE WHEN k = 0 THEN '' WHEN len(bars) > 2 THEN bars[2] WHEN len(bars) < 2 AND len(ats) >= 2 THEN split_part(ats[2], ' | ', 1) ELSE '' END AS company
+      FROM (SELECT *, string_split(t, ' | ') AS bars, string_split(t, ' at ') AS ats
+        FROM (SELECT p.row_seq, p.row_seq % 3 AS k, {_h1} AS h1, head, trim(CASE WHEN p.row_seq % 3 = 1 THEN head || ' | Acme | Board' ELSE head || ' at Shop' END) AS t FROM v_pages p JOIN v_texts t ON p.row_seq = t.row_seq))""",
 )
 def extract_title_fallback(spark, sf):
+    """The page as it is, and its title in two longer forms without a heading."""
     k = F.col("row_seq") % 3
-    html = F.when(k == 0, F.col("html")).when(k == 1, "<title> Dev | Acme | Board</title><h1> </h1>").otherwise("<title>Lead at Shop | Board 7</title>".replace(" | Board 7", ""))
-    title, company = E.title_fallback(html)
-    return v_pages(spark, sf).select("row_seq", title.alias("title"), company.alias("company"))
+    own = F.concat(F.lit("<title> "), escaped("head"), F.when(k == 1, " | Acme | Board").otherwise(" at Shop"), F.lit("</title><h1> </h1><p>"), escaped("body"))
+    pages = v_pages(spark, sf).select("row_seq", "html").join(page_texts(spark, sf).drop("url"), "row_seq")
+    title, company = E.title_fallback(F.when(k == 0, F.col("html")).otherwise(own))
+    return pages.select("row_seq", title.alias("title"), company.alias("company"))
 
 
 _href = "unnest(list_distinct(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref=[\"'']([^\"'']*)[\"'']', 1)))"
@@ -356,7 +366,7 @@ def extract_links(spark, sf):
 )
 def extract_job_links(spark, sf):
     html = F.concat(F.lit('<a class="x" href="'), F.col("href"), F.lit('">a</a> <a href="'), F.col("href"), F.lit('#again">b</a><code>urn:li:fsd_jobPosting:77</code>'))
-    return E.job_links(v_links(spark, sf).select("row_seq", html.alias("html")))
+    return E.job_links(v_links(spark, sf).select("row_seq", F.concat("html", html).alias("html")))
 
 
 @query(
@@ -380,7 +390,8 @@ def apply_url_candidates(spark, sf):
     save = F.lit('<a href="/jobs/saved">Save and apply later</a>')
     own = F.concat(F.lit('<a aria-label="Easy Apply" href="/jobs/view/'), n, F.lit('/apply/?a=1">go</a>'))
     away = F.concat(F.lit('<a href="https://www.linkedin.com/redir/redirect/?url='), F.url_encode("url"), F.lit('&amp;t=1">Apply on company website</a>'))
-    html = F.when(k == 0, F.concat(save, away, own)).when(k == 1, F.concat(save, away)).otherwise("<a href='/x'>home</a>")
+    links = F.when(k == 0, F.concat(save, away, own)).when(k == 1, F.concat(save, away)).otherwise("<a href='/x'>home</a>")
+    html = F.concat("html", links)
     page = F.concat(F.lit("https://www.linkedin.com/jobs/view/"), n, F.lit("/"))
     return v_links(spark, sf).select("row_seq", E.apply_url(html, page, n).alias("target"))
 
@@ -395,6 +406,7 @@ def next_page_url(spark, sf):
     link = lambda p: F.concat(F.lit('<a class="p" href="?page='), p.cast("string"), F.lit('&amp;q=1">p</a>'))
     k = F.col("row_seq") % 3
     html = F.concat(
+        "html",
         F.when(k != 2, F.concat(link(page + 3), link(page + 1), link(page))).otherwise(link(page)),
         F.when(k == 0, '<a rel="next nofollow" href="/v?page=9">more</a>').otherwise(""),
     )
@@ -416,14 +428,13 @@ def coverage_report(spark, sf):
 @query(
     "section_blocks",
     with_views("v_texts")
-    + """SELECT row_seq, t AS blocks FROM (SELECT row_seq, 'The stack' || chr(10) || 'Spark jobs over posting tables, streams with state, and plenty of plain SQL' || chr(10) || chr(10) || repeat('w', 90) || chr(10) || chr(10) || 'Team' || chr(10) || 'One two three four five six seven eight nine ten eleven twelve words ' || CAST(row_seq AS VARCHAR) AS t FROM v_texts)""",
+    + f"""SELECT row_seq, concat_ws(chr(10) || chr(10), 'The stack' || chr(10) || 'Spark jobs over posting tables, streams with state, and plenty of plain SQL', repeat('w', 90), CASE WHEN length(body) >= 60 THEN 'Team' || chr(10) || body END) AS blocks
+      FROM (SELECT row_seq, {sql_stripped('body')} AS body FROM v_texts)""",
 )
 def section_blocks(spark, sf):
     same = "<h3>The <i>stack</i></h3><p>Spark jobs over posting tables, streams with state, and plenty of plain SQL</p>"
-    html = F.concat(
-        F.lit("<h2>Intro</h2>short" + same + "<h3>Status update</h3>" + "w" * 90 + same + "<h4>Team</h4><div>One two three four five six seven eight nine ten eleven twelve words "), F.col("row_seq").cast("string"), F.lit("</div>")
-    )
-    return v_pages(spark, sf).select("row_seq", E.section_blocks(html).alias("blocks"))
+    html = F.concat(F.lit("<h2>Intro</h2>short" + same + "<h3>Status update</h3>" + "w" * 90 + same + "<h4>Team</h4><div>"), escaped("body"), F.lit("</div>"))
+    return page_texts(spark, sf).select("row_seq", E.section_blocks(html).alias("blocks"))
 
 
 @query(
@@ -437,6 +448,6 @@ def meta_line_fields(spark, sf):
     days = F.concat((F.col("row_seq") % 9).cast("string"), F.lit(" days ago"))
     people = F.concat(F.col("row_seq").cast("string"), F.lit(" applicants"))
     line = F.when(k == 0, F.concat(F.lit(" Montevideo, Uruguay · "), days, F.lit(" • "), people)).when(k == 1, F.concat(F.lit("Remote · "), people, F.lit(" · "), days)).otherwise("")
-    body = F.concat(F.lit("Lima, Peru · "), days, F.lit(" · Over 30 people clicked apply. More"))
-    found = E.meta_line(line, F.when(k == 2, body).otherwise(""))
-    return v_pages(spark, sf).select("row_seq", found["JobLocation"].alias("place"), found["JobPostedDttm"].alias("posted"), found["JobTags"].alias("people"))
+    body = F.concat(F.when(k == 2, F.concat(F.lit("Lima, Peru · "), days, F.lit(" · Over 30 people clicked apply. "))).otherwise(""), F.col("body"))
+    found = E.meta_line(line, body)
+    return page_texts(spark, sf).select("row_seq", found["JobLocation"].alias("place"), found["JobPostedDttm"].alias("posted"), found["JobTags"].alias("people"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rolemill.catalog import sqltext as q
+from rolemill.catalog.extraction import escaped, page_texts
 from rolemill.catalog.pipelines import _hash, scrape_results
 from rolemill.catalog.registry import query
 from rolemill.catalog.relational import _interval, _priority, at, sql_stamp, stamp
@@ -47,22 +48,26 @@ def scan_scrape_list(spark, sf):
 
 @query(
     "scan_rss_items",
-    with_views("v_pages")
-    + """SELECT row_seq, 0 AS item_pos, 'https://jobspresso.co/job/dev-' || CAST(row_seq AS VARCHAR) AS JobUrl, '' AS JobId, 'Dev & Co ' || CAST(row_seq AS VARCHAR) AS JobTitle, 'Acme' AS JobCompany, 'Lima' AS JobLocation FROM v_pages
-      UNION ALL SELECT row_seq, 2, url, coalesce(nullif(regexp_extract(url, '/([0-9]+)(?:/|$|[?])', 1), ''), ''), 'Untitled', '', '' FROM v_pages""",
+    with_views("v_texts")
+    + """SELECT row_seq, 0 AS item_pos, 'https://jobspresso.co/job/dev-' || CAST(row_seq AS VARCHAR) AS JobUrl, '' AS JobId, trim('Dev & Co ' || head) AS JobTitle, 'Acme' AS JobCompany, body AS JobLocation FROM v_texts
+      UNION ALL SELECT row_seq, 2, url, coalesce(nullif(regexp_extract(url, '/([0-9]+)(?:/|$|[?])', 1), ''), ''), coalesce(nullif(head, ''), 'Untitled'), '', '' FROM v_texts""",
 )
 def scan_rss_items(spark, sf):
+    """A feed of three items made of each page's title, text and address; one has no address."""
     feed = F.concat(
         F.lit("<rss><channel><title>t</title><item><title> Dev &amp; Co "),
+        escaped("head"),
+        F.lit("</title><link>https://jobspresso.co/job/dev-"),
         F.col("row_seq").cast("string"),
-        F.lit("</title><link>https://www.jobspresso.co/job/dev-".replace("www.", "")),
-        F.col("row_seq").cast("string"),
-        F.lit("/?utm=1</link><job_listing:company>Acme</job_listing:company><job_listing:location>Lima</job_listing:location></item><item><title>no link</title></item><item><link>"),
+        F.lit("/?utm=1</link><job_listing:company>Acme</job_listing:company><job_listing:location>"),
+        escaped("body"),
+        F.lit("</job_listing:location></item><item><title>no link</title></item><item><title>"),
+        escaped("head"),
+        F.lit("</title><link>"),
         F.replace("url", F.lit("&"), F.lit("&amp;")),
         F.lit("</link></item></channel></rss>"),
     )
-    rows = v_pages(spark, sf).select("row_seq", feed.alias("xml"))
-    return readers.rss_items(rows, "xml")
+    return readers.rss_items(page_texts(spark, sf).select("row_seq", feed.alias("xml")), "xml")
 
 
 @query("scan_pages", "SELECT page_id, url, length(html) AS size FROM pages")

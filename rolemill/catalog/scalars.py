@@ -380,6 +380,13 @@ projection(
     },
 )
 _phrases = posting_text.alternation(posting_text.BOILERPLATE)
+
+
+def sql_stripped(x: str) -> str:
+    bare = f"regexp_replace(regexp_replace({q.collapse(x)}, '<[^>]+>', ' ', 'g'), {q.lit('(?i)' + _phrases)}, ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({bare}, ' {{2,}}', ' ', 'g'), '^[ /|.,;:()\\-•]+', ''), ' ')"
+
+
 _framed = "('Back / <b>About us</b> ' || JobDescription || ' Terms of Use | Newsroom')"
 projection(
     "strip_boilerplate",

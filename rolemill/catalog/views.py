@@ -263,7 +263,7 @@ def v_links(spark, sf_dir):
         site = F.when(kind == i, name).otherwise(site)
         made = F.concat(F.lit(before), F.col("page_id").cast("string"), F.lit(after))
         href = F.when(kind == i, made).otherwise(href)
-    return pages.select(F.col("page_id").alias("row_seq"), "url", site.alias("site"), href.alias("href"))
+    return pages.select(F.col("page_id").alias("row_seq"), "url", site.alias("site"), href.alias("href"), "html")
 
 
 _kind = f"page_id % {len(LINK_SHAPES) + 1}"
@@ -274,7 +274,7 @@ _hrefs = " ".join(
 view_sql(
     "v_links",
     f"""SELECT page_id AS row_seq, url, CASE {_kind} {_sites} ELSE 'other' END AS site,
-      CASE {_kind} {_hrefs} ELSE url END AS href FROM pages""",
+      CASE {_kind} {_hrefs} ELSE url END AS href, html FROM pages""",
 )
 
 # --- phrases composed from event numbers ---------------------------------------
