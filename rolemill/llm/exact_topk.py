@@ -10,8 +10,9 @@ Both sides are dealt by row number, so a vector that a third of all rows share i
 
 Defined results: vectors that are null or hold null or non-finite components take no part; a vector
 without components scores 0; vectors of different lengths meet on their common dimensions; ties go
-to the smaller id, then to the row stored first; of rows with one id each is a query and a candidate
-of its own; an empty table gives no rows; extra columns are not used.
+to the smaller id, then to the row stored first, null ids last; of rows with one id each is a query and a candidate
+of its own, and a row with a null id is no query; scores are 64-bit numbers, and vectors whose scores
+could pass 2**62 are an error; an empty table gives no rows; extra columns are not used.
 """
 
 from __future__ import annotations
@@ -133,7 +134,10 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_
     ship_package(vectors.sparkSession)
     kept = vectors.where(usable(F.col(vector_col)))
     table = rows_of(kept, {"vec_id": F.col(id_col).cast("long"), "weights": quantised(F.col(vector_col)), "is_query": is_query}, "vectors")
-    counts = table.agg(F.count("*").alias("rows"), F.count_if("is_query").alias("queries")).first()
+    largest = F.aggregate("weights", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x.cast("double"))))
+    counts = table.agg(F.count("*").alias("rows"), F.count_if("is_query").alias("queries"), F.max(F.size("weights")).alias("width"), F.max(largest).alias("largest")).first()
+    if (counts.largest or 0.0) ** 2 * (counts.width or 0) >= 2.0**62:
+        raise ValueError("scores of these vectors could pass 64 bits")
     # never above BLOCK rows; smaller where there are few, so that every core has a block
     row_blocks = max(-(-counts.rows // BLOCK), min(16, -(-counts.rows // 256)), 1)
     query_blocks = max(-(-counts.queries // BLOCK), 1)
@@ -148,7 +152,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_
 
     shape = "query_row long, query_id long, vec_id long, row_id long, score long"
     found = queries.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInArrow(cell, shape)
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

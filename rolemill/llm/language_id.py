@@ -38,6 +38,8 @@ CODES = SYMBOLS**3
 DIMENSIONS = 1024
 #: Characters counted at a time, and n-gram vectors made at a time.
 CHUNK_CHARS, CHUNK_CODES = 1 << 19, 8192
+#: Counts (texts x n-grams) held at a time, 12 bytes each; short texts are many to a portion.
+CHUNK_COUNTS = 1 << 24
 #: Languages whose counts a training task holds before it passes them on.
 HELD_LANGUAGES = 32
 
@@ -88,7 +90,7 @@ def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _portions(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Pieces of texts, and whose they are: about CHUNK_CHARS characters at a time."""
+    """Pieces of texts, and whose they are: about CHUNK_CHARS characters, and no more than CHUNK_COUNTS counts, at a time."""
     rows, pieces, held = [], [], 0
     for i, text in enumerate(texts):
         text = (text or "").lower()
@@ -97,7 +99,7 @@ def _portions(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
             rows.append(i)
             pieces.append(piece)
             held += len(piece)
-            if held >= CHUNK_CHARS:
+            if held >= CHUNK_CHARS or len(pieces) * min(held, CODES) >= CHUNK_COUNTS:
                 yield rows, pieces
                 rows, pieces, held = [], [], 0
     if pieces:

@@ -11,7 +11,8 @@ spread over many tasks; each cell ends with at most one batch that isn't full.
 
 Defined results: null and blank texts have length 0 and go to the shortest bucket; repeated rows are
 packed as often as they occur; a document longer than the budget is a batch of its own and is not
-cut; an empty table gives no rows; extra columns are not used.
+cut; an empty table gives no rows; extra columns are not used, or with ``whole`` stay, and one with the
+name of an added column is replaced by it.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolemill.llm.common import read, rows_of, token_count
+from rolemill.llm.common import read, rows_of, spread_row, token_count, whole_row
 
 EXACT, STEPS = 1024, 64
+ADDED = ["doc_id", "n_tokens", "bucket_len", "batch_id", "slot", "padding"]
 
 
 @dataclass(frozen=True)
@@ -69,15 +71,17 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray,
     return cuts[::-1]
 
 
-def pack(docs: DataFrame, packing: Packing = Packing(), id_col: str = "doc_id", length: Column | None = None) -> DataFrame:
-    """(doc_id, n_tokens, bucket_len, batch_id, slot, padding), one row per row of ``docs``."""
-    thin = rows_of(docs, {"doc_id": docs[id_col], "n_tokens": token_count() if length is None else length}, "lengths")
+def pack(docs: DataFrame, packing: Packing = Packing(), id_col: str = "doc_id", length: Column | None = None, whole: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, bucket_len, batch_id, slot, padding), one row per row of ``docs``; with ``whole`` its other columns too."""
+    carried = {"row": whole_row(docs)} if whole else {}
+    thin = rows_of(docs, {"doc_id": docs[id_col], "n_tokens": token_count() if length is None else length, **carried}, "lengths")
     bins = thin.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(
         F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest")
     )
     found = sorted((r.longest, r.docs, r.tokens) for r in bins.collect())
     if not found:
-        return thin.select("doc_id", "n_tokens", F.lit(0).cast("long").alias("bucket_len"), F.lit("").alias("batch_id"), F.lit(0).alias("slot"), F.lit(0).cast("long").alias("padding"))
+        empty = thin.select(*carried, "doc_id", "n_tokens", F.lit(0).cast("long").alias("bucket_len"), F.lit("").alias("batch_id"), F.lit(0).alias("slot"), F.lit(0).cast("long").alias("padding"))
+        return spread_row(empty, docs.columns, ADDED) if whole else empty
     lengths, counts, totals = (np.array(x) for x in zip(*found))
     edges = best_boundaries(lengths, counts, totals, packing.buckets)
     sizes = np.add.reduceat(counts, [0, *(np.searchsorted(lengths, e, side="right") for e in edges[:-1])])
@@ -89,7 +93,8 @@ def pack(docs: DataFrame, packing: Packing = Packing(), id_col: str = "doc_id",
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), at + 1)
     dealt = thin.select("*", pick(edges).alias("bucket_len"), pick(rooms).alias("room"), F.pmod(F.xxhash64("row_id"), pick(cells)).alias("cell"))
     number = F.row_number().over(Window.partitionBy("bucket_len", "cell").orderBy("row_id")) - 1
-    return dealt.withColumn("number", number).select(
+    out = dealt.withColumn("number", number).select(
+        *carried,
         "doc_id",
         "n_tokens",
         "bucket_len",
@@ -97,6 +102,7 @@ def pack(docs: DataFrame, packing: Packing = Packing(), id_col: str = "doc_id",
         (F.col("number") % F.col("room")).cast("int").alias("slot"),
         (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
     )
+    return spread_row(out, docs.columns, ADDED) if whole else out
 
 
 def packing_query(spark, sf_dir: str) -> DataFrame:

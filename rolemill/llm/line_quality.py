@@ -7,8 +7,8 @@ mean of its lines' marginals, weighted by their lengths.
 
 Labels are of documents; each line of a labelled document is trained on that label. Training takes
 at most ``TRAIN_DOCS`` labelled documents (different id, text and label; those with the smallest
-hashes) with all their lines: a sample of whole documents, whose features (floats, no text) come to
-the driver.
+hashes) with all their lines, and of these, in that order, those that fit into ``TRAIN_LINES`` lines: a
+sample of whole documents, whose features (floats, no text) come to the driver.
 Scoring reads every line of every document.
 
 Defined results: null and blank texts have no line and score 0; where there is nothing to learn from
@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolemill.llm.arrow_text import chunks, words
-from rolemill.llm.common import read
+from rolemill.llm.common import read, written
 from rolemill.session import ship_package
 
-TRAIN_DOCS = 3000
+#: Most documents that are learned from, and most lines of them (188 bytes each on the driver).
+TRAIN_DOCS, TRAIN_LINES = 3000, 300_000
 THRESHOLD = 0.7
 #: Steps, step size and ridge of the training.
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
@@ -203,7 +204,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             features, _, begin = line_features(data, offsets)
             for i in range(len(begin) - 1):
                 rows.append(features[begin[i] : begin[i + 1]].astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.binary())], ["quality", "features"])
+        lines = pa.array([len(r) // (4 * (2 * N_FEATURES + 3)) for r in rows], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), batch.column("quality"), lines, pa.array(rows, pa.binary())], ["doc_id", "text_hash", "quality", "lines", "features"])
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame) -> dict | None:
@@ -216,8 +218,17 @@ def learn_quality(docs: DataFrame, labels: DataFrame) -> dict | None:
     sample = ids.orderBy(F.xxhash64("doc_id", "text_hash", F.lit(3)), *keys).limit(TRAIN_DOCS)
     # of repeated rows one is read
     texts = texts.join(F.broadcast(sample), ["doc_id", "text_hash"]).groupBy(*keys).agg(F.min("text").alias("text"))
-    rows = texts.select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(_sampled, "quality int, features binary").collect()
-    rows = [r for r in rows if r.features]
+    given = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", F.col("quality").cast("int").alias("quality"), "text")
+    read_ = written(given.mapInArrow(_sampled, "doc_id long, text_hash long, quality int, lines long, features binary"), "quality-sample").where("lines > 0")
+    order = read_.select("lines", *keys, F.xxhash64("doc_id", "text_hash", F.lit(3)).alias("place")).collect()
+    # whole documents, as long as they fit into TRAIN_LINES
+    room, chosen = TRAIN_LINES, []
+    for r in sorted(order, key=lambda r: (r.place, r.doc_id, r.text_hash, r.quality)):
+        if r.lines <= room:
+            room -= r.lines
+            chosen.append((r.doc_id, r.text_hash, r.quality))
+    taken = docs.sparkSession.createDataFrame(chosen, "doc_id long, text_hash long, quality int")
+    rows = read_.join(F.broadcast(taken), keys).select("quality", "features").collect()
     if len({r.quality for r in rows}) < 2:
         return None
     features = [np.frombuffer(r.features, np.float32).reshape(-1, 2 * N_FEATURES + 3) for r in rows]

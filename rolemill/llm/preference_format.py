@@ -8,7 +8,8 @@ Defined results: turns are ordered by number (null last), then role, then text;
 conversation count once; a null role or text is empty; rows without conversation id belong to no
 conversation and give none; where both sides are equal both completions are empty and
 ``has_preference`` is false; an empty table gives no rows. A conversation is one record and is
-rendered whole, so its own turns must fit in a task; nothing else is gathered.
+rendered whole, so its own turns must fit in a task, and a very long text is a part of it; nothing else
+is gathered. Extra columns stay; one with the name of an added column is replaced by it.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolemill.llm.common import read
+from rolemill.llm.common import read, spread_row
 
 TRAINED_ROLE = "assistant"
+ADDED = ["n_common", "prompt", "chosen_completion", "chosen_spans", "rejected_completion", "rejected_spans", "has_preference"]
 
 
 def gather_turns(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -65,13 +67,15 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     cut = F.coalesce(F.array_position(same, False), F.lit(0))
     common = F.when(cut == 0, F.size(same)).otherwise(cut - 1).cast("int")
     keep = [c for c in pairs.columns if c not in (chosen, rejected)]
-    cutted = pairs.withColumn("n_common", common)
+    # columns of any name may stand beside the two sides, so they are one struct meanwhile
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row")
+    cutted = pairs.select(row, chosen, rejected).withColumn("n_common", common)
     tail = {
         side: F.slice(side, F.col("n_common") + 1, F.greatest(F.size(side) - F.col("n_common"), F.lit(0)))
         for side in (chosen, rejected)
     }
     out = cutted.select(
-        *keep,
+        "row",
         "n_common",
         _text(F.slice(chosen, F.lit(1), F.col("n_common"))).alias("prompt"),
         _text(tail[chosen]).alias("chosen_completion"),
@@ -79,7 +83,7 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
         _text(tail[rejected]).alias("rejected_completion"),
         _spans(tail[rejected]).alias("rejected_spans"),
     )
-    return out.withColumn("has_preference", F.col("chosen_completion") != F.col("rejected_completion"))
+    return spread_row(out.withColumn("has_preference", F.col("chosen_completion") != F.col("rejected_completion")), keep, ADDED)
 
 
 def reply_pairs(turns: DataFrame) -> DataFrame:

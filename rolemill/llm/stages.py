@@ -45,5 +45,5 @@ def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's bucket and batch."""
-    return pack(docs)
+    """Every document with its bucket and batch."""
+    return pack(docs, whole=True)

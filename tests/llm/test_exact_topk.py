@@ -40,3 +40,17 @@ def test_large_numbers_stay_exact(spark):
     rows = [(0, [2.0**20, 1.0]), (1, [2.0**20, 1.0]), (2, [2.0**20, 1.00390625])]
     out = {r.vec_id: r.score for r in search(spark, rows).collect()}
     assert out[2] - out[1] == 256 and out[1] == 2**56 + 65536
+
+
+def test_null_ids_come_last_whatever_the_size(spark):
+    for many in (3, 900):
+        rows = [(0, [1.0])] + [(None, [1.0])] * 3 + [(i, [1.0]) for i in range(1, many)]
+        out = [r.vec_id for r in search(spark, rows).where("query_id = 0").orderBy("rank").collect()]
+        assert out == ([1, 2, None, None, None] if many == 3 else [1, 2, 3, 4, 5])
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        search(spark, [(0, [1e30]), (1, [1.0])])

@@ -64,3 +64,15 @@ def test_held_out_accuracy(spark):
     judged = G.language_query(spark, sf).where("held_out")
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     assert judged.join(truth, "doc_id").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
+
+
+def test_many_short_texts_are_counted_in_bounded_portions():
+    import random
+
+    from rolemill.llm import language_id as L
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40)) for _ in range(3000)]
+    sizes = [(len(p), len(L.ngram_counts(p)[0])) for _, p in L._portions(texts)]
+    assert sum(n for n, _ in sizes) == 3000 and max(n * codes for n, codes in sizes) <= 2 * L.CHUNK_COUNTS
+    assert len(sizes) > 3

@@ -53,3 +53,14 @@ def test_length_bins_are_exact_first_and_few_later(spark):
 
 def test_empty_table(spark):
     assert B.pack(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_whole_rows_are_carried(spark):
+    from rolemill.llm.length_buckets import ADDED, pack
+
+    rows = [(1, "a b", 5), (1, "a b", 5), (None, "c " * 30, 6), (2, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot int")
+    out = pack(df, whole=True)
+    assert out.columns == ["text", *ADDED]
+    assert sorted((str(r.doc_id), str(r.text), r.n_tokens) for r in out.collect()) == sorted((str(i), str(t), len((t or "").split())) for i, t, _ in rows)
+    assert pack(df.limit(0), whole=True).columns == out.columns

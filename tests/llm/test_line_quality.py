@@ -69,6 +69,16 @@ def test_trains_on_all_lines_of_different_documents(spark, monkeypatch):
     assert [sorted(zip(*s)) for s in seen] == [[(1, 0), (100, 1)]]
 
 
+def test_lines_of_the_sample_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "train", lambda features, begin, labels: seen.append(int(begin[-1])))
+    monkeypatch.setattr(Q, "TRAIN_LINES", 150)
+    rows = [(i, "\n".join([GOOD] * 40)) for i in range(9)] + [(100, "\n".join([GOOD] * 200))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(101)], "doc_id long, quality int")
+    Q.learn_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert seen == [120]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{sf}/labels.parquet")

@@ -50,3 +50,15 @@ def test_one_side_is_a_prefix_of_the_other(spark):
 
 def test_empty_table(spark):
     assert P.format_preferences(P.reply_pairs(spark.createDataFrame([], KIND))).count() == 0
+
+
+def test_columns_of_clashing_names(spark):
+    from rolemill.llm.preference_format import ADDED, format_preferences
+
+    turn = "array<struct<role string, text string>>".replace("role string", "role:string").replace("text string", "text:string")
+    rows = [(1, [("user", "hi"), ("assistant", "yes")], [("user", "hi"), ("assistant", "no")], "p", 7, "x")]
+    df = spark.createDataFrame(rows, f"id long, chosen {turn}, rejected {turn}, PROMPT string, n_common int, row string")
+    out = format_preferences(df)
+    assert out.columns == ["id", "row", *ADDED]
+    r = out.first()
+    assert (r.id, r.row, r.n_common, r.has_preference) == (1, "x", 1, True) and "yes" in r.chosen_completion
