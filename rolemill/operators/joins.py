@@ -222,15 +222,25 @@ def merge_overwrite(target: DataFrame, incoming: DataFrame, key: str, fields) ->
     return joined.withColumns(filled).select(*target.columns)
 
 
-def unleased(rows: DataFrame, leases: DataFrame, table_name: str) -> DataFrame:
-    """Rows whose identity is not in an active lease of the table."""
-    active = leases.filter(
+def _active(leases: DataFrame, table_name: str) -> DataFrame:
+    """Identities in active leases of a table."""
+    return leases.filter(
         (F.col("state") == "leased")
         & (F.col("table_name") == table_name)
         & (F.col("stable_key") != "")
         & (F.col("snapshot_hash") != "")
     ).select("stable_key", "snapshot_hash")
-    return rows.join(active, ["stable_key", "snapshot_hash"], "left_anti")
+
+
+def unleased(rows: DataFrame, leases: DataFrame, table_name: str) -> DataFrame:
+    """Rows whose identity is not in an active lease of the table."""
+    return rows.join(_active(leases, table_name), ["stable_key", "snapshot_hash"], "left_anti")
+
+
+def mark_leased(rows: DataFrame, leases: DataFrame, table_name: str) -> DataFrame:
+    """Rows with ``leased``: whether their identity is in an active lease of the table."""
+    active = _active(leases, table_name).distinct().withColumn("leased", F.lit(True))
+    return rows.join(active, ["stable_key", "snapshot_hash"], "left").withColumn("leased", F.coalesce("leased", F.lit(False)))
 
 
 def apply_actions(actions: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from rolemill.operators import filters, joins
 from rolemill.operators.settings import notify_message
 from rolemill.operators.winners import SEQ, attach_group, first_rows
 from rolemill.plans.leases import daily_quota
+from rolemill.session import written
 
 CAP_ERROR = "Daily task enqueue cap reached"
 NOTIFY_ERROR = "Daily notify cap reached"
@@ -241,7 +242,8 @@ def sync_job_states(table: DataFrame, updates: DataFrame, as_of: Column) -> Data
 
     When two updates meet one row the later one wins.
     """
-    matched = joins.update_match(updates, table).filter(F.col("row_num").isNotNull())
+    # a few numbers a match: what follows reads both sides once more, not the matching
+    matched = written(joins.update_match(updates, table).filter(F.col("row_num").isNotNull()), "matched")
     fields = ["JobRateNum", "JobRateDesc", "JobRateShortDesc", "RatedModelName", "Status"]
     carried = matched.join(updates.select(SEQ, *fields), SEQ).groupBy(F.col("row_num").alias("_row")).agg(
         F.max_by(F.struct(*fields), SEQ).alias("_u")

@@ -161,22 +161,17 @@ def candidates(df: DataFrame) -> DataFrame:
 
 def lease_skips(df: DataFrame, leases: DataFrame, table_name: str) -> DataFrame:
     """One row: how many rows were passed over, and why."""
-    rows = candidates(df).select(SEQ, "identity", "stable_key", "snapshot_hash")
-    counts = rows.groupBy("identity", "stable_key", "snapshot_hash").agg(F.count(F.lit(1)).alias("n"))
-    free = joins.unleased(counts.filter("n = 1"), leases, table_name)
-    asked = df.filter(trim("Status") == "2LRate").agg(F.count(F.lit(1)).alias("asked"))
-    return asked.withColumns(
-        {
-            "named": counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar(),
-            "skipped_duplicate": counts.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n")).scalar(),
-            "_once": counts.agg(F.count_if(F.col("n") == 1).alias("n")).scalar(),
-            "free": free.agg(F.count(F.lit(1)).alias("n")).scalar(),
-        }
-    ).select(
-        (F.col("asked") - F.col("named")).alias("skipped_missing"),
-        "skipped_duplicate",
-        (F.col("_once") - F.col("free")).alias("skipped_leased"),
-        F.col("free").alias("issued"),
+    asked = df.filter(trim("Status") == "2LRate").select(stable_key("JobId", "JobUrl").alias("stable_key"), snapshot_hash(df.columns).alias("snapshot_hash"))
+    named = F.col("stable_key") != ""
+    counts = asked.groupBy("stable_key", F.when(named, F.col("snapshot_hash")).alias("snapshot_hash")).agg(F.count(F.lit(1)).alias("n"))
+    judged = joins.mark_leased(counts, leases, table_name)
+    once = named & (F.col("n") == 1)
+    total = lambda rule: F.coalesce(F.sum(F.when(rule, F.col("n"))), F.lit(0))
+    return judged.agg(
+        total(~named).alias("skipped_missing"),
+        total(named & (F.col("n") > 1)).alias("skipped_duplicate"),
+        F.count_if(once & F.col("leased")).alias("skipped_leased"),
+        F.count_if(once & ~F.col("leased")).alias("issued"),
     )
 
 

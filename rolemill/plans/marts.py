@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolemill.functions.text import trim
+from rolemill.functions.text import text, trim
 from rolemill.functions.values import lenient_number
-from rolemill.operators import joins, moves, order, schema
+from rolemill.operators import joins, order, schema
 from rolemill.operators.winners import SEQ
+from rolemill.session import written
 
 
 def mart_rows(df: DataFrame) -> DataFrame:
@@ -36,7 +37,8 @@ def register_applications(selected: DataFrame, rows: DataFrame, as_of: Column) -
 
 def propagate(selected: DataFrame, rows: DataFrame, status: str) -> tuple[DataFrame, DataFrame]:
     """Set the status of the rows that selected items match; counts of updated rows and missed items."""
-    matched = joins.application_match(selected, rows)
+    # read by the update and by the counts
+    matched = written(joins.application_match(selected, rows), "matched")
     hit = matched.filter(F.col("row_num").isNotNull()).select(F.col("row_num").alias(SEQ)).distinct()
     joined = rows.join(hit.withColumn("_hit", F.lit(True)), SEQ, "left")
     updated = joined.withColumn("Status", F.when(F.col("_hit"), status).otherwise(F.col("Status"))).drop("_hit")
@@ -48,7 +50,9 @@ def propagate(selected: DataFrame, rows: DataFrame, status: str) -> tuple[DataFr
 
 def mark_selected(mart: DataFrame, selected: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Selected mart rows to 2Delete, passed on to the table by matching."""
-    marked = moves.mark_selected(mart, selected)
-    chosen = mart.join(selected.select(SEQ), SEQ, "left_semi").filter(trim("Status").isin("2Apply", "Applied"))
+    flagged = written(mart.join(selected.select(SEQ, F.lit(True).alias("_sel")), SEQ, "left"), "flagged")
+    hit = F.col("_sel") & trim("Status").isin("2Apply", "Applied")
+    chosen = flagged.filter(hit).drop("_sel")
+    marked = flagged.withColumn("Status", F.when(hit, "2Delete").otherwise(text("Status"))).drop("_sel")
     updated, counts = propagate(chosen, rows, "2Delete")
     return marked, updated, counts
