@@ -50,6 +50,8 @@ GROUPS = 256
 TOGETHER = 4
 #: Sets of a cell, and children of a node of its tree.
 CELL, FAN = 512, 16
+#: Meetings of up to FEW rows are compared without a tree; so many rows of meetings are taken at a time.
+FEW, TAKEN = 24, 4096
 #: Pairs of a set and cell that step 2 verifies.
 BEST = 2
 #: Texts whose shingles are counted to find common ones, in how many of them a shingle is common, and how
@@ -257,33 +259,71 @@ class CountTree:
         return query[passed], found[passed]
 
 
-def _found_in(cell: pa.Table, best: int | None, need: int) -> pa.Table:
-    """Pairs of different clusters that the tree lets pass, of one cell or of two cells that meet.
-
-    With ``best``, only so many of each set, those with the largest bound for their sizes.
+def _in_small(meet: np.ndarray, side: np.ndarray, alone: np.ndarray, n: np.ndarray, points: np.ndarray, apart, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs of small meetings, of which all are compared; rows are in the order of ``meet``."""
+    found = []
+    for ahead in range(1, FEW):
+        i = np.flatnonzero(meet[:-ahead] == meet[ahead:])
+        j = i + ahead
+        fits = (alone[i] | (side[i] != side[j])) & apart(i, j)
+        # what the sizes alone rule out isn't compared
+        fits &= np.minimum(n[i], n[j]) * (HUNDRED + need) >= (n[i] + n[j]) * need
+        i, j = i[fits], j[fits]
+        for s in range(0, len(i), 1 << 12):
+            x, y = i[s : s + (1 << 12)], j[s : s + (1 << 12)]
+            most = np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64)
+            passed = most * (HUNDRED + need) >= (n[x] + n[y]) * need
+            found.append((x[passed], y[passed]))
+    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return i, j
+
+
+def _found_in(cells: pa.Table, best: int | None, need: int) -> pa.Table:
+    """Pairs of different clusters that the bound lets pass, of many meetings.
+
+    A meeting is a cell by itself or two cells (sides) that meet. Where it has more than FEW rows, a
+    tree finds the pairs. With ``best``, only so many of each set, those with the largest bound for
+    their sizes.
     """
-    side = cell["side"].to_numpy()
-    node, cluster, n = (cell[c].to_numpy() for c in ("node", "cluster", "n"))
-    points = cell["vector"].combine_chunks().flatten().to_numpy().reshape(-1, GROUPS).astype(np.int32)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    alone = not len(right)
-    right = left if alone else right
-    tree = CountTree(points[right], n[right], need)
-    q, p = tree.search(points[left], n[left])
-    a, b = left[q], right[p]
-    keep = (cluster[a] != cluster[b]) & (node[a] != node[b])
-    a, b = a[keep], b[keep]
+    cells = cells.sort_by([("meet", "ascending"), ("side", "ascending")]).combine_chunks()
+    meet, side, node, cluster, n = (cells[c].to_numpy() for c in ("meet", "side", "node", "cluster", "n"))
+    points = cells["vector"].combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+    starts = np.flatnonzero(np.concatenate([[True], meet[1:] != meet[:-1]]))
+    sizes = np.diff(np.append(starts, len(meet)))
+    alone = np.repeat(np.add.reduceat(side, starts) == 0, sizes)
+    apart = lambda i, j: (cluster[i] != cluster[j]) & (node[i] != node[j])
+
+    few = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+    i, j = _in_small(meet[few], side[few], alone[few], n[few], points[few], lambda i, j: apart(few[i], few[j]), need)
+    pairs = [(few[i], few[j])]
+    for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        rows = np.arange(start, start + size)
+        left, right = rows[side[rows] == 0], rows[side[rows] == 1]
+        right = right if len(right) else left
+        q, p = CountTree(points[right], n[right], need).search(points[left], n[left])
+        i, j = left[q], right[p]
+        keep = apart(i, j)
+        pairs.append((i[keep], j[keep]))
+    i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
     if best is not None:
-        most = np.minimum(tree.coarse(points[a]), tree.coarse(points[b])).sum(axis=1) / (n[a] + n[b])
-        order = np.lexsort((b, -most, a))
-        own = a[order]
+        i, j = np.concatenate([i, j]), np.concatenate([j, i])
+        most = np.minimum(CountTree.coarse(points[i]), CountTree.coarse(points[j])).sum(axis=1) / (n[i] + n[j])
+        order = np.lexsort((node[j], -most, i))
+        own = i[order]
         place = np.arange(len(own)) - np.searchsorted(own, own)
-        a, b = own[place < best], b[order][place < best]
-    a, b = node[a], node[b]
+        i, j = own[place < best], j[order][place < best]
+    a, b = node[i], node[j]
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
+def _in_batches(rows: DataFrame, best: int | None, need: int) -> DataFrame:
+    """Meetings, many of which are small, some thousand rows at a time."""
+    parts = max(1, -(-rows.count() // TAKEN))
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("meet"), F.lit(parts)))
+    return dealt.groupBy("batch").applyInArrow(lambda cells: _found_in(cells, best, need), "a long, b long").distinct()
+
+
 def cross_pairs(keys: DataFrame, points: DataFrame, clusters: DataFrame, best: bool, need: int) -> DataFrame:
     """Candidates (a, b) of different clusters that share a key; with ``best`` the best of each cell."""
     own = keys.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
@@ -297,7 +337,7 @@ def cross_pairs(keys: DataFrame, points: DataFrame, clusters: DataFrame, best: b
     shape = ["meet", "side", "node", "cluster", "n", "vector"]
     if best:
         alone = member.select(F.xxhash64("key", "band", "part").alias("meet"), F.lit(0).alias("side"), "node", "cluster", "n", "vector")
-        return alone.groupBy("meet").applyInArrow(lambda cell: _found_in(cell, BEST, need), "a long, b long").distinct()
+        return _in_batches(alone, BEST, need)
     cells = member.groupBy("key", "band", "part").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"))
     cells = written(cells.withColumn("cell", F.xxhash64("key", "band", "part")), "cells")
     # pairs of cells, not of rows; a cell meets those after it in its band and all in the next
@@ -309,7 +349,7 @@ def cross_pairs(keys: DataFrame, points: DataFrame, clusters: DataFrame, best: b
     right = meets.where(~F.col("self")).select("key", F.col("band2").alias("band"), F.col("part2").alias("part"), "meet")
     right = member.join(right, ["key", "band", "part"]).withColumn("side", F.lit(1))
     rows = left.select(*shape).unionByName(right.select(*shape))
-    return rows.groupBy("meet").applyInArrow(lambda cell: _found_in(cell, None, need), "a long, b long").distinct()
+    return _in_batches(rows, None, need)
 
 
 def jaccard_classes(docs: DataFrame, like: Likeness = QUERY) -> DataFrame:

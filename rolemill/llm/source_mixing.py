@@ -12,8 +12,8 @@ cut go by about sqrt(blocks) ranges of a source's blocks and then by the blocks
 no window holds all blocks of a hot source. The driver sees two sums per tried exponent, no more.
 
 Defined results: a null source is a source of its own; a source without tokens has weight 0 and
-gives no rows; documents without tokens follow their block; repeated rows and equal doc_ids share a
-block; an empty table gives no rows; extra columns are kept, but for
+gives no rows; documents without tokens follow their block; rows of equal id and text share a block,
+others are spread, also where ids are null or equal; an empty table gives no rows; extra columns are kept, but for
 ones named mix_pass or mix_block, which are replaced.
 """
 
@@ -92,11 +92,16 @@ def exponent(sources: DataFrame, total: int, budget: float, mix: Mix) -> float:
     return max(flat, _bisect(sources, total, budget, lambda _, r: r > mix.max_repeats))
 
 
+def _own_key() -> Column:
+    """What a document's block is a hash of: its id and text, so rows without an id, or of one id, are spread too."""
+    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+
+
 def mixing_plan(documents: DataFrame, mix: Mix) -> DataFrame:
     """One row per source that is taken: source_key, blocks, passes, and the cut of the last pass."""
     thin = rows_of(
         documents,
-        {"source_key": _source_key(), "id": F.col("doc_id").cast("string"), "tokens": token_count()},
+        {"source_key": _source_key(), "id": _own_key(), "tokens": token_count()},
         "tokens",
     )
     sources = written(thin.groupBy("source_key").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "sources")
@@ -144,7 +149,7 @@ def _range() -> Column:
 
 def place(docs: DataFrame, mix: Mix) -> DataFrame:
     """Add a document's block and the block's place in the partial pass; needs id, blocks, passes."""
-    block = F.pmod(_digits(F.lit("doc"), F.coalesce("id", F.lit(""))), F.col("blocks"))
+    block = F.pmod(_digits(F.lit("doc"), F.col("id")), F.col("blocks"))
     docs = docs.withColumn("block", block)
     return docs.withColumn("place", _digits(F.lit(mix.seed), F.col("passes"), F.col("source_key"), F.col("block")))
 
@@ -155,7 +160,7 @@ def mix_sources(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     Needs doc_id, text and source. Within a pass, blocks are read in the order of their hashed places.
     """
     plan = mixing_plan(documents, mix)
-    inner = documents.select(whole_row(documents).alias("row"), _source_key().alias("source_key"), F.col("doc_id").cast("string").alias("id"))
+    inner = documents.select(whole_row(documents).alias("row"), _source_key().alias("source_key"), _own_key().alias("id"))
     placed = place(inner.join(plan, "source_key"), mix)
     last = (_range() < F.col("cut_range")) | ((_range() == F.col("cut_range")) & (F.col("place") <= F.col("cut")))
     copies = F.col("passes") + F.when(last, 1).otherwise(0)
@@ -172,7 +177,7 @@ def mixing_query(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH RECURSIVE thin AS (
-  SELECT doc_id, source, coalesce('s' || source, 'n') AS k, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS k, coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) AS id,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens
   FROM documents
 ), s AS (SELECT k, sum(tokens)::DOUBLE AS n FROM thin GROUP BY k HAVING sum(tokens) > 0),
