@@ -317,9 +317,9 @@ def _found_in(cells: pa.Table, best: int | None, need: int) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
-def _in_batches(rows: DataFrame, best: int | None, need: int) -> DataFrame:
-    """Meetings, many of which are small, some thousand rows at a time."""
-    parts = max(1, -(-rows.count() // TAKEN))
+def _in_batches(rows: DataFrame, total: int, best: int | None, need: int) -> DataFrame:
+    """Meetings, many of which are small, some thousand rows at a time; ``total`` is the number of rows."""
+    parts = max(1, -(-total // TAKEN))
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("meet"), F.lit(parts)))
     return dealt.groupBy("batch").applyInArrow(lambda cells: _found_in(cells, best, need), "a long, b long").distinct()
 
@@ -327,7 +327,10 @@ def _in_batches(rows: DataFrame, best: int | None, need: int) -> DataFrame:
 def cross_pairs(keys: DataFrame, points: DataFrame, clusters: DataFrame, best: bool, need: int) -> DataFrame:
     """Candidates (a, b) of different clusters that share a key; with ``best`` the best of each cell."""
     own = keys.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    mixed = own.groupBy("key").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("size")).where("x <> y")
+    seen = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    mixed = own.groupBy("key").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("size"), *seen).where("x <> y")
+    # keys of the same sets (as all those of a passage that two texts share) are one: 128 bits of hash tell
+    mixed = mixed.groupBy("size", "h1", "h2").agg(F.min("key").alias("key"))
     mixed = written(mixed.select("key", "size"), "mixed-keys")
     member = own.join(mixed, "key").join(points, "node")
     # sets of linkable sizes are in one band or in neighbour bands
@@ -337,19 +340,20 @@ def cross_pairs(keys: DataFrame, points: DataFrame, clusters: DataFrame, best: b
     shape = ["meet", "side", "node", "cluster", "n", "vector"]
     if best:
         alone = member.select(F.xxhash64("key", "band", "part").alias("meet"), F.lit(0).alias("side"), "node", "cluster", "n", "vector")
-        return _in_batches(alone, BEST, need)
-    cells = member.groupBy("key", "band", "part").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"))
+        return _in_batches(alone, member.count(), BEST, need)
+    cells = member.groupBy("key", "band", "part").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("members"))
     cells = written(cells.withColumn("cell", F.xxhash64("key", "band", "part")), "cells")
     # pairs of cells, not of rows; a cell meets those after it in its band and all in the next
-    ahead = cells.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("cell").alias("cell2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    ahead = cells.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("cell").alias("cell2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("members").alias("members2"))
     meets = cells.join(ahead, ["key", "band"]).where((F.col("band2") > F.col("band")) | (F.col("part2") >= F.col("part")))
     meets = meets.where((F.least("x", "x2") != F.greatest("y", "y2"))).withColumn("meet", F.xxhash64("cell", "cell2"))
-    meets = written(meets.select("key", "band", "part", "band2", "part2", "meet", (F.col("cell") == F.col("cell2")).alias("self")), "meetings")
+    meets = written(meets.select("key", "band", "part", "band2", "part2", "meet", (F.col("cell") == F.col("cell2")).alias("self"), "members", "members2"), "meetings")
     left = member.join(meets.select("key", "band", "part", "meet"), ["key", "band", "part"]).withColumn("side", F.lit(0))
     right = meets.where(~F.col("self")).select("key", F.col("band2").alias("band"), F.col("part2").alias("part"), "meet")
     right = member.join(right, ["key", "band", "part"]).withColumn("side", F.lit(1))
     rows = left.select(*shape).unionByName(right.select(*shape))
-    return _in_batches(rows, None, need)
+    total = meets.agg(F.sum(F.col("members") + F.when(F.col("self"), 0).otherwise(F.col("members2")))).first()[0] or 0
+    return _in_batches(rows, total, None, need)
 
 
 def jaccard_classes(docs: DataFrame, like: Likeness = QUERY) -> DataFrame:
