@@ -64,18 +64,18 @@ def result_jobs(results: DataFrame) -> DataFrame:
     return rows.join(firsts.select(SEQ), SEQ, "left_semi")
 
 
-def upsert_jobs(jobs: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
+def upsert_jobs(jobs: DataFrame, batch: DataFrame, as_of: Column, once: bool = False) -> DataFrame:
     """New ids enter in their initial state, known ones refresh text and sight, the rest stay.
 
     ``batch`` holds an id once (the latest run of a micro-batch), with ``runs`` if several of its
-    runs may have seen it. A row that the same run has written stays as it is.
+    runs may have seen it. With ``once`` a row that the same run has written stays as it is.
     """
     runs = F.col("runs") if "runs" in batch.columns else F.lit(1)
     fresh = batch.select("job_id", runs.alias("_n_runs"), *[F.col(c).alias(f"_n_{c}") for c in SEEN])
     joined = jobs.join(fresh, "job_id", "full_outer")
     known = F.col("first_seen_at").isNotNull()
     applied = F.coalesce(known & (F.col("scrape_run_id") == F.col("_n_scrape_run_id")), F.lit(False))
-    seen = F.col("_n_source_id").isNotNull() & ~applied
+    seen = F.col("_n_source_id").isNotNull() & (~applied if once else F.lit(True))
     new = seen & ~known
     out = {c: F.when(seen, F.col(f"_n_{c}")).otherwise(F.col(c)) for c in SEEN}
     out["last_seen_at"] = F.when(seen, as_of).otherwise(F.col("last_seen_at"))

@@ -45,4 +45,4 @@ def upsert(folder: str, schema, batch: DataFrame, as_of: Column, buckets: int =
     if not numbers:
         return
     own = read(batch.sparkSession, folder, schema).filter(F.col(BUCKET).isin(numbers)).drop(BUCKET)
-    write(cloud.upsert_jobs(own, batch, as_of), folder, buckets)
+    write(cloud.upsert_jobs(own, batch, as_of, once=True), folder, buckets)
