@@ -547,7 +547,7 @@ projection(
     ID,
     {
         "day": (
-            lambda: F.date_format(values.relative_date("posted", _now()), "yyyy-MM-dd"),
+            lambda: values.day_text(values.relative_date("posted", _now())),
             f"""strftime(CASE row_seq % 12
               WHEN 0 THEN DATE '2024-03-31' - to_days(CAST(num AS INTEGER)) WHEN 1 THEN DATE '2024-03-31' - to_days(CAST(7 * num AS INTEGER))
               WHEN 2 THEN {_month} WHEN 6 THEN date_trunc('day', ts) WHEN 7 THEN date_trunc('day', ts)

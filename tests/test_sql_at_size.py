@@ -15,3 +15,12 @@ def differs(spark, folder, query, **tables):
 def test_a_cent_does_not_outweigh_20_000_order_numbers(spark, tmp_path):
     orders = [(0, 1, 100.0), (20_000, 1, 100.01), (5, 2, 7.0), (6, 2, 7.01), (7, 3, 1.99)]
     assert differs(spark, tmp_path, "best_candidate", orders=(orders, "o_orderkey long, o_custkey long, o_totalprice double")) == ""
+
+
+def test_relative_dates_before_year_0(spark, tmp_path):
+    months = [(12 * i + 2, n) for i, n in enumerate((5, 24_279, 24_291, 24_300, 36_000, 150_000))]
+    days = [(10, 1)] + [(12 * i, n) for i, n in enumerate((0, 400_000, 738_000, 739_500, 900_000), 10)]
+    spark.createDataFrame(months + days, "event_id long, user_id long").createOrReplaceTempView("asked")
+    rows = [tuple(r) for r in spark.sql("SELECT event_id, user_id, 'a', 1.0D, timestamp_ntz'2024-01-01', '' FROM asked").collect()]
+    kind = "event_id long, user_id long, event_type string, value double, ts timestamp_ntz, props string"
+    assert differs(spark, tmp_path, "parse_relative_date", events=(rows, kind)) == ""
