@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rolemill.catalog import sqltext as q
 from rolemill.catalog.extraction import escaped, page_texts
@@ -284,9 +285,11 @@ def stream_quota(spark, sf):
       WHERE event_type = 'error' OR ts + INTERVAL 240 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 )
 def stream_lease_ttl(spark, sf):
-    events = events_to_merge(spark, sf).select("event_id", F.col("event_id").cast("string").alias("lease_id"), F.when(F.col("event_type") == "error", "saved").otherwise("leased").alias("state"), "at")
-    outcomes = changes_in_arrivals(spark, events, "event_id", lambda stream: S.lease_outcomes(stream, 240, "1 hour"), parts=3)
-    return S.latest(outcomes, "lease_id", "ended_at").select("lease_id", "state")
+    """Lease events arrive in the order of their times."""
+    events = events_to_merge(spark, sf).select(F.unix_micros("at").alias("micros"), F.col("event_id").cast("string").alias("lease_id"), F.when(F.col("event_type") == "error", "saved").otherwise("leased").alias("state"), "at")
+    folder = new_folder(spark, "lease-book")
+    in_arrivals(spark, events, "micros", lambda stream, check: S.fold_leases(stream, folder, check, 240, "1 hour"), parts=3)
+    return S.latest(S.read_changes(spark, f"{folder}/changes", StructType.fromDDL(S.OUTCOME)), "lease_id", "ended_at").select("lease_id", "state")
 
 
 @query("stream_events_sink", "SELECT event_type, CAST(user_id AS VARCHAR) AS job_id, count(*) AS n FROM events GROUP BY 1, 2")

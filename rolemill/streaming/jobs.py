@@ -266,11 +266,58 @@ class LeaseTtl(StatefulProcessor):
 
 
 def lease_outcomes(stream: DataFrame, minutes: int = 240, delay: str = "1 hour", keep_hours: int = 72) -> DataFrame:
-    """Changes of outcomes (lease_id, state, ended_at) of a stream of lease events (lease_id, state, at)."""
+    """Changes of outcomes (lease_id, state, ended_at) of a stream of lease events (lease_id, state, at).
+
+    Each lease costs some calls between Python and the state store; ``fold_leases`` is for millions of them.
+    """
     events = stream.withWatermark("at", delay).filter("lease_id IS NOT NULL AND state IS NOT NULL AND at IS NOT NULL")
     return keyed(events, ["lease_id"], LeaseTtl(minutes, keep_hours), "lease_id string, state string, ended_at timestamp")
 
 
+OUTCOME = "lease_id string, state string, ended_at timestamp"
+
+
+def fold_leases(stream: DataFrame, folder: str, checkpoint: str, minutes: int = 240, delay: str = "1 hour", keep_hours: int = 72) -> None:
+    """The rule of ``LeaseTtl`` for many leases at a time: their changes of outcome go below ``folder``/changes.
+
+    A micro-batch joins its events to the table of the leases that are kept and writes the next one. Two
+    tables take turns, so a batch that is tried again finds the one it began with. The time that the
+    watermark has reached lies beside each table; events at or before it are late and left out.
+    """
+    limit, keep, lag = (F.expr(f"INTERVAL {x}") for x in (f"{minutes} MINUTE", f"{keep_hours} HOUR", delay))
+    held = "lease_id string, issued timestamp, end struct<at:timestamp,state:string>, told string, due timestamp, changed boolean"
+    reached = "reached timestamp"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        read = lambda name, kind, back: spark.read.schema(kind).parquet(f"{folder}/{name}-{(batch_id - back) % 2}")
+        write = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}-{batch_id % 2}")
+        before = read("reached", reached, 1).agg(F.max("reached").alias("reached"))
+        write(batch.agg((F.max("at") - lag).alias("reached")).union(before).agg(F.max("reached").alias("reached")), "reached")
+
+        events = batch.filter("lease_id IS NOT NULL AND state IS NOT NULL AND at IS NOT NULL").crossJoin(F.broadcast(before))
+        issue = F.col("state") == "leased"
+        seen = events.filter("reached IS NULL OR at > reached").select(
+            "lease_id", F.when(issue, F.col("at")).alias("issued"), F.when(~issue, F.struct("at", "state")).alias("end"), F.lit(None).cast("string").alias("told")
+        )
+        kept = read("leases", held, 1).crossJoin(F.broadcast(before)).filter(F.col("due") + keep > F.col("reached")).select(*seen.columns)
+        leases = kept.unionByName(seen).groupBy("lease_id").agg(*[f(c).alias(c) for f, c in ((F.min, "issued"), (F.min, "end"), (F.max, "told"))])
+        due = F.coalesce("issued", "end.at") + limit
+        in_time = F.col("end").isNotNull() & (F.col("issued").isNull() | (F.col("end.at") <= F.col("issued") + limit))
+        now = F.when(in_time, F.col("end.state")).when(due <= F.col("reached"), "expired")
+        judged = leases.crossJoin(F.broadcast(read("reached", reached, 0))).withColumns({"due": due, "now": now})
+        write(judged.select("lease_id", "issued", "end", F.coalesce("now", "told").alias("told"), "due", (F.col("now").isNotNull() & ~F.col("now").eqNullSafe(F.col("told"))).alias("changed")), "leases")
+
+        ended_at = F.when(in_time, F.col("end.at")).otherwise(F.col("due"))
+        changes = read("leases", held, 0).filter("changed").select("lease_id", F.col("told").alias("state"), ended_at.alias("ended_at"))
+        changes.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
+
+    for name, kind in (("leases", held), ("reached", reached)):
+        for turn in (0, 1):
+            stream.sparkSession.createDataFrame([], kind).write.mode("append").parquet(f"{folder}/{name}-{turn}")
+    run_available(stream.writeStream.foreachBatch(step), checkpoint)
+
+
 # --- failures of sources ----------------------------------------------------------------
 
 
