@@ -23,8 +23,8 @@ def bucket_of(buckets: int) -> Column:
 
 
 def write(jobs: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
-    """Replace the partitions that the jobs fall into, each written by one task."""
-    placed = jobs.withColumn(BUCKET, bucket_of(buckets)).repartition(buckets, BUCKET)
+    """Replace the partitions that the jobs fall into; Spark writes a large one by several tasks, of its advisory size each."""
+    placed = jobs.withColumn(BUCKET, bucket_of(buckets)).hint("rebalance", BUCKET)
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(folder)
 
 
