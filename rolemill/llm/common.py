@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolemill.session import new_folder, written
+from rolemill.session import discard, new_folder, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["SPACES", "WORD", "new_folder", "read", "rows_of", "spread_row", "token_count", "whole_row", "written"]
+__all__ = ["SPACES", "WORD", "discard", "new_folder", "read", "rows_of", "spread_row", "token_count", "whole_row", "written"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

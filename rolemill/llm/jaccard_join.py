@@ -14,14 +14,18 @@ counted on a bounded sample of the texts. Any order gives the same links; this o
 that many documents share out of their keys, so that they don't meet by it.
 
 Links are found in three steps, so that a group of n near copies isn't expanded into n**2 pairs:
-1. By each key every set is compared with the key's first set; links join sets to clusters.
-2. Where sets of different clusters still share a key, they are dealt to cells of bounded size (by
+1. By each key every set is compared with the key's first set; links join sets to clusters. The first
+   set has met all others then and takes no part in what follows.
+2. Where other sets of a key are still of different clusters, they are dealt to cells of bounded size (by
    set size, then by hash). A tree in each cell finds the pairs that the bound lets pass, and the few
    best of each set are verified. Sets that hang together in any way mostly join one cluster here.
 3. Cells of a key whose sets are still of different clusters meet each other, and all pairs of
    different clusters that the trees let pass are verified.
 A pair that is never compared is in one cluster already, so no component is missed.
 
+Count vectors join rows only where sets meet, verifying carries texts and not their (larger) sets, and
+a table that nothing reads any more is deleted, so that the disk in use stays near the input's size.
+
 Defined results: text without words, or null, has the empty set and links with nothing; with fewer than
 a shingle's words the whole sequence is the one shingle; equal sets are one node, so copies cost nothing
 beyond the first; equal doc_ids are separate rows; a null doc_id is no component's smallest unless
@@ -32,7 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolemill.llm.arrow_text import chunks, mix, words
-from rolemill.llm.common import read, whole_row, written
+from rolemill.llm.common import discard, read, whole_row, written
 from rolemill.llm.components import components
 from rolemill.session import ship_package
 
@@ -52,6 +56,8 @@ TOGETHER = 4
 CELL, FAN = 512, 16
 #: Meetings of up to FEW rows are compared without a tree; so many rows of meetings are taken at a time.
 FEW, TAKEN = 24, 4096
+#: Pairs whose sets a task holds at a time when verifying.
+HELD = 256
 #: Pairs of a set and cell that step 2 verifies.
 BEST = 2
 #: Texts whose shingles are counted to find common ones, in how many of them a shingle is common, and how
@@ -151,18 +157,22 @@ def _described(batches: Iterator[pa.RecordBatch], like: Likeness, common) -> Ite
 
 
 def _expanded(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    """Sets of texts; of rows that stand for one node a task reads one."""
-    seen: set[int] = set()
+    """Sets of texts."""
     for batch in batches:
-        fresh = []
-        for node in batch.column("node").to_pylist():
-            fresh.append(node not in seen)
-            seen.add(node)
-        batch = batch.filter(pa.array(fresh, pa.bool_()))
         for start, end, data, offsets in chunks(batch.column("text")):
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(start, end - start), _lists(shingle_sets(data, offsets, like.width), pa.int64())], ["node", "shingles"])
 
 
+def _similar(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose texts x and y have sets that are similar enough."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, HELD):
+            part = batch.slice(at, HELD)
+            xs, ys = ([s for _, _, data, offsets in chunks(part.column(c)) for s in shingle_sets(data, offsets, like.width)] for c in ("x", "y"))
+            same = [len(np.intersect1d(x, y, assume_unique=True)) * (HUNDRED + like.need) >= (len(x) + len(y)) * like.need for x, y in zip(xs, ys)]
+            yield part.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
@@ -190,19 +200,16 @@ def bound(a: Column, b: Column) -> Column:
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough."""
+    """The pairs (a, b) of nodes whose sets are similar enough, as a written table."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     found = nodes.join(wanted, "node").select("node", "doc_id", "text_hash")
-    found = written(found, "asked")
-    texts = _hashed(docs).withColumnRenamed("doc_id", "id").join(found, "text_hash").where(F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
-    sets = texts.mapInArrow(partial(_expanded, like=like), "node long, shingles array<long>")
-    # rows that agree in id and text stand for one node, and may have been read by several tasks
-    sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    met = pairs.join(one, "a").join(two, "b")
-    same = F.size(F.array_intersect("x", "y")).cast("long")
-    return met.where(enough(same, F.size("x").cast("long"), F.size("y").cast("long"), like.need)).select("a", "b").distinct()
+    texts = _hashed(docs).withColumnRenamed("doc_id", "id").join(found, "text_hash").where(F.col("id").eqNullSafe(F.col("doc_id")))
+    # rows that agree in id and text stand for one node
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "asked")
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    return written(met.mapInArrow(partial(_similar, like=like), "a long, b long"), "similar", gone=[texts])
 
 
 class CountTree:
@@ -325,35 +332,40 @@ def _in_batches(rows: DataFrame, total: int, best: int | None, need: int) -> Dat
 
 
 def cross_pairs(keys: DataFrame, points: DataFrame, clusters: DataFrame, best: bool, need: int) -> DataFrame:
-    """Candidates (a, b) of different clusters that share a key; with ``best`` the best of each cell."""
+    """Candidates (a, b) of different clusters that share a key, written; with ``best`` the best of each cell."""
     own = keys.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     seen = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
     mixed = own.groupBy("key").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("size"), *seen).where("x <> y")
     # keys of the same sets (as all those of a passage that two texts share) are one: 128 bits of hash tell
     mixed = mixed.groupBy("size", "h1", "h2").agg(F.min("key").alias("key"))
     mixed = written(mixed.select("key", "size"), "mixed-keys")
-    member = own.join(mixed, "key").join(points, "node")
     # sets of linkable sizes are in one band or in neighbour bands
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(HUNDRED / need)))
     part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / CELL))
-    member = written(member.select("key", band.alias("band"), part.alias("part"), "node", "cluster", "n", "vector"), "members")
-    shape = ["meet", "side", "node", "cluster", "n", "vector"]
-    if best:
-        alone = member.select(F.xxhash64("key", "band", "part").alias("meet"), F.lit(0).alias("side"), "node", "cluster", "n", "vector")
-        return _in_batches(alone, member.count(), BEST, need)
+    member = own.join(mixed, "key").select("key", band.alias("band"), part.alias("part"), "node", "cluster", "n")
+    member = written(member, "members", gone=[mixed])
     cells = member.groupBy("key", "band", "part").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("members"))
     cells = written(cells.withColumn("cell", F.xxhash64("key", "band", "part")), "cells")
-    # pairs of cells, not of rows; a cell meets those after it in its band and all in the next
-    ahead = cells.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("cell").alias("cell2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("members").alias("members2"))
-    meets = cells.join(ahead, ["key", "band"]).where((F.col("band2") > F.col("band")) | (F.col("part2") >= F.col("part")))
-    meets = meets.where((F.least("x", "x2") != F.greatest("y", "y2"))).withColumn("meet", F.xxhash64("cell", "cell2"))
-    meets = written(meets.select("key", "band", "part", "band2", "part2", "meet", (F.col("cell") == F.col("cell2")).alias("self"), "members", "members2"), "meetings")
-    left = member.join(meets.select("key", "band", "part", "meet"), ["key", "band", "part"]).withColumn("side", F.lit(0))
-    right = meets.where(~F.col("self")).select("key", F.col("band2").alias("band"), F.col("part2").alias("part"), "meet")
-    right = member.join(right, ["key", "band", "part"]).withColumn("side", F.lit(1))
-    rows = left.select(*shape).unionByName(right.select(*shape))
-    total = meets.agg(F.sum(F.col("members") + F.when(F.col("self"), 0).otherwise(F.col("members2")))).first()[0] or 0
-    return _in_batches(rows, total, None, need)
+    if best:
+        # what is of one cluster has nothing to find
+        meets = cells.where("x <> y").select("key", "band", "part", F.col("cell").alias("meet"), "members")
+        rows = member.join(meets, ["key", "band", "part"]).withColumn("side", F.lit(0))
+        total = meets.agg(F.sum("members")).first()[0] or 0
+    else:
+        # pairs of cells, not of rows; a cell meets those after it in its band and all in the next
+        ahead = cells.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("cell").alias("cell2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("members").alias("members2"))
+        meets = cells.join(ahead, ["key", "band"]).where((F.col("band2") > F.col("band")) | (F.col("part2") >= F.col("part")))
+        meets = meets.where((F.least("x", "x2") != F.greatest("y", "y2"))).withColumn("meet", F.xxhash64("cell", "cell2"))
+        meets = written(meets.select("key", "band", "part", "band2", "part2", "meet", (F.col("cell") == F.col("cell2")).alias("self"), "members", "members2"), "meetings")
+        left = member.join(meets.select("key", "band", "part", "meet"), ["key", "band", "part"]).withColumn("side", F.lit(0))
+        right = meets.where(~F.col("self")).select("key", F.col("band2").alias("band"), F.col("part2").alias("part"), "meet")
+        right = member.join(right, ["key", "band", "part"]).withColumn("side", F.lit(1))
+        shape = ["meet", "side", "node", "cluster", "n"]
+        rows = left.select(*shape).unionByName(right.select(*shape))
+        total = meets.agg(F.sum(F.col("members") + F.when(F.col("self"), 0).otherwise(F.col("members2")))).first()[0] or 0
+    rows = rows.select("meet", "side", "node", "cluster", "n").join(points.select("node", "vector"), "node")
+    found = _in_batches(rows, total, BEST if best else None, need)
+    return written(found, "candidates", gone=[member, cells] if best else [member, cells, meets])
 
 
 def jaccard_classes(docs: DataFrame, like: Likeness = QUERY) -> DataFrame:
@@ -369,26 +381,36 @@ def jaccard_classes(docs: DataFrame, like: Likeness = QUERY) -> DataFrame:
     full = sets.where("n > 0")
     classes = full.groupBy(*alike).agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least_id"))
     classes = written(classes, "classes")
-    nodes = written(full.join(classes.select(F.col("node").alias("row_id")), "row_id").withColumnRenamed("row_id", "node"), "nodes")
-    points = nodes.select("node", "n", "vector")
-    keys = written(nodes.select("node", F.explode("keys").alias("key")), "keys")
+    rows = written(sets.select("doc_id", "text_hash", *alike), "rows")
+    nodes = full.join(classes.select(F.col("node").alias("row_id")), "row_id").withColumnRenamed("row_id", "node")
+    nodes = written(nodes.select("node", "doc_id", "text_hash", "n", "keys", "vector"), "nodes", gone=[sets])
 
+    keys = nodes.select("node", "n", F.explode("keys").alias("key"))
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
-    shared = written(keys.join(heads.select("key", "head"), "key"), "shared-keys")
-    stars = shared.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    side = lambda x: points.select(*[F.col(c).alias(f"{x}_{c}") for c in points.columns])
+    heads = written(heads, "heads")
+    shared = written(keys.join(heads, "key").where("head < node").select("key", "node", "n", "head", "size"), "shared-keys", gone=[heads])
+    points = written(nodes.drop("keys"), "points", gone=[nodes])
+    stars = shared.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    side = lambda x: points.select(*[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "vector")])
     near = stars.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
     near = near.where(enough(bound(F.col("a_vector"), F.col("b_vector")), F.col("a_n"), F.col("b_n"), like.need)).select("a", "b")
-    links = written(verified(docs, nodes, written(near, "candidates"), like), "star-links")
+    near = written(near, "candidates")
+    found = [verified(docs, points, near, like)]
+    discard(near)
+    # a key's first set has met all others
+    rest = written(shared.where("size > 2").select("key", "node", "n"), "rest", gone=[shared])
     for best in (True, False):
-        clusters = components(links).withColumnRenamed("root", "cluster")
-        more = written(cross_pairs(shared.select("key", "node"), points, clusters, best, like.need), "candidates")
-        links = written(links.unionByName(verified(docs, nodes, more, like)), "links")
-    roots = components(links)
+        clusters = components(reduce(DataFrame.unionByName, found))
+        more = cross_pairs(rest, points, clusters.withColumnRenamed("root", "cluster"), best, like.need)
+        found.append(verified(docs, points, more, like))
+        discard(clusters, more)
+    roots = components(reduce(DataFrame.unionByName, found))
+    discard(rest, points, *found)
     known = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = written(known.select(*alike, "least_id", "root"), "known", gone=[classes, roots])
     least = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = written(known.join(least, "root").select(*alike, "component_id", "root"), "named")
-    out = sets.select("doc_id", "text_hash", *alike).join(named, alike, "left")
+    named = written(known.join(least, "root").select(*alike, "component_id", "root"), "named", gone=[known])
+    out = rows.join(named, alike, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), "root")
 
