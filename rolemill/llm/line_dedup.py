@@ -196,7 +196,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def near_earlier(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
-    """(key, key2): distinct lines that have an earlier line within one edit."""
+    """(key, key2): distinct lines that have an earlier line within one edit, as a written table."""
     # numbered in the order of their places, so that what follows compares numbers
     partner = with_partner(first).orderBy("doc", "no", "text_hash").withColumn("at", F.monotonically_increasing_id())
     partner = written(partner, "with-partner")
@@ -211,21 +211,22 @@ def near_earlier(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFra
     pairs = met.select("at", other.alias("first")).where("first < at").distinct()
     ahead = near.select(F.col("at").alias("first"), F.col("line").alias("first_line"))
     checked = pairs.join(near, "at").join(ahead, "first").where(within_one_edit(F.col("line"), F.col("first_line")))
-    return checked.select("at").distinct().join(partner, "at").select("key", "key2")
+    late = checked.select("at").distinct().join(partner, "at").select("key", "key2")
+    return written(late, "late", gone=[near, partner])
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc, text_hash, dropped): the numbers of the lines to drop, of rows that lose any."""
+    """(doc, text_hash, dropped): the numbers of the lines to drop, of rows that lose any; a written table."""
     ship_package(docs.sparkSession)
     lines = written(occurrences(docs), "lines")
     halves = [F.max(h).alias(h) for h in ("h1", "h2", "h3", "h4")]
     first = lines.groupBy("key", "key2").agg(F.min(place()).alias("place"), F.count("*").alias("times"), F.max("n").alias("n"), *halves)
     first = written(first, "first-lines")
-    late = near_earlier(docs, lines, first).withColumn("near", F.lit(True))
-    judged = first.select("key", "key2", "place", "times").join(late, ["key", "key2"], "left").where("times > 1 OR near")
-    judged = written(judged.select("key", "key2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "judged")
+    late = near_earlier(docs, lines, first)
+    judged = first.select("key", "key2", "place", "times").join(late.withColumn("near", F.lit(True)), ["key", "key2"], "left").where("times > 1 OR near")
+    judged = written(judged.select("key", "key2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "judged", gone=[first, late])
     out = lines.select("doc", "text_hash", "no", "key", "key2").join(judged, ["key", "key2"]).where(F.col("near") | (place() > F.col("first")))
-    return out.groupBy("doc", "text_hash").agg(F.collect_set("no").alias("dropped"))
+    return written(out.groupBy("doc", "text_hash").agg(F.collect_set("no").alias("dropped")), "dropped", gone=[lines, judged])
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def mixing_plan(documents: DataFrame, mix: Mix) -> DataFrame:
         F.max("range").alias("cut_range"),
         F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("place"))), F.lit(-1)).alias("cut"),
     )
-    return written(plan.join(cuts, "source_key").select("source_key", "blocks", "passes", "ranges", "cut_range", "cut"), "mix")
+    return written(plan.join(cuts, "source_key").select("source_key", "blocks", "passes", "ranges", "cut_range", "cut"), "mix", gone=[thin, sources, totals])
 
 
 def _range() -> Column:

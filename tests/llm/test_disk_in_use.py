@@ -8,6 +8,8 @@ import pytest
 from rolemill.llm import jaccard_join as J
 from rolemill.llm.common import discard, written
 from rolemill.llm.components import components
+from rolemill.llm.line_dedup import line_dedup
+from rolemill.llm.source_mixing import mix_sources
 from rolemill.session import durable_root
 from tests.llm.test_jaccard_join import KIND, brute
 
@@ -76,3 +78,12 @@ def test_shuffle_files_go_with_their_run(spark):
     written(spark.range(1000).groupBy("id").count(), "counts")
     assert files() <= there
     assert spark.conf.get(conf, "false") == before
+
+
+def test_line_dedup_and_mixing_leave_only_what_their_results_read(spark, left):
+    rows = [(i, f"a line of its own number {i}\nand one that all of these texts have in it", "x") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sum(r.lines_dropped for r in line_dedup(docs).collect()) == 19
+    assert left() == ["dropped"]
+    mix_sources(docs).collect()
+    assert left() == ["dropped", "mix"]
